@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, tokens
+from . import records, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_records": records.op4_token_records,
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
