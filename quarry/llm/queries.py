@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, simhash, tokens
+from . import flac, records, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_records": records.op4_token_records,
+        "op9_flac": flac.op9_flac,
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
     }
 
