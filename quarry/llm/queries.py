@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, records, simhash, tokens
+from . import decontam, flac, language, records, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_decontamination": decontam.op2_decontamination,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_records": records.op4_token_records,
+        "op5_language_id": language.op5_language_id,
         "op9_flac": flac.op9_flac,
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
     }
