@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, flac, language, records, simhash, tokens
+from . import decontam, flac, language, records, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_records": records.op4_token_records,
         "op5_language_id": language.op5_language_id,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_flac": flac.op9_flac,
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
     }
