@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, flac, language, records, simhash, tokens, toxicity
+from . import chat, decontam, flac, language, markup, records, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_records": records.op4_token_records,
         "op5_language_id": language.op5_language_id,
+        "op6_html_text": markup.op6_html_text,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_tool_calls": chat.op8_tool_calls,
         "op9_flac": flac.op9_flac,
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
     }
