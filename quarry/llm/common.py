@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+SLICE_BYTES = 4 << 20
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,15 +44,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over columns as Python lists. make() runs once a task and gives the function that maps a batch."""
+    """mapInArrow over columns as Python lists. make() runs once a task and gives the function that maps a slice of a batch.
+
+    Slices hold about SLICE_BYTES, however long the rows are; results leave slice by slice.
+    """
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(struct)
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                made = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, struct)
@@ -69,7 +75,7 @@ class TwoGenerations(dict):
     `make(keys)` gives the values of keys that are not known.
     """
 
-    def __init__(self, make: Callable[[list], list], limit: int = 400_000):
+    def __init__(self, make: Callable[[list], list], limit: int = 200_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -87,3 +93,4 @@ class TwoGenerations(dict):
                 self[key] = value
         if missing:
             self.update(zip(missing, self.make(missing), strict=True))
+

@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe
 from .common import TwoGenerations, arrow_map, table, texts
@@ -135,21 +134,39 @@ def id_maker(path: str) -> Callable[[list], list]:
     return make
 
 
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function that gives the ids of texts, as little-endian 32-bit integers."""
+    known = cache(("ids", path), id_maker(path))
+
+    def run(items: list[str]) -> list[bytes]:
+        out = []
+        for part in groups(items):
+            cut = [keys(x) for x in part]
+            known.fill(k for x in cut for k in x)
+            out += [b"".join(map(known.__getitem__, x)) for x in cut]
+        return out
+
+    return run
+
+
+def decoder(path: str) -> Callable[[bytes], tuple[int, str, bytes]]:
+    """A function that gives, for ids, their number, the hash of their decimal forms joined by commas, and the bytes they stand for."""
+    tokens = bpe.tiktoken_ranks(path).tokens
+    names = [str(i) for i in range(len(tokens))]
+
+    def run(raw: bytes) -> tuple[int, str, bytes]:
+        ids = np.frombuffer(raw, "<u4").tolist()
+        return len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), b"".join(map(tokens.__getitem__, ids))
+
+    return run
+
+
 def bpe_encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """Rows (doc_id, *keep, ids binary): the ids of whole texts as little-endian 32-bit integers, as a tiktoken encoding has them."""
 
     def make():
-        known = cache(("ids", path), id_maker(path))
-
-        def step(batch: dict) -> dict:
-            ids = []
-            for run in groups(batch["text"]):
-                parts = [keys(x) for x in run]
-                known.fill(k for part in parts for k in part)
-                ids += [b"".join(map(known.__getitem__, part)) for part in parts]
-            return {k: v for k, v in batch.items() if k != "text"} | {"ids": ids}
-
-        return step
+        encode = encoder(path)
+        return lambda batch: {k: v for k, v in batch.items() if k != "text"} | {"ids": encode(batch["text"])}
 
     rows = texts(docs, *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
@@ -157,19 +174,13 @@ def bpe_encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds (n_tokens, ids_sha256, decoded binary) to rows that hold ids: decimal ids joined by commas, hashed, and the bytes they stand for."""
+    """Adds (n_tokens, ids_sha256, decoded binary) to rows that hold ids."""
 
     def make():
-        tokens = bpe.tiktoken_ranks(path).tokens
-        names = [str(i) for i in range(len(tokens))]
+        decode = decoder(path)
 
         def step(batch: dict) -> dict:
-            n, sha, decoded = [], [], []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, "<u4").tolist()
-                n.append(len(ids))
-                sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(b"".join(map(tokens.__getitem__, ids)))
+            n, sha, decoded = zip(*map(decode, batch["ids"]), strict=True)
             return batch | {"n_tokens": n, "ids_sha256": sha, "decoded": decoded}
 
         return step
@@ -178,16 +189,24 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     return arrow_map(encoded, make, f"{kept}, n_tokens long, ids_sha256 string, decoded binary")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of texts encoded and decoded again, in one pass over the workers."""
+
+    def make():
+        encode, decode = encoder(path), decoder(path)
+
+        def step(batch: dict) -> dict:
+            out = [(n, sha, hashlib.sha256(raw).hexdigest()) for n, sha, raw in map(decode, encode(batch["text"]))]
+            return {"doc_id": batch["doc_id"]} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*out, strict=True), strict=True))
+
+        return step
 
+    return arrow_map(texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of texts encoded and decoded again."""
-    path = public_tokenizers.path(MULTI_BPE)
-    back = bpe_decode(bpe_encode(docs, path), path)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE))
