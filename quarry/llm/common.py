@@ -94,3 +94,17 @@ class TwoGenerations(dict):
         if missing:
             self.update(zip(missing, self.make(missing), strict=True))
 
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of docs whose text (null: empty) passes; all columns stay, no shuffle. make() runs once a task."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array([passes(x or "") for x in part.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

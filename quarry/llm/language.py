@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts
+from .common import arrow_map, keep_rows, table, texts
 
 FIT_DOCS, GRAMS_PER_LANGUAGE, LEAST_COUNT, SHARE = 20_000, 100_000, 3, 0.2
 GRAM, PROBES, BITS_PER_GRAM = 4, 3, 16
@@ -138,3 +138,13 @@ def learned(docs: DataFrame) -> Filters:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learned(docs)).select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
+
+
+def known_language_only(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The documents of a language that the filters know, all columns kept: texts that are null, without letters, or without any known n-gram go."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def make():
+        return lambda text: sent.value.predict(text)[1] > 0
+
+    return keep_rows(docs, make)

@@ -10,7 +10,13 @@ from . import chat, decontam, flac, language, markup, records, simhash, tokens,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import corpus_pipeline
+
+        return corpus_pipeline.run(spark, sf_dir)
+
     return {
+        "pipeline": pipeline,
         "op1_simhash": simhash.op1_simhash,
         "op2_decontamination": decontam.op2_decontamination,
         "op3_token_counts": tokens.op3_token_counts,

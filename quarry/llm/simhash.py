@@ -243,3 +243,18 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, all columns kept.
+
+    Of rows that share that doc_id one stays. Rows with a null doc_id can't be told apart and stay.
+    """
+    near = near_duplicates(docs).where("doc_id is not null")
+    gone = checkpoint(near.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"))
+    left = docs.join(gone.where("gone").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = gone.where("not gone and n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").select(docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(repeated.dropDuplicates(["doc_id"]))
