@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 SPACES = r"[\s\u00a0\u200b\u200c\u200d\ufeff]+"
@@ -17,7 +18,7 @@ SPACES = r"[\s\u00a0\u200b\u200c\u200d\ufeff]+"
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
