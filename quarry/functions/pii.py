@@ -11,7 +11,7 @@ PATTERNS = {
     "IN_PAN": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
     "CARD": r"\b[0-9]{16}\b",
     "IP": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "PHONE": r"\+[0-9]{1,2} ?\(?[0-9]{3,5}\)?[ -]?[0-9]{3,5}[ -]?[0-9]{4}\b",
+    "PHONE": r"\+[0-9]{1,2} ?\(?[0-9]{3,5}\)?(?:[ -]?[0-9]{3,5}){1,2}\b",
 }
 #: The position permutation of the Verhoeff checksum.
 VERHOEFF_STEP = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]

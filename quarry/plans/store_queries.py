@@ -29,7 +29,7 @@ def a10(spark, d):
     ev = table(spark, d, "events")
     before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     gap = F.round((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1000, 1)
-    rows = ev.select(F.explode(F.array(F.struct(F.col("event_type").alias("component"), gap.alias("ms")), F.struct(F.lit("value").alias("component"), F.col("value").alias("ms")))).alias("x")).select("x.*")
+    rows = ev.withColumn("gap", gap).select(F.explode(F.array(F.struct(F.col("event_type").alias("component"), F.col("gap").alias("ms")), F.struct(F.lit("value").alias("component"), F.col("value").alias("ms")))).alias("x")).select("x.*")
     return reports.latency_table(rows, "component", "ms")
 
 
