@@ -161,7 +161,8 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chats of plain turns as messages with calls, and results: a user's turn calls measure, and answer, which waits for it.
 
     The user's turn itself gives measure's result, its number of words. An assistant's or a system's turn is the result of the answer
-    call that the turn before it would make; where no user spoke then, it is an orphan.
+    call that the turn before it would make; where no user spoke then, it is an orphan. Turns without a role are neither. Null texts are
+    empty, and an empty question fails its schema; results without a conversation or a turn can't be named and are left out.
     """
     text = F.coalesce("text", F.lit(""))
     n_words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

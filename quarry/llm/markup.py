@@ -99,6 +99,10 @@ class TreeBuilder(HTMLParser):
         barrier = {"table"} - {tag} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "li", "p") else set()
         self.close_through({f"h{i}" for i in range(1, 7)} if tag in {f"h{i}" for i in range(1, 7)} else {tag}, barrier)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """HTML has no marked sections: what looks like one is a comment up to the next >."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
