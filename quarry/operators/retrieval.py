@@ -61,10 +61,12 @@ def ranked(scored: DataFrame, score: str, most: int = CANDIDATES, name: str = "r
     return scored.withColumn(name, place - 1).where(F.col(name) < most)
 
 
-def fuse(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Candidates (query, id, rank) of two lists, full outer: a list that lacks a row adds nothing."""
-    a, b = first.select("query", "id", F.col("rank").alias("r1")), second.select("query", "id", F.col("rank").alias("r2"))
-    return a.join(b, ["query", "id"], "full_outer").withColumn("rrf", reciprocal_rank(F.col("r1"), FUSION) + reciprocal_rank(F.col("r2"), FUSION))
+def fuse(first: DataFrame, second: DataFrame, *keep: str) -> DataFrame:
+    """Candidates (query, id, rank) of two lists, full outer, with the columns kept: a list that lacks a row adds nothing."""
+    a = first.select("query", "id", F.col("rank").alias("r1"), *[F.col(c).alias(f"{c}_1") for c in keep])
+    b = second.select("query", "id", F.col("rank").alias("r2"), *[F.col(c).alias(f"{c}_2") for c in keep])
+    both = a.join(b, ["query", "id"], "full_outer").withColumn("rrf", reciprocal_rank(F.col("r1"), FUSION) + reciprocal_rank(F.col("r2"), FUSION))
+    return both.select("query", "id", "r1", "r2", "rrf", *[F.coalesce(f"{c}_1", f"{c}_2").alias(c) for c in keep])
 
 
 def boosted(rrf: Column, cover: Column, doc_type: Column, product_match: Column, age_match: Column, needs_review: Column) -> Column:

@@ -74,11 +74,11 @@ def hybrid(spark, d):
     documents have no vectors, so coverage stands for the dense list; a query whose best hit covers little gets that hit alone.
     """
     s = scored(spark, d)
-    fused = retrieval.fuse(retrieval.ranked(s, "bm25"), retrieval.ranked(s, "coverage"))
+    fused = retrieval.fuse(retrieval.ranked(s, "bm25"), retrieval.ranked(s, "coverage"), "coverage")
     kind = F.when(F.col("source") == "src1", "marketing").when(F.col("source") == "src2", "testimonial").when(F.col("source") == "src3", "reference").otherwise("policy")
     no = F.lit(False)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
-    rows = fused.join(s, ["query", "id"]).join(docs, "id").withColumn("score", F.round(retrieval.boosted(F.col("rrf"), F.col("coverage"), kind, no, no, no), 8))
+    rows = fused.join(docs, "id").withColumn("score", F.round(retrieval.boosted(F.col("rrf"), F.col("coverage"), kind, no, no, no), 8))
     hits = retrieval.ranked(rows, "score", 3)
     gate = hits.where("rank = 0").select("query", (F.col("coverage") >= retrieval.COVERAGE_GATE).alias("answered"))
     kept = hits.join(gate, "query").where(F.col("answered") | (F.col("rank") == 0))
