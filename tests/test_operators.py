@@ -109,7 +109,8 @@ def test_turn_columns(spark):
     assert one(spark, "I'm 34 years old", turns.coerce_int(F.col("x"), 0, 99)) == 34
     assert one(spark, "yes", turns.coerce_bool(F.col("x"))) is True and one(spark, "perhaps", turns.coerce_bool(F.col("x"))) is None
     assert number_of("one lakh and fifty thousand".split()) == 150_000
-    assert number_of("one hundred and five".split()) == 105 and number_of("four thirty".split()) is None and number_of([]) is None
+    assert number_of("one hundred and five".split()) is None and number_of("one hundred five".split()) == 105
+    assert number_of("four thirty".split()) is None and number_of([]) is None and number_of("1.5 lakh".split()) == 150_000
 
 
 def test_claims():
