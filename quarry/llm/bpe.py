@@ -18,7 +18,8 @@ import regex
 NONE = np.int64(1) << 60
 #: The splitting pattern with white space as Unicode defines it, as the tokenizer libraries read \s.
 SPLIT = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-ODD_SPACE = regex.compile(r" (?:\p{White_Space}|$)|^ ")
+#: White space beyond ASCII, as Unicode defines it.
+FAR_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = regex.compile(r" (?=\P{White_Space})")
 
 
@@ -165,4 +166,6 @@ def chunks(text: str) -> list[str]:
     A space before a character that isn't white space always starts a pre-token. So single spaces cut a text exactly;
     where white space stands beside a space, only the last space of the run cuts.
     """
-    return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
+    odd = "  " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(" " + c in text for c in "\t\r\x0b\x0c")
+    odd = odd or not text.isascii() and any(c in text for c in FAR_SPACES)
+    return CUT.split(text) if odd else text.split(" ")

@@ -72,7 +72,7 @@ def texts(docs: DataFrame, *keep: str, as_bytes: bool = False) -> DataFrame:
 class TwoGenerations(dict):
     """A bounded cache: what was not used since the last change of generations goes.
 
-    `make(keys)` gives the values of keys that are not known.
+    `make(keys)` gives the values of keys that are not known; None is no value.
     """
 
     def __init__(self, make: Callable[[list], list], limit: int = 200_000):
@@ -80,12 +80,9 @@ class TwoGenerations(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def fill(self, keys: Iterable) -> None:
-        """Makes all keys known at once, before they are read by cache[key]."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
+        """Makes distinct keys known that are not in this generation."""
         missing = []
-        for key in set(keys).difference(self):
+        for key in keys:
             value = self.old.get(key)
             if value is None:
                 missing.append(key)
@@ -94,6 +91,19 @@ class TwoGenerations(dict):
         if missing:
             self.update(zip(missing, self.make(missing), strict=True))
 
+    def values_of(self, keys: list) -> list:
+        """The value of each key, in order; each key known is looked up once."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        got = list(map(self.get, keys))
+        open_ = [i for i, v in enumerate(got) if v is None]
+        if open_:
+            self.fill({keys[i] for i in open_})
+            for i in open_:
+                got[i] = self[keys[i]]
+        return got
+
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """The rows of docs whose text (null: empty) passes; all columns stay, no shuffle. make() runs once a task."""

@@ -2,7 +2,7 @@
 
 A shard is a run of frames in ascending doc_id order. A frame is: length of the data (unsigned 64-bit little-endian), masked
 CRC-32C of those eight bytes, the data, masked CRC-32C of the data. The data are doc_id (signed 64-bit), bytes an id takes
-(one byte: 2 or 4) and the ids. The index, a Parquet table beside the shards, has a row for each record: doc_id, shard,
+(one byte: 2 or 4; 128 more for a null doc_id) and the ids. The index, a Parquet table beside the shards, has a row for each record: doc_id, shard,
 file, offset, length, n_tokens, and how many ids the shard holds before it.
 
 Each task writes a file under a name of its own; only files that the committed index names count. So a task that is run
@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from .common import arrow_map, shared_path, table, texts
-from .tokens import BYTE_BPE, SPECIAL, cache, groups, keys
+from .bpe import byte_symbols
+from .common import SLICE_BYTES, TwoGenerations, arrow_map, shared_path, table, texts
+from .tokens import BYTE_BPE, PIECES, SPECIAL, cache, looked_up, pieces_joined
 
 POLY, MASK_DELTA, BLOCK = 0x82F63B78, 0xA282EAD8, 512
 HEAD = "<QI"
 DATA = "<qB"
+NO_ID = 128
 INDEX = T.StructType([T.StructField(n, k()) for n, k in (("doc_id", T.LongType), ("shard", T.IntegerType), ("file", T.StringType), ("offset", T.LongType), ("length", T.LongType), ("n_tokens", T.LongType), ("before", T.LongType))])
 
 
@@ -113,20 +115,24 @@ def open_shared(uri: str, mode: str):
     return store.open_input_file(path) if mode == "rb" else store.open_output_stream(path)
 
 
-def write_records(rows: DataFrame, path: str) -> DataFrame:
-    """Writes rows (doc_id, ids binary of 32-bit integers), ranged and sorted by doc_id, as shards under path; gives the index, lazily."""
+def write_records(rows: DataFrame, path: str, encoder: Callable[[], Callable[[list], list[np.ndarray]]]) -> DataFrame:
+    """Writes rows (doc_id, value), ranged and sorted by doc_id, as shards under path; gives the index, lazily.
+
+    encoder() runs once a task and gives the function that turns values into arrays of ids.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shard = to_arrow_schema(INDEX), TaskContext.get().partitionId()
+        out, shard, encode = to_arrow_schema(INDEX), TaskContext.get().partitionId(), encoder()
         name, file, offset, before = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.rec", None, 0, 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                doc_ids, found = part.column(0).to_pylist(), [np.frombuffer(x, "<u4") for x in part.column(1).to_pylist()]
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                doc_ids, found = part.column(0).to_pylist(), encode(part.column(1).to_pylist())
                 data = []
                 for doc_id, ids in zip(doc_ids, found, strict=True):
                     width = 2 if not ids.size or ids.max() < 1 << 16 else 4
-                    data.append(struct.pack(DATA, doc_id, width) + ids.astype(f"<u{width}").tobytes())
+                    data.append(struct.pack(DATA, doc_id or 0, width | NO_ID * (doc_id is None)) + ids.astype(f"<u{width}").tobytes())
                 file = file or open_shared(name, "wb")
                 made, index = frames(data), []
                 for doc_id, ids, x in zip(doc_ids, found, made, strict=True):
@@ -138,7 +144,7 @@ def write_records(rows: DataFrame, path: str) -> DataFrame:
         if file:
             file.close()
 
-    return rows.select("doc_id", "ids").mapInArrow(run, INDEX)
+    return rows.mapInArrow(run, INDEX)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -161,73 +167,59 @@ def read_records(index: DataFrame) -> DataFrame:
                 if struct.unpack_from(HEAD, x) != (len(x) - 16, masked(a)) or struct.unpack("<I", x[-4:])[0] != masked(b):
                     raise ValueError("a record's length or checksum is wrong")
             head = [struct.unpack_from(DATA, x) for x in data]
-            ids = [np.frombuffer(x, f"<u{width}", offset=struct.calcsize(DATA)).astype("<u4").tobytes() for x, (_, width) in zip(data, head, strict=True)]
-            return {"doc_id": [x for x, _ in head], "shard": batch["shard"], "before": batch["before"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            ids = [np.frombuffer(x, f"<u{width & ~NO_ID}", offset=struct.calcsize(DATA)).astype("<u4").tobytes() for x, (_, width) in zip(data, head, strict=True)]
+            return {"doc_id": [None if width & NO_ID else x for x, width in head], "shard": batch["shard"], "before": batch["before"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
         return step
 
     return arrow_map(index, make, "doc_id long, shard int, before long, n_tokens long, ids binary")
 
 
-def library_ids(path: str) -> Callable[[list], list]:
-    """For cache keys: the ids that the tokenizers library gives, as 32-bit integers."""
-    import os
+def library_ids(path: str, special: int) -> Callable[[list], list]:
+    """For cache keys: the ids that the tokenizers library's model gives their pre-tokens, as 32-bit integers.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    The library's own pre-tokens are these, in its byte symbols; its model is asked for each once.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    model = Tokenizer.from_file(path).model
+    symbols = {b: c for c, b in byte_symbols().items()}
 
     def make(missing: list) -> list:
-        got = tokenizer.encode_batch_fast([k[0] if isinstance(k, tuple) else " " + k for k in missing], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
+        return [array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes() for w in missing]
 
-    return make
+    return pieces_joined(TwoGenerations(make, PIECES), special.to_bytes(4, "little"))
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, special: dict[str, int]) -> DataFrame:
-    """Rows (doc_id, ids): whole texts in ascending order of doc_id, ranged over partitions, encoded, with end_id after each.
+def text_encoder(path: str, end_id: int, mark: str, mark_id: int) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """Makes the function that encodes texts as the tokenizers library does, with end_id after each.
 
     A text is cut at special strings and at single spaces, neither of which changes what the library gives.
     """
-    (mark, mark_id), = special.items()
 
     def make():
-        known, joint, end = cache(("library", path), library_ids(path)), np.array([mark_id], "<u4").tobytes(), np.array([end_id], "<u4").tobytes()
-
-        def step(batch: dict) -> dict:
-            ids = []
-            for run in groups(batch["text"]):
-                parts = [[keys(p) for p in x.split(mark)] for x in run]
-                known.fill(k for text in parts for part in text for k in part)
-                ids += [joint.join(b"".join(map(known.__getitem__, part)) for part in text) + end for text in parts]
-            return {"doc_id": batch["doc_id"], "ids": ids}
-
-        return step
+        known, end = cache(("library", path), library_ids(path, mark_id)), end_id.to_bytes(4, "little")
+        return lambda items: [np.frombuffer(b"".join(x) + end, "<u4") for x in looked_up(known, items, mark)]
 
-    ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return arrow_map(ranged, make, "doc_id long, ids binary")
+    return make
 
 
 def token_file_digest(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """Writes the tokens of docs, reads the files back, and gives (doc_id, start, n_tokens, ids_crc32, shard, offset).
+    """Writes the tokens of docs, reads the files back, and gives (doc_id, start, n_tokens, ids_crc32, shard).
 
     start counts the ids of all documents before. An empty or null text is the end id alone; rows that share a doc_id follow each other,
-    ordered by text; a null doc_id isn't storable and raises.
+    ordered by text; rows with a null doc_id come first.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "token-records")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    write_records(tokenize(docs, path, end_id, {SPECIAL: 50256}), folder).write.parquet(f"{folder}/index")
+    ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    write_records(ranged, folder, text_encoder(path, end_id, SPECIAL, 50256)).write.parquet(f"{folder}/index")
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     ends = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("base"))
-
-    def make():
-        return lambda batch: {k: batch[k] for k in ("doc_id", "shard", "before", "n_tokens")} | {"ids_crc32": [zlib.crc32(x) for x in batch["ids"]]}
-
-    digest = arrow_map(read_records(index), make, "doc_id long, shard int, before long, n_tokens long, ids_crc32 long")
+    digest = read_records(index).select("doc_id", "shard", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return digest.join(bases, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 

@@ -22,7 +22,7 @@ from .common import TwoGenerations, arrow_map, table, texts
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
-GROUP_CHARS = 1 << 20
+GROUP_CHARS, CHUNKS, PIECES = 1 << 20, 250_000, 60_000
 
 
 def keys(part: str) -> list:
@@ -32,9 +32,36 @@ def keys(part: str) -> list:
     return cut
 
 
+def text_keys(text: str, mark: str | None = None) -> list:
+    """Cache keys of a text; a special string in it has the key (mark, True), and parts a text as a whole."""
+    if mark is None or mark not in text:
+        return keys(text)
+    out = []
+    for i, part in enumerate(text.split(mark)):
+        if i:
+            out.append((mark, True))
+        out += keys(part)
+    return out
+
+
 def words(key) -> list[str]:
-    """The pre-tokens of a cache key."""
-    return bpe.SPLIT.findall(key[0] if isinstance(key, tuple) else " " + key)
+    """The pre-tokens of a cache key; none for a special string."""
+    if isinstance(key, tuple):
+        return bpe.SPLIT.findall(key[0]) if len(key) == 1 else []
+    return [" " + key] if key.isalpha() else bpe.SPLIT.findall(" " + key)
+
+
+def looked_up(known: TwoGenerations, items: list[str], mark: str | None = None) -> Iterator[list]:
+    """For each text the values of its keys, looked up for a run of texts at once."""
+    for run in groups(items):
+        every, ends = [], []
+        for x in run:
+            every += text_keys(x, mark)
+            ends.append(len(every))
+        values, at = known.values_of(every), 0
+        for end in ends:
+            yield values[at:end]
+            at = end
 
 
 def groups(items: list[str]) -> Iterator[list[str]]:
@@ -57,21 +84,27 @@ def prove_whole_tokens(ranks: bpe.Ranks) -> frozenset[bytes]:
 
 
 def count_maker(path: str, whole: frozenset[bytes]) -> Callable[[list], list]:
-    """For cache keys: 1 for each pre-token that is a whole token; only the rest is merged."""
+    """For cache keys: 1 for each pre-token that is a whole token, and for a special string; only the rest is merged."""
+
+    def make_rest(missing: list) -> list:
+        return list(map(len, bpe.encode_words(bpe.json_ranks(path), missing)))
+
+    rest = TwoGenerations(make_rest, PIECES)
 
     def make(missing: list) -> list:
-        ranks = bpe.json_ranks(path)
-        sizes, rest, owner = [0] * len(missing), [], []
+        sizes, merged, owner = [0] * len(missing), [], []
         for i, key in enumerate(missing):
+            if isinstance(key, tuple) and len(key) == 2:
+                sizes[i] = 1
             for word in words(key):
                 raw = word.encode()
                 if raw in whole:
                     sizes[i] += 1
                 else:
-                    rest.append(raw)
+                    merged.append(raw)
                     owner.append(i)
-        for i, ids in zip(owner, bpe.encode_words(ranks, rest), strict=True):
-            sizes[i] += len(ids)
+        for i, n in zip(owner, rest.values_of(merged), strict=True):
+            sizes[i] += n
         return sizes
 
     return make
@@ -83,7 +116,7 @@ _caches: dict = {}
 def cache(name: tuple, make: Callable[[list], list]) -> TwoGenerations:
     """One cache for each worker process and purpose, kept between tasks."""
     if name not in _caches:
-        _caches[name] = TwoGenerations(make)
+        _caches[name] = TwoGenerations(make, CHUNKS)
     return _caches[name]
 
 
@@ -98,11 +131,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         known = cache(("count", path), count_maker(path, whole.value))
 
         def step(batch: dict) -> dict:
-            out = {"doc_id": batch["doc_id"], "n_bytes": [len(x.encode()) for x in batch["text"]], "n_tokens": []}
-            for run in groups(batch["text"]):
-                parts = [[keys(p) for p in x.split(SPECIAL)] for x in run]
-                known.fill(k for text in parts for part in text for k in part)
-                out["n_tokens"] += [sum(sum(map(known.__getitem__, part)) for part in text) + len(text) - 1 for text in parts]
+            out = {"doc_id": batch["doc_id"], "n_bytes": [len(x.encode()) for x in batch["text"]]}
+            out["n_tokens"] = [sum(x) for x in looked_up(known, batch["text"], SPECIAL)]
             return out | {"over_limit": [n > limit for n in out["n_tokens"]]}
 
         return step
@@ -113,23 +143,34 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 def id_maker(path: str) -> Callable[[list], list]:
     """For cache keys: the ids of their pre-tokens as little-endian 32-bit integers. A pre-token that is a token stays whole."""
 
-    def make(missing: list) -> list:
+    def make_pieces(missing: list) -> list:
         ranks = bpe.tiktoken_ranks(path)
-        out: list[list[bytes]] = [[] for _ in missing]
-        rest, owner = [], []
-        for i, key in enumerate(missing):
-            for word in words(key):
-                raw = word.encode()
-                whole = ranks.ids.get(raw)
-                if whole is None:
-                    rest.append(raw)
-                    owner.append((i, len(out[i])))
-                    out[i].append(b"")
-                else:
-                    out[i].append(whole.to_bytes(4, "little"))
-        for (i, k), ids in zip(owner, bpe.encode_words(ranks, rest), strict=True):
-            out[i][k] = ids.astype("<u4").tobytes()
-        return [b"".join(x) for x in out]
+        raw = [x.encode() for x in missing]
+        found = [ranks.ids.get(x) for x in raw]
+        merged = iter(bpe.encode_words(ranks, [x for x, i in zip(raw, found, strict=True) if i is None]))
+        return [next(merged).astype("<u4").tobytes() if i is None else i.to_bytes(4, "little") for i in found]
+
+    return pieces_joined(TwoGenerations(make_pieces, PIECES))
+
+
+def pieces_joined(pieces: TwoGenerations, special: bytes = b"") -> Callable[[list], list]:
+    """For cache keys: the joined ids of their pre-tokens; a special string's own.
+
+    A word of letters is one pre-token and made at once; what else there is comes from a cache of pre-tokens.
+    """
+
+    def make(missing: list) -> list:
+        plain = [k for k in missing if isinstance(k, str) and k.isalpha()]
+        whole = dict(zip(plain, pieces.make([" " + k for k in plain]), strict=True))
+        cut = [() if k in whole else words(k) for k in missing]
+        values, at, out = pieces.values_of([w for x in cut for w in x]), 0, []
+        for key, x in zip(missing, cut, strict=True):
+            value = whole.get(key)
+            if value is None:
+                value = special if isinstance(key, tuple) and len(key) == 2 else b"".join(values[at : at + len(x)])
+                at += len(x)
+            out.append(value)
+        return out
 
     return make
 
@@ -137,16 +178,7 @@ def id_maker(path: str) -> Callable[[list], list]:
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function that gives the ids of texts, as little-endian 32-bit integers."""
     known = cache(("ids", path), id_maker(path))
-
-    def run(items: list[str]) -> list[bytes]:
-        out = []
-        for part in groups(items):
-            cut = [keys(x) for x in part]
-            known.fill(k for x in cut for k in x)
-            out += [b"".join(map(known.__getitem__, x)) for x in cut]
-        return out
-
-    return run
+    return lambda items: [b"".join(x) for x in looked_up(known, items)]
 
 
 def decoder(path: str) -> Callable[[bytes], tuple[int, str, bytes]]:
