@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpoint
+
 DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside"}
 KINDS = {"h2": "heading", "h3": "heading", "h4": "heading", "p": "paragraph", "li": "list_item", "blockquote": "quote"}
 LEAST_CHARS = 120
@@ -34,7 +36,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, prefix: str, max_rounds: int = 10,
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_rounds + 1):
-        fresh = frontier.join(edges, frontier["url"] == edges["from"]).select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).persist()
+        fresh = frontier.join(edges, frontier["url"] == edges["from"]).select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        fresh = checkpoint(fresh)
         if fresh.isEmpty():
             break
         seen, frontier = seen.union(fresh), fresh
