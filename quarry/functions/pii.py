@@ -65,3 +65,24 @@ def kinds(text: Column) -> Column:
     """The kinds found, sorted."""
     present = F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in PATTERNS.items()])
     return F.array_sort(F.filter(present, lambda x: x.isNotNull()))
+
+
+DIRECT_ID = r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|[0-9]{9,}"
+CAPITALISED = r"^\p{Lu}\p{Ll}+[,.]?$"
+
+
+def name_places(tokens: Column) -> Column:
+    """Places, from 1, where two capitalised words stand side by side: what may be a person's name."""
+    pairs = F.arrays_zip(tokens.alias("a"), F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))).alias("b"))
+    marked = F.transform(pairs, lambda x, i: F.when(x["a"].rlike(CAPITALISED) & F.coalesce(x["b"].rlike(CAPITALISED), F.lit(False)), i + 1))
+    return F.filter(marked, lambda x: x.isNotNull())
+
+
+def id_places(tokens: Column) -> Column:
+    """Places, from 1, of words that name a person directly: addresses and long numbers."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike(DIRECT_ID), i + 1)), lambda x: x.isNotNull())
+
+
+def near(places: Column, others: Column, words: int) -> Column:
+    """Places with another within so many words on either side."""
+    return F.filter(places, lambda i: F.exists(others, lambda j: F.abs(i - j) <= words))

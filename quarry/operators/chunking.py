@@ -71,3 +71,10 @@ def rate_chunks(rows: DataFrame, group: list[str], line: Column, order: list[str
     """One record for each group of a rate table, a line for each row in order; lines come as one text with a count."""
     packed = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
     return rows.groupBy(*group).agg(packed.alias("ls")).select(*group, F.size("ls").cast("long").alias("n_lines"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("content"))
+
+
+def form_schema(labels: DataFrame, rules: list[tuple[str, str]], doc: str = "doc_id") -> DataFrame:
+    """One record for each form: its labels (doc, pos, label) as canonical fields, in order. A form's labels are few; they make one text."""
+    fields = labels.select(doc, "pos", "label", form_field(F.col("label"), rules).alias("field"))
+    packed = F.array_sort(F.collect_list(F.struct("pos", "label", "field")))
+    return fields.groupBy(doc).agg(packed.alias("fs")).select(doc, F.array_join(F.transform("fs", lambda x: x["field"]), ",").alias("fields"), F.size("fs").cast("long").alias("n"))

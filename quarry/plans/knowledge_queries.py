@@ -363,3 +363,25 @@ def c11(spark, d):
 def w12(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
     return table(spark, d, "events").select("event_id", F.count("*").over(w).alias("n_heard"), F.last("event_type").over(w).alias("latest"))
+
+
+@query("j11_names_near_ids", rf"""
+WITH t AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS ts FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN regexp_matches(ts[i], '{pii.DIRECT_ID}') THEN i END), lambda x: x IS NOT NULL) AS ids,
+ list_filter(list_transform(range(1, len(ts)), lambda i: CASE WHEN regexp_matches(ts[i], '{pii.CAPITALISED}') AND regexp_matches(ts[i + 1], '{pii.CAPITALISED}') THEN i END), lambda x: x IS NOT NULL) AS names FROM t)
+SELECT doc_id, len(names) AS n_names, len(list_filter(names, lambda i: len(list_filter(ids, lambda j: abs(i - j) <= 15)) > 0)) AS n_kept FROM p WHERE len(names) > 0""")
+def j11(spark, d):
+    tokens = F.split(F.trim("text"), r"\s+")
+    placed = table(spark, d, "documents").select("doc_id", pii.name_places(tokens).alias("names"), pii.id_places(tokens).alias("ids")).where(F.size("names") > 0)
+    return placed.select("doc_id", F.size("names").cast("long").alias("n_names"), F.size(pii.near(F.col("names"), F.col("ids"), 15)).cast("long").alias("n_kept"))
+
+
+@query("h05_form_schema", r"""
+WITH l AS (SELECT doc_id, pos, line FROM (""" + LINES_SQL + r""")), f AS (SELECT doc_id, pos, trim(split_part(line, ':', 1)) AS label FROM l WHERE regexp_matches(line, '^[^:]{1,40}:\s*\S') UNION ALL
+SELECT doc_id, pos, trim(line) FROM l WHERE regexp_matches(line, '^[^|]+ \| '))
+SELECT doc_id, string_agg(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), ',' ORDER BY pos, label) AS fields, count(*) AS n FROM f GROUP BY doc_id""")
+def h05(spark, d):
+    rows = lines(spark, d)
+    values = rows.where(F.col("line").rlike(r"^[^:]{1,40}:\s*\S")).select("doc_id", "pos", F.trim(F.split_part("line", F.lit(":"), F.lit(1))).alias("label"))
+    columns = rows.where(F.col("line").rlike(r"^[^|]+ \| ")).select("doc_id", "pos", F.trim("line").alias("label"))
+    return chunking.form_schema(values.union(columns), [])
