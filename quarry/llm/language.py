@@ -5,7 +5,7 @@ masks have in common names, at once, every language that holds it. Per language,
 those that a filter of its fill gives by chance; the language with the largest corrected share decides.
 
 The filters are learned from a bounded sample of labelled documents (FIT_DOCS, about, chosen by a hash of doc_id), their n-grams counted
-by Spark; a language keeps at most GRAMS_PER_LANGUAGE of them. Up to 64 languages.
+by Spark; the MOST_GRAMS with the highest rates are kept. Up to 64 languages.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, keep_rows, table, texts
 
-FIT_DOCS, GRAMS_PER_LANGUAGE, LEAST_COUNT, SHARE = 20_000, 100_000, 3, 0.2
+FIT_DOCS, MOST_GRAMS, LEAST_COUNT, SHARE = 20_000, 400_000, 3, 0.2
 GRAM, PROBES, BITS_PER_GRAM = 4, 3, 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -108,12 +108,10 @@ def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Filters:
     """Filters from rows (doc_id, text, lang). A language holds an n-gram whose rate there is SHARE of the highest rate at least."""
     sample = bounded_sample(labelled.where("lang is not null and text is not null"), most)
     counts = gram_counts(sample)
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    rated = counts.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
     kept = rated.where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= SHARE * F.col("top")))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= GRAMS_PER_LANGUAGE)
-    rows = kept.select("lang", "gram").toPandas()
+    rows = kept.orderBy(F.desc("rate"), "lang", "gram").limit(MOST_GRAMS).select("lang", "gram").toPandas()
     return Filters({lang: part["gram"].to_numpy() for lang, part in rows.groupby("lang")})
 
 
