@@ -1,12 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared word pairs find candidate places, Smith-Waterman alignment scores them.
 
-Test items are cut into passages of at most PASSAGE words. Of every WINDOW consecutive n-grams of a passage, the one that the fewest
-documents hold is a seed; so any run of SEED + WINDOW - 1 words that is kept meets a seed, however common its words are. Where a seed
-occurs, the passage is aligned with the words around it: matches score 2, mismatches and gaps cost 1. The score is the best local
+Test items are cut into passages of at most PASSAGE words. Matches score 2, mismatches and gaps cost 1; the score is the best local
 alignment's share of what a perfect copy has, so edits, insertions and losses lower it gradually.
 
-The benchmark is taken in blocks of at most BLOCK passages, a bound that does not grow; each block's seeds travel to every task, and
-all documents are read against it. Document counts of n-grams are gathered over all documents, for the block's n-grams alone.
+Where to align follows from the least score s, and loses no alignment that reaches it. With m matches of the n words of a passage, such
+an alignment has 2m - 2sn edits at most, so it spans (3 - 2s)n words of the text at most, and holds 2sn - m - 1 >= (2s - 1)n - 1 pairs of
+neighbours that are neighbours in the passage too. So a passage is aligned where so many of its pairs of words lie within such a span,
+and its words and pairs there number 2sn - 1 together. Passages so short that no pair is certain (5 words at 0.6) must share a run of
+SEED words.
+
+The benchmark is taken in blocks of at most BLOCK passages, a bound that does not grow; each block's pairs travel to every task, and all
+documents are read against it, SLICE words at a time.
 """
 
 from __future__ import annotations
@@ -16,13 +20,12 @@ from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpoint, table, texts
 
-SEED, WINDOW, PASSAGE, BLOCK = 4, 3, 128, 20_000
+SEED, PASSAGE, BLOCK, SLICE = 4, 128, 20_000, 4096
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.6
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,13 +56,13 @@ def passages(benchmark: DataFrame, size: int = PASSAGE) -> DataFrame:
     return arrow_map(rows, make, "item_id long, passage int, words array<string>")
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
+def grams(ids: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the n-grams of word ids; zero where a word isn't known."""
-    if len(ids) < SEED:
+    if len(ids) < size:
         return np.zeros(0, np.uint64)
-    n = len(ids) - SEED + 1
+    n = len(ids) - size + 1
     out, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(SEED):
+    for k in range(size):
         part = ids[k : k + n]
         out = out * BASE + part.astype(np.uint64)
         whole &= part > 0
@@ -68,37 +71,75 @@ def grams(ids: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A bounded block of passages: their words as ids, and the places of their n-grams."""
+    """A bounded block of passages: their words as ids, and which passages hold an n-gram."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, least: float):
         self.items = [r["item_id"] for r in rows]
         self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for r in rows for w in r["words"]))}
         self.ids = [np.array([self.vocabulary[w] for w in r["words"]], np.int64) for r in rows]
-        self.grams = [grams(x) for x in self.ids]
-        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
+        n = np.array([len(x) for x in self.ids], np.int64)
+        pairs = np.ceil((2 * least - 1) * n - 1 - 1e-9).astype(np.int64)
+        self.sizes = np.where(pairs >= 1, 2, SEED)
+        self.needs, self.spans = np.maximum(pairs, 1), np.maximum(n, ((3 - 2 * least) * n + 1e-9).astype(np.int64))
+        self.least = [2 * least * x - 1 - 1e-9 for x in n.tolist()]
+        self.index = {k: self.postings(k) for k in (2, SEED)}
+
+    def postings(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of the passages that are found by this size, sorted; where the passages of each start; the passages."""
+        own = [(g, np.full(len(g), p)) for p in np.flatnonzero(self.sizes == size).tolist() for g in [np.unique(grams(self.ids[p], size))]]
+        if not own:
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        found, held = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.argsort(found, kind="stable")
+        keys, starts = np.unique(found[order], return_index=True)
+        return keys, np.append(starts, len(found)), held[order]
 
     def of(self, text: str) -> np.ndarray:
         found = words(text)
         return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
 
-    def hits(self, ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the n-grams that are wanted (a sorted array), and the n-grams."""
-        found = grams(ids)
+    def hits(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, place of a shared n-gram) for each n-gram of the words and each passage that holds it, sorted."""
+        keys, starts, held = self.index[size]
+        found = grams(ids, size) if len(keys) else keys
         at = np.flatnonzero(found)
-        found = found[at]
-        near = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-        hit = wanted[near] == found
-        return at[hit], found[hit]
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Keeps of each window of n-grams the rarest; ties go to the first."""
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, found in enumerate(self.grams):
-            df = np.array([counts.get(int(g), 0) for g in found])
-            starts = range(max(1, len(df) - WINDOW + 1)) if len(df) else ()
-            for o in dict.fromkeys(s + int(np.argmin(df[s : s + WINDOW])) for s in starts):
-                self.places[int(found[o])].append((p, o))
-        self.seeds = np.array(sorted(self.places), np.uint64)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        near = np.minimum(np.searchsorted(keys, found[at]), len(keys) - 1)
+        hit = keys[near] == found[at]
+        at, near = at[hit], near[hit]
+        many = starts[near + 1] - starts[near]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        passage, place = held[np.repeat(starts[near], many) + inside], np.repeat(at, many)
+        order = np.argsort(passage, kind="stable")
+        return passage[order], place[order]
+
+    def places(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each passage, the parts of the words that an alignment of the least score can lie in."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        overlap = int(self.spans.max(initial=0))
+        for size in (2, SEED):
+            for begin in range(0, max(1, len(ids) - overlap), SLICE):
+                passage, place = self.hits(ids[begin : begin + SLICE + overlap], size)
+                last = np.arange(len(passage)) + self.needs[passage] - 1
+                near = np.minimum(last, len(passage) - 1)
+                span = self.spans[passage]
+                good = np.flatnonzero((last < len(passage)) & (passage[near] == passage) & (place[near] - place + size <= span))
+                lows, highs = begin + place[near[good]] + size - span[good], begin + place[good] + span[good]
+                for p, low, high in zip(passage[good].tolist(), np.maximum(lows, 0).tolist(), np.minimum(highs, len(ids)).tolist(), strict=True):
+                    if out[p] and low <= out[p][-1][1]:
+                        out[p][-1] = (min(low, out[p][-1][0]), max(high, out[p][-1][1]))
+                    else:
+                        out[p].append((low, high))
+        return out
+
+    def may_hold(self, p: int, ids: np.ndarray) -> bool:
+        """Whether some span of the words holds enough words and pairs of a passage."""
+        own = np.isin(ids, self.ids[p])
+        both = own.astype(np.int64)
+        both[:-1] += np.isin(grams(ids, 2), grams(self.ids[p], 2)) & own[:-1] & own[1:]
+        total = np.concatenate([[0], np.cumsum(both)])
+        return bool((total[np.minimum(np.arange(len(ids)) + self.spans[p], len(ids))] - total[:-1]).max(initial=0) >= self.least[p])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -117,47 +158,18 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
 
 def matches_of(block: Block, text: str, least: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of the best alignment of each item with a text, if it scores enough."""
-    if not len(block.seeds):
-        return []
     ids = block.of(text)
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    at, found = block.hits(ids, block.seeds)
-    for place, gram in zip(at.tolist(), found.tolist(), strict=True):
-        for p, o in block.places[gram]:
-            n = len(block.ids[p])
-            slack = 8 + n // 2
-            low, high = max(0, place - o - slack), min(len(ids), place - o + n + slack)
-            if spans[p] and low <= spans[p][-1][0] + slack:
-                spans[p][-1] = (spans[p][-1][0], max(high, spans[p][-1][1]))
-            else:
-                spans[p].append((low, high))
     best: dict[int, tuple[float, int, int]] = {}
-    for p, windows in spans.items():
-        for low, high in windows:
+    for p, parts in block.places(ids).items():
+        for low, high in parts:
+            if not block.may_hold(p, ids[low:high]):
+                continue
             score, end = align(block.ids[p], ids[low:high])
             if score >= least and score > best.get(block.items[p], (0,))[0]:
                 best[block.items[p]] = (score, max(0, low + end + 1 - len(block.ids[p])), low + end)
     return [(item, *x) for item, x in best.items()]
 
 
-def gram_counts(docs: DataFrame, block) -> dict[int, int]:
-    """For each n-gram of a block, how many documents hold it: over all documents, summed in tasks and then between them."""
-
-    def run(batches):
-        b = block.value
-        counts = np.zeros(len(b.all), np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                _, found = b.hits(b.of(text), b.all)
-                if found.size:
-                    counts[np.searchsorted(b.all, np.unique(found))] += 1
-        held = np.flatnonzero(counts)
-        yield pd.DataFrame({"gram": b.all[held].view(np.int64), "n": counts[held]})
-
-    summed = docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"] % (1 << 64): r["n"] for r in summed.collect()}
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block_size: int = BLOCK) -> DataFrame:
     """Rows (doc_id, item_id, score, first_word, last_word) for each document that holds enough of a test item.
 
@@ -170,17 +182,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
     out = None
     for b in range(blocks):
         rows = cut.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).collect()
-        block = Block(rows)
-        sent = spark.sparkContext.broadcast(block)
-        if len(block.all):
-            block.choose(gram_counts(docs, sent))
-        else:
-            block.choose({})
-        seeded = spark.sparkContext.broadcast(block)
-
-        def make(seeded=seeded):
+        sent = spark.sparkContext.broadcast(Block(rows, least))
+
+        def make(sent=sent):
             def step(batch: dict) -> dict:
-                found = [(d, *m) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for m in matches_of(seeded.value, text, least)]
+                found = [(d, *m) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for m in matches_of(sent.value, text, least)]
                 names = ("doc_id", "item_id", "score", "first_word", "last_word")
                 return dict(zip(names, map(list, zip(*found, strict=True)), strict=True)) if found else {n: [] for n in names}
 

@@ -116,3 +116,16 @@ def test_edited_copies(spark):
     kept = decontam.clean_of(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5, None}
     assert decontam.contamination(docs, bench.limit(0)).count() == 0 and decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("every", [4, 5, 6])
+@pytest.mark.parametrize("exact_copy", [False, True])
+def test_recall_of_copies_edited_throughout(spark, every, exact_copy):
+    item = [f"word{i}" for i in range(60)]
+    edited = [f"other{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    doubled = [x for i, w in enumerate(item) for x in ([w, f"more{i}"] if i % 2 else [w])]
+    rows = [(1, " ".join(["before", *edited, "after"])), (2, " ".join(doubled)), (3, " ".join(item[::2]))] + [(4, " ".join(item))] * exact_copy
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = {d: plain_alignment(item, text.split()) for d, text in rows}
+    assert got == pytest.approx({d: x for d, x in want.items() if x >= decontam.LEAST_SCORE}) and set(got) >= {1, 2}
