@@ -1,13 +1,13 @@
 """Benchmark decontamination: shared word pairs find candidate places, Smith-Waterman alignment scores them.
 
-Test items are cut into passages of at most PASSAGE words. Matches score 2, mismatches and gaps cost 1; the score is the best local
+Test items are cut into passages of equal length, PASSAGE words at most. Matches score 2, mismatches and gaps cost 1; the score is the best local
 alignment's share of what a perfect copy has, so edits, insertions and losses lower it gradually.
 
 Where to align follows from the least score s, and loses no alignment that reaches it. With m matches of the n words of a passage, such
 an alignment has 2m - 2sn edits at most, so it spans (3 - 2s)n words of the text at most, and holds 2sn - m - 1 >= (2s - 1)n - 1 pairs of
 neighbours that are neighbours in the passage too. So a passage is aligned where so many of its pairs of words lie within such a span,
 and its words and pairs there number 2sn - 1 together. Passages so short that no pair is certain (5 words at 0.6) must share a run of
-SEED words.
+SEED words, or as many as they have.
 
 The benchmark is taken in blocks of at most BLOCK passages, a bound that does not grow; each block's pairs travel to every task, and all
 documents are read against it, SLICE words at a time.
@@ -31,23 +31,31 @@ LEAST_SCORE = 0.6
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters: written without spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ANY_UNSPACED, WORD = re.compile(f"[{UNSPACED}]"), re.compile(r"[^\W_]+")
+WORD_OR_CHARACTER = re.compile(rf"(?![\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
+
+
 def words(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits."""
-    return re.findall(r"[^\W_]+", text.lower())
+    """Lower-cased runs of letters and digits; in scripts without spaces each character is a word."""
+    unspaced = not text.isascii() and ANY_UNSPACED.search(text)
+    return (WORD_OR_CHARACTER if unspaced else WORD).findall(text.lower())
 
 
 def passages(benchmark: DataFrame, size: int = PASSAGE) -> DataFrame:
-    """Rows (item_id, passage, words) of at most `size` words; items of null or empty text give none."""
+    """Rows (item_id, passage, words) of at most `size` words, those of an item of equal length; items of null or empty text give none."""
 
     def make():
         def step(batch: dict) -> dict:
             out = {"item_id": [], "passage": [], "words": []}
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 found = words(text)
-                for k, at in enumerate(range(0, len(found), size)):
+                parts = -(-len(found) // size)
+                for k in range(parts):
                     out["item_id"].append(item)
                     out["passage"].append(k)
-                    out["words"].append(found[at : at + size])
+                    out["words"].append(found[k * len(found) // parts : (k + 1) * len(found) // parts])
             return out
 
         return step
@@ -79,10 +87,10 @@ class Block:
         self.ids = [np.array([self.vocabulary[w] for w in r["words"]], np.int64) for r in rows]
         n = np.array([len(x) for x in self.ids], np.int64)
         pairs = np.ceil((2 * least - 1) * n - 1 - 1e-9).astype(np.int64)
-        self.sizes = np.where(pairs >= 1, 2, SEED)
+        self.sizes = np.where(pairs >= 1, 2, np.minimum(n, SEED))
         self.needs, self.spans = np.maximum(pairs, 1), np.maximum(n, ((3 - 2 * least) * n + 1e-9).astype(np.int64))
         self.least = [2 * least * x - 1 - 1e-9 for x in n.tolist()]
-        self.index = {k: self.postings(k) for k in (2, SEED)}
+        self.index = {k: self.postings(k) for k in np.unique(self.sizes).tolist()}
 
     def postings(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams of the passages that are found by this size, sorted; where the passages of each start; the passages."""
@@ -118,7 +126,7 @@ class Block:
         """For each passage, the parts of the words that an alignment of the least score can lie in."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         overlap = int(self.spans.max(initial=0))
-        for size in (2, SEED):
+        for size in self.index:
             for begin in range(0, max(1, len(ids) - overlap), SLICE):
                 passage, place = self.hits(ids[begin : begin + SLICE + overlap], size)
                 last = np.arange(len(passage)) + self.needs[passage] - 1
@@ -173,7 +181,8 @@ def matches_of(block: Block, text: str, least: float) -> list[tuple[int, float,
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block_size: int = BLOCK) -> DataFrame:
     """Rows (doc_id, item_id, score, first_word, last_word) for each document that holds enough of a test item.
 
-    Empty and null texts hold nothing; passages under SEED words have no seed and never match; an empty benchmark gives no rows.
+    Empty and null texts hold nothing; items under SEED words match where all their words follow each other; an empty benchmark gives
+    no rows.
     Repeated rows of either table give repeated rows.
     """
     spark, docs = docs.sparkSession, texts(docs)

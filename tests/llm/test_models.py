@@ -129,3 +129,13 @@ def test_recall_of_copies_edited_throughout(spark, every, exact_copy):
     got = {r["doc_id"]: r["score"] for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     want = {d: plain_alignment(item, text.split()) for d, text in rows}
     assert got == pytest.approx({d: x for d, x in want.items() if x >= decontam.LEAST_SCORE}) and set(got) >= {1, 2}
+
+
+def test_long_short_and_unspaced_items(spark):
+    long = [f"word{i}" for i in range(134)]
+    thai, chinese = "แมวสีดำนอนอยู่บนหลังคา", "黑色的猫睡在屋顶上面"
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "Rare Pair"), (3, chinese), (4, thai)], "item_id long, text string")
+    rows = [(1, "a clean text that says " + " ".join(long[128:]) + " by chance"), (2, "all of it " + " ".join(long)), (3, "such a rare, pair indeed"), (4, "rare is the pair")]
+    rows += [(5, f"他说{chinese}。然后走了"), (6, f"เขาบอกว่า{thai}แล้วไป"), (7, "别的句子完全不同")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(2, 1), (3, 2), (5, 3), (6, 4)}
