@@ -1,8 +1,10 @@
 """Toxicity scores of texts whose words may be disguised: noisy-channel restoration, then evidence from restored words.
 
 A token that is more than plain letters becomes a lattice: leet signs stand for letters, separators may be dropped, repeated letters
-shortened; runs of single characters are joined. Viterbi decoding under a character trigram model picks the likeliest word. A token of
-plain letters has one path and stays. Evidence is words and word beginnings that are nearly always toxic, beyond what chance among so
+shortened. Viterbi decoding under a character trigram model picks the likeliest word. A token of plain letters has one path and stays.
+Spaces are part of the lattice too: each may be dropped, at a cost, or end a word, and the words that the likeliest path joins count
+beside the tokens. As the model looks two characters back, a space between longer words is decided by the two letters on either side of
+it, and a run of single characters together with the two letters on either side of the run. Evidence is words and word beginnings that are nearly always toxic, beyond what chance among so
 many words explains; near copies count as one document, so that they don't make a document's rare words look toxic. A text's score is
 the chance that at least one of its pieces of evidence holds.
 
@@ -27,10 +29,9 @@ from .language import bounded_sample, fold
 FIT_DOCS, MOST_TRIGRAMS, MOST_CANDIDATES = 20_000, 200_000, 50_000
 LEAST_PRECISION, LEAST_DOCS, THRESHOLD = 0.85, 4, 0.3
 STEMS = (4, 5, 6, 7, 8)
-SPELLED = 4
 #: Letters that signs commonly stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
-SWAP, DROP, DROP_SIGN, SHORTEN = 1.0, 1.0, 4.0, 0.5
+SWAP, DROP, DROP_SIGN, SHORTEN, DROP_SPACE = 1.0, 1.0, 4.0, 0.5, 1.0
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
@@ -123,16 +124,81 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)] if len(word) > 2 else []
 
 
-def spelled(tokens: list[str]) -> list[str]:
-    """Runs of SPELLED single-character tokens or more, joined."""
-    short = np.fromiter(map(len, tokens), np.int32, len(tokens)) == 1
-    edges = np.flatnonzero(np.diff(np.r_[False, short, False]))
-    return ["".join(tokens[a:b]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= SPELLED]
+def word_of(model: CharacterModel, token: str) -> str:
+    """What a lower-cased token says to the tokens beside it: its letters, decoded if need be; a single character as it stands; nothing for numbers."""
+    if len(token) == 1:
+        return token
+    core = EDGES.sub("", token)
+    if core.isalpha():
+        return core
+    return decode(model, core) if any(map(str.isalpha, core)) else core if len(core) == 1 else ""
+
+
+class Spaces(dict):
+    """For (two letters before, single characters, two letters after), a tuple: what the characters stand for, and which spaces to drop.
 
+    Viterbi over the last two characters and the choices so far. Nothing before or after: a word ends there.
+    """
 
-def tokens_of(text: str) -> set[str]:
-    tokens = text.lower().split()
-    return set(tokens).union(spelled(tokens)) if tokens else set()
+    def __init__(self, model: CharacterModel, limit: int = 200_000):
+        super().__init__()
+        self.model, self.limit = model, limit
+
+    def __missing__(self, key: tuple[str, tuple[str, ...], str]) -> tuple[tuple[str, ...], tuple[bool, ...]]:
+        before, singles, after = key
+        states = {before or "^^": (0.0, None)}
+        for k, c in enumerate((*singles, after)):
+            last = k == len(singles)
+            if last and not after:
+                states = {"": min(((cost + self.model.cost(state, "$"), (path, "", False)) for state, (cost, path) in states.items()), key=lambda x: x[0])}
+                break
+            options = [(c, 0.0)] if last or c.isalpha() else lattice(c)[0]
+            fresh: dict[str, tuple] = {}
+            for state, (cost, path) in states.items():
+                ways = [(cost + self.model.cost(state, "$"), "^^", False)] if k or before else [(cost, state, False)]
+                if k or before:
+                    ways.append((cost + DROP_SPACE, state, True))
+                for total, here, dropped in ways:
+                    for text, extra in options:
+                        sum_, end = total + extra, here
+                        for x in text:
+                            sum_ += self.model.cost(end, x)
+                            end = end[1] + x
+                        if end not in fresh or sum_ < fresh[end][0]:
+                            fresh[end] = (sum_, (path, text, dropped))
+            states = fresh
+        path = min(states.values(), key=lambda x: x[0])[1]
+        texts_, drops = [], []
+        while path:
+            path, text, dropped = path
+            texts_.append(text)
+            drops.append(dropped)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = got = (tuple(reversed(texts_[1:])), tuple(reversed(drops)))
+        return got
+
+
+def joined(spaces: Spaces, words: list[str]) -> set[str]:
+    """The words of a text that come of dropping spaces between what its tokens say."""
+    if not words:
+        return set()
+    short = np.fromiter(map(len, words), np.int32, len(words))
+    keys = [(w[-2:], (), v[:2]) if len(w) > 1 < len(v) else None for w, v in zip(words, words[1:], strict=False)]
+    drop = np.fromiter((k is not None and spaces[k][1][0] for k in keys), bool, len(keys))
+    said = words
+    if (short == 1).any():
+        said, edges = list(words), np.flatnonzero(np.diff(np.r_[False, short == 1, False]))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            before, after = words[a - 1][-2:] if a else "", words[b][:2] if b < len(words) else ""
+            said[a:b], drops = spaces[before, tuple(words[a:b]), after]
+            for k, dropped in enumerate(drops, a - 1):
+                if dropped and 0 <= k < len(drop):
+                    drop[k] = True
+    out, edges = set(), np.flatnonzero(np.diff(np.r_[False, drop, False]))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        out.add("".join(said[a : b + 1]))
+    return out
 
 
 def likeness(text: str) -> int:
@@ -169,13 +235,10 @@ class Evidence:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "known"} | {"known": None}
 
-    def of(self, tokens: list[str]) -> list[tuple]:
-        return [tuple(f for w in restored(self.model, t) for f in features(w) if f in self.weights) for t in tokens]
-
     def found(self, text: str) -> set[str]:
         if self.known is None:
-            self.known = TwoGenerations(self.of)
-        return set().union(*filter(None, self.known.values_of(list(tokens_of(text)))))
+            self.known = Features(self.model, self.weights)
+        return self.known.of(text)
 
     def score(self, text: str) -> float:
         """The chance that the base rate or a piece of evidence holds."""
@@ -185,13 +248,23 @@ class Evidence:
         return 1 - miss
 
 
-def all_features(model: CharacterModel) -> TwoGenerations:
-    """A cache of the features of tokens."""
-    return TwoGenerations(lambda tokens: [tuple({f for w in restored(model, t) for f in features(w)}) for t in tokens])
+class Features:
+    """The features of texts, or those of them that are wanted; what tokens and spaces say is kept in bounded caches."""
+
+    def __init__(self, model: CharacterModel, wanted=None):
+        self.model, self.wanted = model, wanted
+        self.tokens, self.spaces = TwoGenerations(self.make), Spaces(model)
+
+    def make(self, tokens: list[str]) -> list[tuple]:
+        return [(tuple(self.pick(restored(self.model, t))), word_of(self.model, t)) for t in tokens]
 
+    def pick(self, words: set[str]) -> set[str]:
+        got = {f for w in words for f in features(w)}
+        return got if self.wanted is None else {f for f in got if f in self.wanted}
 
-def features_in(known: TwoGenerations, text: str) -> set[str]:
-    return set().union(*known.values_of(list(tokens_of(text))))
+    def of(self, text: str) -> set[str]:
+        got = self.tokens.values_of(text.lower().split())
+        return set().union(*{x for x, _ in got if x}) | self.pick(joined(self.spaces, [w for _, w in got]))
 
 
 def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Evidence:
@@ -206,10 +279,10 @@ def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Evidence:
 
     def count(batches):
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        known = all_features(sent.value)
+        known = Features(sent.value)
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                for f in features_in(known, text):
+                for f in known.of(text):
                     counts[f][0 if toxic == 1 else 1] += 1
         yield pd.DataFrame({"feature": list(counts), "p": [x[0] for x in counts.values()], "n": [x[1] for x in counts.values()]}).astype({"feature": object, "p": np.int64, "n": np.int64})
 
@@ -221,9 +294,9 @@ def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Evidence:
     candidates = sample.sparkSession.sparkContext.broadcast(frozenset(counts))
 
     def hold(batches):
-        known = all_features(sent.value)
+        known = Features(sent.value)
         for pdf in batches:
-            rows = [(likeness(text), f) for text in pdf["text"] for f in ["", *(features_in(known, text) & candidates.value)]]
+            rows = [(likeness(text), f) for text in pdf["text"] for f in ["", *(known.of(text) & candidates.value)]]
             yield pd.DataFrame(rows, columns=["h", "feature"]).astype({"h": np.int64, "feature": object})
 
     held: dict[str, set[int]] = defaultdict(set)

@@ -139,3 +139,24 @@ def test_long_short_and_unspaced_items(spark):
     rows += [(5, f"他说{chinese}。然后走了"), (6, f"เขาบอกว่า{thai}แล้วไป"), (7, "别的句子完全不同")]
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(2, 1), (3, 2), (5, 3), (6, 4)}
+
+
+@pytest.fixture(scope="module")
+def spaced(spark):
+    plain = "i saw a quiet river and what a river it was when people walk home and i sat in the sun up on a hill"
+    rows = [(i, f"{plain} number{i} {('you idiot', 'so stupid')[i // 4 % 2] if i % 4 == 0 else 'my friend'} stays", int(i % 4 == 0)) for i in range(400)]
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+
+
+@pytest.mark.parametrize("text", ["what a i d i o t", "y o u i d i o t", "I i d i o t", "i d i o t a n d s t u p i d", "id iot", "so st upid", "s t upid", "an i d iot", "1 d 1 0 t", "what a 1d iot"])
+def test_spaced_words(spaced, text):
+    assert spaced.score(text) >= 0.3
+
+
+def test_two_spelled_words(spaced):
+    assert {"idiot", "stupid"} <= spaced.found("s t u p i d i d i o t")
+
+
+@pytest.mark.parametrize("text", ["i saw a river up in the sun", "a b c d e f", "i d", "1 2 3 4 5 6", "what a walk it was", ". . . - - -"])
+def test_spaces_of_clean_words(spaced, text):
+    assert spaced.score(text) < 0.3
