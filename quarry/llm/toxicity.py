@@ -8,7 +8,7 @@ it, and a run of single characters together with the two letters on either side
 many words explains; near copies count as one document, so that they don't make a document's rare words look toxic. A text's score is
 the chance that at least one of its pieces of evidence holds.
 
-Model and evidence are learned from a bounded sample of labelled rows (FIT_DOCS, about); the counting runs in Spark.
+The character model is counted over all documents in Spark; evidence is learned from a bounded sample of labelled rows (FIT_DOCS, about).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import TwoGenerations, arrow_map, checkpoint, keep_rows, table, texts
 from .language import bounded_sample, fold
 
-FIT_DOCS, MOST_TRIGRAMS, MOST_CANDIDATES = 20_000, 200_000, 50_000
+FIT_DOCS, MOST_CANDIDATES = 20_000, 50_000
 LEAST_PRECISION, LEAST_DOCS, THRESHOLD = 0.85, 4, 0.3
 STEMS = (4, 5, 6, 7, 8)
 #: Letters that signs commonly stand for.
@@ -208,21 +208,32 @@ def likeness(text: str) -> int:
     return min(map(xxhash.xxh64_intdigest, shingles)) >> 1
 
 
-def trigram_model(sample: DataFrame) -> CharacterModel:
-    """The character model of a sample's plain words, each task counting its own."""
+def trigram_model(docs: DataFrame) -> CharacterModel:
+    """The character model of the plain words of all documents, each task counting its own. All trigrams are kept: their number follows from the scripts."""
 
     def run(batches):
         counts: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                for word, n in Counter(x for x in (EDGES.sub("", t) for t in text.lower().split()) if x.isalpha()).items():
+        seen: Counter = Counter()
+
+        def settle():
+            for token, n in seen.items():
+                word = EDGES.sub("", token)
+                if word.isalpha():
                     marked = f"^^{word}$"
                     for k in range(len(marked) - 2):
                         counts[marked[k : k + 3]] += n
+            seen.clear()
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                seen.update(text.lower().split())
+                if len(seen) > 100_000:
+                    settle()
+        settle()
         yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())}).astype({"gram": object, "n": np.int64})
 
-    summed = sample.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return CharacterModel({r["gram"]: r["n"] for r in summed.orderBy(F.desc("n"), "gram").limit(MOST_TRIGRAMS).collect()})
+    summed = docs.where("text is not null").select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return CharacterModel(dict(zip(summed["gram"].to_pylist(), summed["n"].to_pylist(), strict=True)))
 
 
 class Evidence:
@@ -267,14 +278,16 @@ class Features:
         return set().union(*{x for x, _ in got if x}) | self.pick(joined(self.spaces, [w for _, w in got]))
 
 
-def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Evidence:
+def fit(labelled: DataFrame, most: int = FIT_DOCS, corpus: DataFrame | None = None) -> Evidence:
     """Evidence from rows (doc_id, text, toxic), a bounded sample of them. Without toxic rows nothing is evidence.
 
+    The character model is that of all rows of the corpus (text), labelled or not; without one, that of all labelled rows.
+
     A feature is evidence if its precision reaches LEAST_PRECISION and its likelihood ratio against the base rate outweighs the
     number of features tried. Toxic documents count once for each group of near copies.
     """
     sample = checkpoint(bounded_sample(labelled.where("text is not null and toxic is not null"), most).select("text", F.col("toxic").cast("int").alias("toxic")))
-    model = trigram_model(sample)
+    model = trigram_model(labelled if corpus is None else corpus)
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
@@ -338,7 +351,7 @@ def score(docs: DataFrame, evidence: Evidence, threshold: float = THRESHOLD) ->
 def learned(docs: DataFrame, labels: DataFrame) -> Evidence:
     """Evidence from the labelled documents whose fold isn't held out; a document with several labels is toxic if one says so."""
     marks = labels.where((fold(of=4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(docs.select("doc_id", "text").join(marks, "doc_id"))
+    return fit(docs.select("doc_id", "text").join(marks, "doc_id"), corpus=docs)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,3 +160,12 @@ def test_two_spelled_words(spaced):
 @pytest.mark.parametrize("text", ["i saw a river up in the sun", "a b c d e f", "i d", "1 2 3 4 5 6", "what a walk it was", ". . . - - -"])
 def test_spaces_of_clean_words(spaced, text):
     assert spaced.score(text) < 0.3
+
+
+def test_character_model_of_all_documents(spark):
+    labelled = [(i, "you idiot" if i % 2 else "my friend", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, text) for i, text, _ in labelled] + [(100 + i, "zzyzx") for i in range(50)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, toxic) for i, _, toxic in labelled], "doc_id long, toxic int")
+    three = toxicity.learned(docs, marks).model.three
+    assert three["zyz"] == 50 and three["idi"] == 20
+    assert toxicity.fit(docs.join(marks, "doc_id"), most=5).model.three["idi"] == 20
