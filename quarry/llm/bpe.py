@@ -1,8 +1,8 @@
 """Byte-level byte-pair encoding: ranks, exact splitting of texts, and merges on forests of segment trees.
 
 A segment tree over the byte positions of a pre-token keeps, at its root, the leftmost of the lowest pair ranks. A merge
-reads the root, joins two live neighbours, and updates three leaves and their ancestors. The trees of many pre-tokens of
-like length lie side by side in one array, so that each round makes one merge in each of them.
+reads the root, joins two live neighbours, and updates three leaves and their ancestors. The trees of many short pre-tokens of
+like length lie side by side in one array, so that each round makes one merge in each of them; a long one has a tree of its own.
 """
 
 from __future__ import annotations
@@ -10,12 +10,15 @@ from __future__ import annotations
 import base64
 import functools
 import json
+from array import array
 
 import numpy as np
 import public_tokenizers
 import regex
 
 NONE = np.int64(1) << 60
+#: Words of more bytes have a tree each, with so many children a node.
+LONG, FAN = 512, 16
 #: The splitting pattern with white space as Unicode defines it, as the tokenizer libraries read \s.
 SPLIT = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 #: White space beyond ASCII, as Unicode defines it.
@@ -46,6 +49,7 @@ class Ranks:
         self.rank = np.append(rank[order], NONE)
         self.made = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
         self.made[rank] = made
+        self.pairs = pairs
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NONE where the pair isn't merged."""
@@ -141,13 +145,60 @@ def merge_forest(ranks: Ranks, words: list[bytes], width: int) -> tuple[np.ndarr
     return ids[kept], kept.sum(1)
 
 
+def merge_one(ranks: Ranks, word: bytes) -> np.ndarray:
+    """Ids of one long word: the same tree, FAN children a node, in flat arrays. A merge costs a few steps for each level, whatever the length."""
+    n, none, pairs = len(word), int(NONE), ranks.pairs
+    ids = array("q", ranks.byte_ids[np.frombuffer(word, np.uint8)].tobytes())
+    after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    first = np.frombuffer(ids, np.int64)
+    pair = ranks.of(first[:-1], first[1:])
+    leaves = np.where(pair < NONE, pair * n + np.arange(n - 1), NONE)
+    levels = []
+    while True:
+        padded = np.full(-(-max(len(leaves), 1) // FAN) * FAN, NONE, np.int64)
+        padded[: len(leaves)] = leaves
+        levels.append(array("q", padded.tobytes()))
+        if len(padded) == FAN:
+            break
+        leaves = padded.reshape(-1, FAN).min(1)
+    del first, pair, leaves
+    low, top = levels[0], levels[-1]
+    while (best := min(top)) < none:
+        rank, at = divmod(best, n)
+        right = after[at]
+        far, near = after[right], before[at]
+        made = ids[at] = int(ranks.made[rank])
+        ids[right] = -1
+        after[at] = far
+        own = none
+        if far < n:
+            before[far] = at
+            own = pairs.get((made, ids[far]), (none,))[0]
+        low[at] = own if own == none else own * n + at
+        if right < n - 1:
+            low[right] = none
+        touched = {at // FAN, right // FAN}
+        if near >= 0:
+            own = pairs.get((ids[near], made), (none,))[0]
+            low[near] = own if own == none else own * n + near
+            touched.add(near // FAN)
+        for level, above in zip(levels, levels[1:], strict=False):
+            for node in touched:
+                above[node] = min(level[node * FAN : node * FAN + FAN])
+            touched = {node // FAN for node in touched}
+    kept = np.frombuffer(ids, np.int64)
+    return kept[kept >= 0]
+
+
 def encode_words(ranks: Ranks, words: list[bytes], cells: int = 1 << 19) -> list[np.ndarray]:
-    """Ids of each word, a non-empty byte string, by merges alone. At most about `cells` tree leaves are held at once."""
+    """Ids of each word, a non-empty byte string, by merges alone. At most about `cells` tree leaves are held at once, or one word's."""
     out: list[np.ndarray | None] = [None] * len(words)
     by_width: dict[int, list[int]] = {}
     for i, word in enumerate(words):
         if len(word) == 1:
             out[i] = ranks.byte_ids[word[0] : word[0] + 1]
+        elif len(word) > LONG:
+            out[i] = merge_one(ranks, word)
         else:
             by_width.setdefault(1 << (len(word) - 1).bit_length(), []).append(i)
     for width, places in by_width.items():
@@ -160,12 +211,17 @@ def encode_words(ranks: Ranks, words: list[bytes], cells: int = 1 << 19) -> list
     return out
 
 
+def odd(text: str) -> bool:
+    """Whether white space stands beside a space, or a space at either end, so that not every space cuts."""
+    if "  " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(" " + c in text for c in "\t\r\x0b\x0c"):
+        return True
+    return not text.isascii() and any(c in text for c in FAR_SPACES)
+
+
 def chunks(text: str) -> list[str]:
     """Parts of a text that the splitting pattern never joins; all but the first have lost a leading space.
 
     A space before a character that isn't white space always starts a pre-token. So single spaces cut a text exactly;
     where white space stands beside a space, only the last space of the run cuts.
     """
-    odd = "  " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(" " + c in text for c in "\t\r\x0b\x0c")
-    odd = odd or not text.isascii() and any(c in text for c in FAR_SPACES)
-    return CUT.split(text) if odd else text.split(" ")
+    return CUT.split(text) if odd(text) else text.split(" ")

@@ -79,29 +79,32 @@ class TwoGenerations(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
-    def fill(self, keys: Iterable) -> None:
-        """Makes distinct keys known that are not in this generation."""
-        missing = []
-        for key in keys:
-            value = self.old.get(key)
-            if value is None:
-                missing.append(key)
-            else:
-                self[key] = value
-        if missing:
-            self.update(zip(missing, self.make(missing), strict=True))
-
     def values_of(self, keys: list) -> list:
-        """The value of each key, in order; each key known is looked up once."""
+        """The value of each key, in order."""
+        place: dict = {}
+        numbers = [place.setdefault(k, len(place)) for k in keys]
+        values = self.values_of_distinct(list(place))
+        return [values[i] for i in numbers]
+
+    def values_of_distinct(self, keys: list) -> list:
+        """The value of each key, in order; no key stands twice."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
         got = list(map(self.get, keys))
-        open_ = [i for i, v in enumerate(got) if v is None]
-        if open_:
-            self.fill({keys[i] for i in open_})
-            for i in open_:
-                got[i] = self[keys[i]]
+        missing = []
+        for i in [i for i, v in enumerate(got) if v is None]:
+            value = self.old.get(keys[i])
+            if value is None:
+                missing.append(i)
+            else:
+                got[i] = self[keys[i]] = value
+        if missing:
+            fresh = [keys[i] for i in missing]
+            made = self.make(fresh)
+            self.update(zip(fresh, made, strict=True))
+            for i, value in zip(missing, made, strict=True):
+                got[i] = value
         return got
 
 

@@ -27,8 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
 from .bpe import byte_symbols
-from .common import SLICE_BYTES, TwoGenerations, arrow_map, shared_path, table, texts
-from .tokens import BYTE_BPE, PIECES, SPECIAL, cache, looked_up, pieces_joined
+from .common import SLICE_BYTES, arrow_map, shared_path, table, texts
+from .tokens import BYTE_BPE, cache, ids_of, pieces_joined, specials
 
 POLY, MASK_DELTA, BLOCK = 0x82F63B78, 0xA282EAD8, 512
 HEAD = "<QI"
@@ -104,11 +104,16 @@ def frames(items: list[bytes]) -> list[bytes]:
     return [n + struct.pack("<I", masked(a)) + x + struct.pack("<I", masked(b)) for n, a, x, b in zip(lengths, crc32c(lengths), items, crc32c(items), strict=True)]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark finds it in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def open_shared(uri: str, mode: str):
-    """A file in the shared folder: file: and plain paths as local files, other stores through Arrow."""
-    scheme, _, rest = uri.partition(":")
-    if not rest or scheme == "file":
-        return open("/" + rest.lstrip("/") if rest else uri, mode)
+    """A file of a qualified path in the shared folder: file: as a local file, other stores through Arrow."""
+    if uri.startswith("file:"):
+        return open("/" + uri[5:].lstrip("/"), mode)
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
@@ -175,31 +180,38 @@ def read_records(index: DataFrame) -> DataFrame:
     return arrow_map(index, make, "doc_id long, shard int, before long, n_tokens long, ids binary")
 
 
-def library_ids(path: str, special: int) -> Callable[[list], list]:
+def library_ids(path: str) -> Callable[[list], list]:
     """For cache keys: the ids that the tokenizers library's model gives their pre-tokens, as 32-bit integers.
 
     The library's own pre-tokens are these, in its byte symbols; its model is asked for each once.
     """
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    tokenize = Tokenizer.from_file(path).model.tokenize
     symbols = {b: c for c, b in byte_symbols().items()}
+    space = symbols[32]
+
+    def make(shown: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shown]
+
+    def pieces(missing: list) -> list:
+        return make([w.encode().decode("latin-1").translate(symbols) for w in missing])
 
-    def make(missing: list) -> list:
-        return [array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes() for w in missing]
+    def letters(missing: list) -> list:
+        return make([space + (w if w.isascii() else w.encode().decode("latin-1").translate(symbols)) for w in missing])
 
-    return pieces_joined(TwoGenerations(make, PIECES), special.to_bytes(4, "little"))
+    return pieces_joined(pieces, letters, specials(path))
 
 
-def text_encoder(path: str, end_id: int, mark: str, mark_id: int) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+def text_encoder(path: str, end_id: int) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """Makes the function that encodes texts as the tokenizers library does, with end_id after each.
 
     A text is cut at special strings and at single spaces, neither of which changes what the library gives.
     """
 
     def make():
-        known, end = cache(("library", path), library_ids(path, mark_id)), end_id.to_bytes(4, "little")
-        return lambda items: [np.frombuffer(b"".join(x) + end, "<u4") for x in looked_up(known, items, mark)]
+        known, marks = cache(("library", path), library_ids(path)), tuple(specials(path))
+        return lambda items: [np.append(x, np.uint32(end_id)) for x in ids_of(known, items, marks)]
 
     return make
 
@@ -211,11 +223,11 @@ def token_file_digest(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     ordered by text; rows with a null doc_id come first.
     """
     spark = docs.sparkSession
-    folder = shared_path(spark, "token-records")
+    folder = qualified(spark, shared_path(spark, "token-records"))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    write_records(ranged, folder, text_encoder(path, end_id, SPECIAL, 50256)).write.parquet(f"{folder}/index")
+    write_records(ranged, folder, text_encoder(path, end_id)).write.parquet(f"{folder}/index")
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     ends = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("base"))

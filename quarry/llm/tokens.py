@@ -9,11 +9,17 @@ input are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Callable, Iterator
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
@@ -21,8 +27,9 @@ from .common import TwoGenerations, arrow_map, table, texts
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
-SPECIAL = "<|endoftext|>"
-GROUP_CHARS, CHUNKS, PIECES = 1 << 20, 250_000, 60_000
+GROUP_CHARS, CHUNKS, PIECES = 4 << 20, 250_000, 60_000
+#: Signs that a word of letters often ends with, each a pre-token of its own where white space or the text's end follows.
+STOPS = frozenset(".,;:!?")
 
 
 def keys(part: str) -> list:
@@ -32,15 +39,20 @@ def keys(part: str) -> list:
     return cut
 
 
-def text_keys(text: str, mark: str | None = None) -> list:
-    """Cache keys of a text; a special string in it has the key (mark, True), and parts a text as a whole."""
-    if mark is None or mark not in text:
+@functools.lru_cache(4)
+def specials(path: str) -> dict[str, int]:
+    """The special tokens of a tokenizers file: their strings, inside a text too, stand for their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def text_keys(text: str, marks: Iterable[str] = ()) -> list:
+    """Cache keys of a text; a special string in it has the key (string, True), and parts a text as a whole."""
+    if not any(m in text for m in marks):
         return keys(text)
     out = []
-    for i, part in enumerate(text.split(mark)):
-        if i:
-            out.append((mark, True))
-        out += keys(part)
+    for i, part in enumerate(re.split(f"({'|'.join(map(re.escape, sorted(marks, key=len, reverse=True)))})", text)):
+        out += keys(part) if i % 2 == 0 else [(part, True)]
     return out
 
 
@@ -51,24 +63,55 @@ def words(key) -> list[str]:
     return [" " + key] if key.isalpha() else bpe.SPLIT.findall(" " + key)
 
 
-def looked_up(known: TwoGenerations, items: list[str], mark: str | None = None) -> Iterator[list]:
-    """For each text the values of its keys, looked up for a run of texts at once."""
-    for run in groups(items):
-        every, ends = [], []
-        for x in run:
-            every += text_keys(x, mark)
-            ends.append(len(every))
-        values, at = known.values_of(every), 0
-        for end in ends:
-            yield values[at:end]
-            at = end
+class Run(NamedTuple):
+    """A run of texts looked up together: which texts, the values of their distinct keys, each key's value by number, and where each text's keys begin."""
+
+    places: list[int]
+    values: list
+    codes: np.ndarray
+    bounds: np.ndarray
 
 
-def groups(items: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about GROUP_CHARS characters, so that memory doesn't follow the size of an Arrow batch."""
+def runs(known: TwoGenerations, items: list[str], marks: Iterable[str] = ()) -> Iterator[Run]:
+    """The texts in runs of about GROUP_CHARS characters, so that memory doesn't follow the size of an Arrow batch.
+
+    Texts that single spaces cut are split and their parts numbered by Arrow, so that each distinct part is looked up once a run;
+    the others (special strings, or other white space at a cut) are cut one by one.
+    """
+    for places in groups(items):
+        plain = [i for i in places if not (bpe.odd(items[i]) or any(m in items[i] for m in marks))]
+        if plain:
+            parts = pc.split_pattern(pa.array([items[i] for i in plain], pa.large_string()), " ")
+            coded, bounds = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
+            codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            first = codes[bounds[:-1]]
+            codes[bounds[:-1]] = len(distinct) + np.arange(len(plain))
+            used = np.flatnonzero(np.bincount(codes, minlength=len(distinct))[: len(distinct)])
+            named = strings(distinct.take(pa.array(used))) + [(x,) for x in strings(distinct.take(pa.array(first)))]
+            number = np.zeros(len(distinct) + len(plain), np.int64)
+            number[used] = np.arange(len(used))
+            number[len(distinct) :] = len(used) + np.arange(len(plain))
+            yield Run(plain, known.values_of_distinct(named), number[codes], bounds)
+        rest = sorted(set(places).difference(plain))
+        if rest:
+            seen: dict = {}
+            codes, bounds = [], [0]
+            for i in rest:
+                codes += [seen.setdefault(k, len(seen)) for k in text_keys(items[i], marks)]
+                bounds.append(len(codes))
+            yield Run(rest, known.values_of_distinct(list(seen)), np.array(codes, np.int64), np.array(bounds, np.int64))
+
+
+def strings(values: pa.Array) -> list[str]:
+    """An Arrow array of strings as a list, all at once."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def groups(items: list[str]) -> Iterator[list[int]]:
+    """Places of texts in runs of about GROUP_CHARS characters."""
     run, size = [], 0
-    for x in items:
-        run.append(x)
+    for i, x in enumerate(items):
+        run.append(i)
         size += len(x)
         if size >= GROUP_CHARS:
             yield run
@@ -77,6 +120,32 @@ def groups(items: list[str]) -> Iterator[list[str]]:
         yield run
 
 
+def sums_of(known: TwoGenerations, items: list[str], marks: Iterable[str] = ()) -> list[int]:
+    """For each text the sum of its keys' values, which are numbers."""
+    out = [0] * len(items)
+    for run in runs(known, items, marks):
+        upto = np.append(0, np.cumsum(np.array(run.values, np.int64)[run.codes]))[run.bounds]
+        for i, n in zip(run.places, np.diff(upto).tolist(), strict=True):
+            out[i] = n
+    return out
+
+
+def ids_of(known: TwoGenerations, items: list[str], marks: Iterable[str] = ()) -> list[np.ndarray]:
+    """For each text the ids of its keys' values, which are ids as little-endian 32-bit integers."""
+    out: list = [None] * len(items)
+    for run in runs(known, items, marks):
+        flat = np.frombuffer(b"".join(run.values), "<u4")
+        sizes = np.fromiter(map(len, run.values), np.int64, len(run.values)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[run.codes]
+        ends = np.cumsum(many)
+        ids = flat[np.arange(many.sum()) + np.repeat(starts[run.codes] - ends + many, many)]
+        cuts = np.append(0, ends)[run.bounds].tolist()
+        for i, a, b in zip(run.places, cuts, cuts[1:], strict=False):
+            out[i] = ids[a:b]
+    return out
+
+
 def prove_whole_tokens(ranks: bpe.Ranks) -> frozenset[bytes]:
     """The vocabulary strings whose merges end in one token, themselves: made once, on the driver, from the vocabulary alone."""
     known = [t for t in ranks.tokens if t]
@@ -128,11 +197,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(bpe.json_ranks(path)))
 
     def make():
-        known = cache(("count", path), count_maker(path, whole.value))
+        known, marks = cache(("count", path), count_maker(path, whole.value)), tuple(specials(path))
 
         def step(batch: dict) -> dict:
             out = {"doc_id": batch["doc_id"], "n_bytes": [len(x.encode()) for x in batch["text"]]}
-            out["n_tokens"] = [sum(x) for x in looked_up(known, batch["text"], SPECIAL)]
+            out["n_tokens"] = sums_of(known, batch["text"], marks)
             return out | {"over_limit": [n > limit for n in out["n_tokens"]]}
 
         return step
@@ -150,35 +219,49 @@ def id_maker(path: str) -> Callable[[list], list]:
         merged = iter(bpe.encode_words(ranks, [x for x, i in zip(raw, found, strict=True) if i is None]))
         return [next(merged).astype("<u4").tobytes() if i is None else i.to_bytes(4, "little") for i in found]
 
-    return pieces_joined(TwoGenerations(make_pieces, PIECES))
+    return pieces_joined(make_pieces, lambda words: make_pieces([" " + w for w in words]))
 
 
-def pieces_joined(pieces: TwoGenerations, special: bytes = b"") -> Callable[[list], list]:
+def pieces_joined(make_pieces: Callable[[list], list], make_words: Callable[[list], list], special: dict[str, int] | None = None) -> Callable[[list], list]:
     """For cache keys: the joined ids of their pre-tokens; a special string's own.
 
-    A word of letters is one pre-token and made at once; what else there is comes from a cache of pre-tokens.
+    A word of letters is one pre-token and made at once; with a stop behind it, it is made of the word and the stop. What else there
+    is comes from a bounded cache of pre-tokens.
     """
+    pieces = TwoGenerations(make_pieces, PIECES)
 
     def make(missing: list) -> list:
-        plain = [k for k in missing if isinstance(k, str) and k.isalpha()]
-        whole = dict(zip(plain, pieces.make([" " + k for k in plain]), strict=True))
-        cut = [() if k in whole else words(k) for k in missing]
-        values, at, out = pieces.values_of([w for x in cut for w in x]), 0, []
-        for key, x in zip(missing, cut, strict=True):
-            value = whole.get(key)
-            if value is None:
-                value = special if isinstance(key, tuple) and len(key) == 2 else b"".join(values[at : at + len(x)])
-                at += len(x)
-            out.append(value)
+        plain: dict[str, int] = {}
+        which, rest = [], []
+        for i, k in enumerate(missing):
+            if type(k) is str and k.isalpha():
+                which.append(plain.setdefault(k, len(plain)))
+            elif type(k) is str and k[-1:] in STOPS and k[:-1].isalpha():
+                which.append(plain.setdefault(k[:-1], len(plain)))
+            else:
+                which.append(-1)
+                rest.append(i)
+        ids = [*make_words(list(plain)), b""]
+        out = [ids[n] + stop(k[-1]) if n >= 0 and k[-1] in STOPS else ids[n] for n, k in zip(which, missing, strict=True)]
+        cut = [words(missing[i]) for i in rest]
+        values, at = pieces.values_of([w for x in cut for w in x]), 0
+        for i, x in zip(rest, cut, strict=True):
+            k = missing[i]
+            out[i] = special[k[0]].to_bytes(4, "little") if type(k) is tuple and len(k) == 2 else b"".join(values[at : at + len(x)])
+            at += len(x)
         return out
 
+    @functools.cache
+    def stop(sign: str) -> bytes:
+        return make_pieces([sign])[0]
+
     return make
 
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function that gives the ids of texts, as little-endian 32-bit integers."""
     known = cache(("ids", path), id_maker(path))
-    return lambda items: [b"".join(x) for x in looked_up(known, items)]
+    return lambda items: [x.tobytes() for x in ids_of(known, items)]
 
 
 def decoder(path: str) -> Callable[[bytes], tuple[int, str, bytes]]:

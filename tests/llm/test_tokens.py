@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -70,15 +71,23 @@ def test_round_trip(docs, encoding):
 @given(st.text(alphabet=st.sampled_from(list(" \n\tab1é.'s \x1c\x85😀中")), max_size=24))
 def test_cut_texts_encode_alike(encoding, library, text):
     known = tokens.cache(("test", MULTI), tokens.id_maker(MULTI))
-    (got,) = [b"".join(x) for x in tokens.looked_up(known, [text])]
-    assert np.frombuffer(got, "<u4").tolist() == encoding.encode_ordinary(text)
-    (ids,) = records.text_encoder(BPE, 2, tokens.SPECIAL, 50256)()([text])
-    assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    many = [text, "plain words. said, again", text + "x"]
+    assert [x.tolist() for x in tokens.ids_of(known, many)] == [encoding.encode_ordinary(x) for x in many]
+    assert [x.tolist() for x in records.text_encoder(BPE, 2)()(many)] == [[*library.encode(x, add_special_tokens=False).ids, 2] for x in many]
 
 
-def test_long_word(encoding):
-    word = "abcdefghij" * 4000
+@pytest.mark.parametrize("word", ["abcdefghij" * 4000, "a" * 700, "x" * 513, "ab" * 256, "".join("thequickéfox"[i * i % 11] for i in range(5000))])
+def test_long_words(encoding, library, word):
     assert bpe.encode_words(bpe.tiktoken_ranks(MULTI), [word.encode()])[0].tolist() == encoding.encode_ordinary(word)
+    if len(word) < 6000:
+        assert bpe.encode_words(bpe.json_ranks(BPE), [word.encode()])[0].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_a_word_of_a_megabyte(spark):
+    began = time.process_time()
+    word = ("abcdefghi" * 3)[:26] * 40_000
+    ids = bpe.merge_one(bpe.tiktoken_ranks(MULTI), word.encode())
+    assert b"".join(bpe.tiktoken_ranks(MULTI).tokens[i] for i in ids.tolist()) == word.encode() and time.process_time() - began < 60
 
 
 def test_records(docs, library):
