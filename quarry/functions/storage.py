@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in spark.checkpoint.dir; where that is unset, as in tests, in a folder of this machine."""
+    """The rows of df, kept in spark.checkpoint.dir. Where that is unset a local session takes a folder of its own; on a cluster, whose machines don't share theirs, it is an error."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint(eager=True)

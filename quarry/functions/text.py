@@ -60,13 +60,16 @@ def shingles(ws: Column, n: int = 3) -> Column:
     return F.when(F.size(ws) >= n, runs).otherwise(F.array(F.array_join(ws, " ")))
 
 
+# Affixes of Indonesian words, tried in this order.
+SUFFIXES_ID = ("nya", "lah", "kah", "kan", "an")
+PREFIXES_ID = ("meng", "meny", "mem", "men", "me", "peng", "peny", "pem", "pen", "pe", "ber", "ter", "di", "ke", "se")
+
+
 def stem_id(word: Column) -> Column:
-    """A light Indonesian stem: words under six letters stay; a suffix, then a prefix goes if three letters are left."""
-    bare = F.regexp_replace(word, r"(kan|nya|lah|kah|an|i)$", "")
-    bare = F.when(F.length(bare) >= 3, bare).otherwise(word)
-    cut = F.regexp_replace(bare, r"^(meng|mem|men|me|peng|pem|pen|pe|ber|ter|di|ke|se)", "")
-    cut = F.when(F.length(cut) >= 3, cut).otherwise(bare)
-    return F.when(F.length(word) < 6, word).otherwise(cut)
+    """A light Indonesian stem: a word of six letters or more loses a suffix, then, if six are left, a prefix; under three letters it stays whole."""
+    bare = F.regexp_replace(word, f"({'|'.join(SUFFIXES_ID)})$", "")
+    cut = F.when(F.length(bare) >= 6, F.regexp_replace(bare, f"^({'|'.join(PREFIXES_ID)})", "")).otherwise(bare)
+    return F.when((F.length(word) >= 6) & (F.length(cut) >= 3), cut).otherwise(word)
 
 
 def content_hash(*parts: Column) -> Column:

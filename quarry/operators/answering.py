@@ -1,95 +1,117 @@
-"""Short answers to what an agent asked: normal form, polarity, options, and what the awaited field becomes.
+"""Short answers to what an agent asked, as columns: normal form, polarity by scored cues, options, and what the awaited field becomes.
 
-Phrases are few and the decisions are ordered, so they are one small function a row, run on Arrow batches.
+Words come from tables (Cues) that the caller may replace. A text that says more than its cues and fillers allow answers nothing, so
+that what is left over goes to a model.
 """
 
 from __future__ import annotations
 
 import difflib
-import re
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dialogue import number_of
-
-POLITE = {"please", "sir", "madam", "ji", "thanks", "um", "uh"}
-YES = ("yes", "yeah", "yep", "yup", "sure", "of course", "correct", "right", "haan", "ya", "oo")
-NO = ("no", "nope", "nah", "none", "not really", "nahi", "tidak", "hindi")
-NEGATORS = {"no", "not", "none", "dont", "never", "nahi", "without"}
-HEDGES = ("maybe", "i think", "not sure", "probably", "i guess", "perhaps")
-FILLERS = {"i", "im", "am", "is", "its", "my", "age", "years", "year", "old", "about", "it", "around", "a", "rupees", "per", "of"}
-MONTHLY = {"month", "monthly"}
-
-
-def normal(text: str) -> str:
-    """Lower case, grouped digits joined, 15k apart, apostrophes and polite words gone."""
-    t = text.lower().replace("’", "'").replace("'", "").replace("pre-existing", "preexisting")
-    while (joined := re.sub(r"(\d),(\d{2,3})\b", r"\1\2", t)) != t:
-        t = joined
-    t = re.sub(r"(\d)\s*k\b", r"\1 thousand", t)
-    t = re.sub(r"[^\w\s.]", " ", t)
-    return " ".join(w for w in re.sub(r"(?<!\d)\.|\.(?!\d)", " ", t).split() if w not in POLITE)
-
-
-def polarity(text: str, allowed: frozenset[str] = frozenset()) -> bool | None:
-    """Whether a plain answer says yes or no; None where it hedges, contradicts itself, or says more than the words allowed."""
-    padded = f" {text} "
-    if not text or any(f" {h} " in padded for h in HEDGES) or re.search(r"\d", text):
-        return None
-    lead = next((p for p in sorted((*YES, *NO), key=len, reverse=True) if text == p or text.startswith(p + " ")), None)
-    rest = text[len(lead) :].split() if lead else text.split()
-    said = lead not in NO if lead else False
-    if lead is None and not NEGATORS & set(rest):
-        return None
-    if any(w not in allowed and w not in NEGATORS and w not in ("i", "do", "have", "any", "us", "of", "we", "is", "it", "that", "thats") and w not in YES for w in rest):
-        return None
-    return None if said and NEGATORS & set(rest) else said
-
-
-def pick(text: str, options: list[int]) -> int | None:
-    """The place of the option that a phrase names by order, size or amount."""
-    ws = text.split()
-    for i, names in enumerate(({"first", "1st"}, {"second", "2nd", "middle"}, {"third", "3rd"})):
-        if i < len(options) and names & set(ws):
-            return i
-    if {"cheapest", "lowest", "smallest", "minimum"} & set(ws):
-        return options.index(min(options))
-    if {"biggest", "highest", "largest", "maximum"} & set(ws):
-        return options.index(max(options))
-    n = number_of([w for w in ws if w not in FILLERS])
-    return options.index(n) if n in options else None
-
-
-def answer(kind: str, text: str, allowed: frozenset[str] = frozenset(), known: frozenset[str] = frozenset()) -> str | None:
-    """The value of an awaited field, as text: kinds number, amount (a year's), yesno, city, name. A question answers nothing."""
-    if "?" in text:
-        return None
-    t = normal(text)
-    if kind == "yesno":
-        p = polarity(t, allowed)
-        return None if p is None else str(p).lower()
-    ws = t.split()
-    if kind in ("number", "amount"):
-        n = number_of([w for w in ws if w not in FILLERS and w not in MONTHLY])
-        return None if n is None else str(n * 12 if kind == "amount" and MONTHLY & set(ws) else n)
-    bare = re.sub(r"^(i live in|i am from|from|in|my name is|this is|i am|im) ", "", t)
-    if kind == "city":
-        return bare if bare in known else None
-    return bare.title() if kind == "name" and 1 <= len(bare.split()) <= 2 and bare.replace(" ", "").isalpha() and bare not in (*YES, *NO) else None
-
-
-def resolve(rows: DataFrame, kind: str, allowed: set[str] = frozenset(), known: set[str] = frozenset()) -> DataFrame:
+from ..functions.spoken import number_in
+
+
+@dataclass(frozen=True)
+class Cues:
+    """Words that speakers of a market use: what says yes and no, what leaves open, what adds nothing, what makes an amount a month's."""
+
+    yes: tuple[str, ...] = ("yes", "yeah", "yep", "yup", "sure", "of course", "correct", "right", "haan", "oo", "iya")
+    no: tuple[str, ...] = ("no", "nope", "nah", "not", "none", "never", "dont", "nothing", "nahi", "tidak")
+    unsure: tuple[str, ...] = ("maybe", "perhaps", "probably", "not sure", "i think", "i guess")
+    courtesy: tuple[str, ...] = ("please", "thanks", "sir", "madam", "ji", "um", "uh")
+    fillers: tuple[str, ...] = ("i", "we", "do", "have", "any", "of", "us", "is", "it", "that", "thats", "this")
+    beside_numbers: tuple[str, ...] = ("i", "im", "am", "hes", "shes", "is", "its", "it", "my", "age", "years", "year", "old", "about", "around", "just", "only", "rupees", "per", "a", "of")
+    monthly: tuple[str, ...] = ("month", "monthly")
+    leads: tuple[str, ...] = ("my name is", "this is", "i am", "im", "its", "i live in", "i am from", "im from", "im based in", "from", "in", "yeah", "yes")
+
+
+ENGLISH = Cues()
+
+
+def normal(text: Column, cues: Cues = ENGLISH) -> Column:
+    """Lower case, digit groups joined, 15k as 15 thousand, signs and courtesy gone."""
+    t = F.regexp_replace(F.lower(text), "['’]", "")
+    t = F.regexp_replace(t, r"(?<=\d),(?=\d{2,3}(?!\d))", "")
+    t = F.regexp_replace(t, r"(?<=\d)\s*k\b", " thousand")
+    t = F.regexp_replace(t, r"(?<=\w)-(?=\w)", "")
+    t = F.regexp_replace(t, r"(?<!\d)\.|\.(?!\d)|[^\p{L}\p{M}\p{N}_\s.]", " ")
+    return F.array_join(F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~w.isin(*cues.courtesy)), " ")
+
+
+def _phrase(words: tuple[str, ...]) -> str:
+    return rf"(?:^|\s)(?:{'|'.join(words)})(?=\s|$)"
+
+
+def polarity(said: Column, cues: Cues = ENGLISH, allowed: tuple[str, ...] = ()) -> Column:
+    """Whether a normal text says yes or no: every word scores 1, -1 or 0; null where one has no score, both signs stand, or it hedges."""
+    for cue in (*cues.yes, *cues.no, *allowed):
+        if " " in cue:
+            said = F.regexp_replace(said, rf"\b{cue}\b", cue.replace(" ", "_"))
+    one = lambda ws: [w.replace(" ", "_") for w in ws]
+    score = lambda w: F.when(w.isin(*one(cues.yes)), 1).when(w.isin(*one(cues.no)), -1).when(w.isin(*cues.fillers, *one(allowed)), 0)
+    scores = F.transform(F.split(said, " "), score)
+    left_over = F.exists(scores, lambda s: s.isNull()) | said.rlike(_phrase(cues.unsure)) | said.rlike(r"\d")
+    return F.when(~left_over & (F.array_contains(scores, 1) != F.array_contains(scores, -1)), F.array_contains(scores, 1))
+
+
+def said_number(said: Column, cues: Cues = ENGLISH, allowed: tuple[str, ...] = ()) -> Column:
+    skip = {*cues.beside_numbers, *cues.monthly, *allowed}
+    return number_in(F.filter(F.split(said, " "), lambda w: ~w.isin(*skip)))
+
+
+#: Words that name an option by its place or size. Fixed values of English.
+PLACES = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "middle": 2, "third": 3, "3rd": 3}
+SIZES = {"cheapest": "least", "lowest": "least", "smallest": "least", "minimum": "least", "biggest": "most", "highest": "most", "largest": "most", "maximum": "most"}
+HEDGES = ("or", "maybe", "not", "between")
+
+
+def pick(said: Column, options: Column) -> Column:
+    """The place, from 1, of the option (of an array of numbers) that a normal text names by place, size or amount; null if it names none, or two."""
+    words = F.split(said, " ")
+    table = F.create_map(*[x for w, i in PLACES.items() for x in (F.lit(w), F.lit(i))])
+    places = F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda i: i <= F.size(options)))
+    sized = lambda kind: F.exists(words, lambda w: w.isin(*[s for s, k in SIZES.items() if k == kind]))
+    amount = said_number(said, allowed=("the", "option", "plan"))
+    by_place = F.when(F.size(places) == 1, F.element_at(places, 1))
+    by_size = F.when(sized("least"), F.array_position(options, F.array_min(options))).when(sized("most"), F.array_position(options, F.array_max(options)))
+    by_amount = F.nullif(F.array_position(options.cast("array<double>"), amount), F.lit(0).cast("long"))
+    return F.when(~F.exists(words, lambda w: w.isin(*HEDGES)), F.coalesce(by_place.cast("long"), by_size, by_amount))
+
+
+def answer(kind: str, text: Column, cues: Cues = ENGLISH, allowed: tuple[str, ...] = (), known: tuple[str, ...] = (), rejected: tuple[str, ...] = ()) -> Column:
+    """The value of an awaited field, as text: kinds number, amount (a year's), yesno, city (of those known), name. A question answers nothing."""
+    said = normal(text, cues)
+    bare = said
+    for _ in range(2):  # "yeah its ravi": a lead may follow another
+        bare = F.regexp_replace(bare, rf"^(?:{'|'.join(sorted(cues.leads, key=len, reverse=True))})\s+", "")
+    number = said_number(said, cues, allowed)
+    number = F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
+    yearly = said_number(said, cues, allowed) * F.when(said.rlike(_phrase(cues.monthly)), 12).otherwise(1)
+    taken = F.array(*map(F.lit, (*cues.yes, *cues.no, *rejected)))
+    name = F.when(bare.rlike(r"^\p{L}+( \p{L}+)?$") & ~F.arrays_overlap(F.split(bare, " "), taken), F.initcap(bare))
+    value = {
+        "yesno": polarity(said, cues, allowed).cast("string"),
+        "number": number,
+        "amount": yearly.cast("long").cast("string"),
+        "city": F.when(bare.isin(*known), bare) if known else F.lit(None).cast("string"),
+        "name": name,
+    }[kind]
+    return F.when(~F.contains(text, F.lit("?")), value)
+
+
+def resolve(rows: DataFrame, kind: str, **rules) -> DataFrame:
     """Adds value to rows with text: what a short answer makes of the awaited kind of field."""
-    a, k = frozenset(allowed), frozenset(known)
+    return rows.withColumn("value", answer(kind, F.col("text"), **rules))
 
-    @F.pandas_udf(T.StringType())
-    def value(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else answer(kind, t, a, k))
 
-    return rows.withColumn("value", value("text"))
+def _likeness(a: str, b: str) -> float:
+    return 100 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -102,11 +124,29 @@ def partial_ratio(part: pd.Series, whole: pd.Series) -> pd.Series:
         if a in b:
             return 100.0
         blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        return max((100 * difflib.SequenceMatcher(None, a, b[max(0, j - i) : max(0, j - i) + len(a)], autojunk=False).ratio() for i, j, _ in blocks), default=0.0)
+        starts = {max(0, j - i) for i, j, _ in blocks}
+        return max((_likeness(a, b[s : s + len(a)]) for s in starts), default=0.0)
 
     return pd.Series([one(a, b) for a, b in zip(part, whole, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Likeness of two texts as sets of words, 0 to 100: the best of what they share against each with its own rest, and of both rests."""
+
+    def one(a, b):
+        a, b = set((a or "").split()), set((b or "").split())
+        if not a or not b:
+            return 0.0
+        shared = " ".join(sorted(a & b))
+        first, second = (" ".join([shared] * bool(shared) + sorted(x)) for x in (a - b, b - a))
+        if shared and not (a - b and b - a):
+            return 100.0
+        return max(_likeness(shared, first) if shared else 0.0, _likeness(shared, second) if shared else 0.0, _likeness(first, second))
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)])
+
+
 @F.pandas_udf(T.LongType())
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edit distance in words."""
@@ -121,26 +161,3 @@ def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
         return row[-1]
 
     return pd.Series([one(a, b) for a, b in zip(ref, hyp, strict=True)])
-
-
-SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-
-
-def spoken(n: int, indian: bool = False) -> str:
-    """A whole number in English words, in thousands or in lakhs."""
-    if n < 0:
-        return "minus " + spoken(-n, indian)
-    if n < 20:
-        return SMALL[n]
-    if n < 100:
-        return TENS[n // 10 - 2] + ("" if n % 10 == 0 else " " + SMALL[n % 10])
-    for size, name in ((10_000_000, "crore"), (100_000, "lakh"), (1000, "thousand"), (100, "hundred")) if indian else ((10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")):
-        if n >= size:
-            return f"{spoken(n // size, indian)} {name}" + ("" if n % size == 0 else " " + spoken(n % size, indian))
-    raise AssertionError
-
-
-@F.pandas_udf(T.StringType())
-def amount_in_words(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else spoken(int(x), True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import in_order
+
 WORDS_PER_SECOND, LINE_GAP_S, START_S = 2.6, 0.7, 0.5
 
 
@@ -36,20 +38,62 @@ def rolling_least(rows: DataFrame, call: str, at_s: str, value: str, seconds: in
     return rows.withColumn(name, F.min(value).over(w))
 
 
-def moving_average(values: Column, alpha: float = 0.5) -> Column:
-    """The exponential average after the last of ordered values, from 0."""
-    return F.aggregate(values, F.lit(0.0), lambda s, x: alpha * x + (1 - alpha) * s)
+class _Average:
+    """The exponential average of one call's scores, from 0."""
+
+    def __init__(self, alpha: float, threshold: float):
+        self.alpha, self.threshold, self.level = alpha, threshold, 0.0
+
+    def row(self, x) -> list[tuple]:
+        before, self.level = self.level, self.alpha * float(x[-1]) + (1 - self.alpha) * self.level
+        return [(*x[:-1], self.level, self.level >= self.threshold and self.level > before)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def frustration(rows: DataFrame, call: str, order: list[str], score: str, alpha: float = 0.5, threshold: float = 0.45) -> DataFrame:
-    """Adds level and fires: the exponential average of scores, firing where it is high and rising.
+    """Rows (call, *order, level, fires): the exponential average of all scores so far, firing where it is high and rising. Any alpha from 0 to 1."""
+    kept = rows.select(call, *order, score)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
+    return in_order(kept, [call], order, lambda key: _Average(alpha, threshold), f"{schema}, level double, fires boolean")
+
+
+def frustration_score(hits: Column, repeated: Column, sentiment: Column) -> Column:
+    """A statement's score, 1 at most: half for each frustrated phrase, 0.4 for repeating oneself, up to 0.6 for a sentiment of -0.3 or less."""
+    low = F.when(sentiment <= -0.3, -sentiment * 0.6).otherwise(0.0)
+    return F.least(F.lit(1.0), 0.5 * hits + F.when(repeated, 0.4).otherwise(0.0) + F.coalesce(low, F.lit(0.0)))
+
+
+class _Debounce:
+    """Takes a row if enough time has passed since the last one taken: the state is one time."""
 
-    The average is a sum of scores halved once for each later row; beyond 64 rows back nothing is left of a score, so the frame is that long.
+    def __init__(self, gap: float):
+        self.gap, self.last = gap, None
+
+    def row(self, x) -> list[tuple]:
+        if self.last is not None and x[1] - self.last < self.gap:
+            return []
+        self.last = x[1]
+        return [tuple(x)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def debounced(rows: DataFrame, key: str, at: str, id_column: str, gap_s: float) -> DataFrame:
+    """Rows (key, at, id) that are gap_s or more after the last one taken before them; at is in seconds."""
+    kept = rows.select(key, at, id_column)
+    return in_order(kept, [key], [at, id_column], lambda k: _Debounce(gap_s), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema))
+
+
+def rolling_buffer(rows: DataFrame, key: str, at_us: str, seconds: float, confidence: str) -> DataFrame:
+    """Adds n_heard and average_confidence of what was heard in the seconds up to and with each row; at_us is whole microseconds.
+
+    The latest of the buffer is the row itself: each row supersedes what was said before it.
     """
-    w = Window.partitionBy(call).orderBy(*order)
-    held = F.collect_list(score).over(w.rowsBetween(-63, 0))
-    leveled = rows.withColumn("level", moving_average(held, alpha))
-    return leveled.withColumn("fires", (F.col("level") >= threshold) & (F.col("level") > F.coalesce(F.lag("level").over(w), F.lit(0.0))))
+    w = Window.partitionBy(key).orderBy(at_us).rangeBetween(-int(seconds * 1_000_000), 0)
+    return rows.withColumn("n_heard", F.count("*").over(w)).withColumn("average_confidence", F.avg(confidence).over(w))
 
 
 def disclosed_before(rows: DataFrame, call: str, order: list[str], disclosure: Column, quote: Column) -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import in_order
+from ..functions.text import words
+
 MOST_TOKENS, LEAST_CHARS = 320, 25
 
 
-def heading(title: Column) -> Column:
-    """A heading without numbering and colon; capitals throughout are lowered, the first letter is raised."""
-    bare = F.rtrim(F.trim(F.regexp_replace(title, r"^[0-9]+(\.[0-9]+)*[.)]?\s+", "")), F.lit(":"))
-    rest = F.substring(bare, F.lit(2), F.length(bare))
+def heading(title: Column, synonyms: dict[str, str] | None = None) -> Column:
+    """A heading without numbering and colon: its synonym if it has one, else titled where it is all capitals, the first letter raised."""
+    bare = F.rtrim(F.trim(F.regexp_replace(title, r"^\s*[0-9]+(\.[0-9]+)*[.)]?\s+", "")), F.lit(":"))
     shouting = (bare == F.upper(bare)) & (bare != F.lower(bare))
-    return F.concat(F.upper(F.substring(bare, 1, 1)), F.when(shouting, F.lower(rest)).otherwise(rest))
+    titled = F.when(shouting, F.initcap(F.lower(bare))).otherwise(bare)
+    raised = F.concat(F.upper(F.substring(titled, 1, 1)), F.substring(titled, F.lit(2), F.length(titled)))
+    out = raised
+    for said, meant in reversed((synonyms or {}).items()):
+        out = F.when(F.lower(bare) == said, meant).otherwise(out)
+    return out
 
 
 def form_field(label: Column, rules: list[tuple[str, str]]) -> Column:
@@ -41,30 +47,41 @@ def sections(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     return blocks.withColumn("section", F.last(F.when(is_heading, F.col("text")), ignorenulls=True).over(before)).withColumn("section_no", F.count(F.when(is_heading, 1)).over(before))
 
 
-def pack(blocks: DataFrame, most: int = MOST_TOKENS, doc: str = "doc_id") -> DataFrame:
-    """Chunks of blocks (doc, section_no, pos, text, tokens): greedy, with one block of overlap, in order within a section.
+class _Pack:
+    """The greedy packing of one section: what is held is the chunk in the making."""
 
-    A section is one author's run of text under a heading; it is folded by itself, in order of pos.
-    """
+    def __init__(self, key: tuple, most: int):
+        self.key, self.most, self.held, self.n = key, most, [], 0
+
+    def chunk(self) -> list[tuple]:
+        self.n += 1
+        return [(*self.key, self.n - 1, "\n".join(t for t, _ in self.held), tokens_of(sum(w for _, w in self.held)))]
+
+    def row(self, x) -> list[tuple]:
+        out = []
+        if self.held and tokens_of(sum(w for _, w in self.held) + x.words) > self.most:
+            out, self.held = self.chunk(), self.held[-1:] if x.overlap else []
+        self.held.append((x.text, x.words))
+        return out
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, held, size = [], [], 0
-        for text, n in zip(pdf["text"], pdf["tokens"], strict=True):
-            if held and size + n > most:
-                out.append(list(held))
-                held = held[-1:] if held[-1][1] + n <= most else []
-                size = sum(x[1] for x in held)
-            held.append((text, n))
-            size += n
-        if held:
-            out.append(held)
-        rows = [("\n".join(t for t, _ in c), sum(n for _, n in c)) for c in out]
-        first = pdf.iloc[0]
-        return pd.DataFrame({doc: first[doc], "section_no": first["section_no"], "chunk_index": range(len(rows)), "text": [r[0] for r in rows], "tokens": [r[1] for r in rows]})
+    def end(self) -> list[tuple]:
+        return self.chunk() if self.held else []
 
+
+def tokens_of(words: int) -> int:
+    """A model's tokens, roughly: words times 1.3, rounded down."""
+    return int(words * 1.3)
+
+
+def pack(blocks: DataFrame, most: int = MOST_TOKENS, doc: str = "doc_id") -> DataFrame:
+    """Chunks of blocks (doc, section_no, pos, text, overlap): greedy, in order within a section; with overlap the last block of a chunk opens the next.
+
+    Blocks stream through sorted, so a document without headings is no group to hold. Chunks under LEAST_CHARS are left out.
+    """
     kind = blocks.schema[doc].dataType.simpleString()
-    return blocks.groupBy(doc, "section_no").applyInPandas(fold, f"{doc} {kind}, section_no long, chunk_index long, text string, tokens long").where(F.length("text") >= LEAST_CHARS)
+    rows = blocks.select(doc, "section_no", "pos", "text", F.size(words(F.col("text"))).alias("words"), "overlap")
+    packed = in_order(rows, [doc, "section_no"], ["pos"], lambda key: _Pack(key, most), f"{doc} {kind}, section_no long, chunk_index long, text string, tokens long")
+    return packed.where(F.length("text") >= LEAST_CHARS)
 
 
 def rate_chunks(rows: DataFrame, group: list[str], line: Column, order: list[str]) -> DataFrame:

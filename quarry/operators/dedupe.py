@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.ranks import running_totals
 from ..functions.storage import checkpoint
 
 LEAST_SIMILARITY, SHINGLE = 0.8, 5
@@ -17,36 +18,56 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column], id_column:
     return rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("n")).select(*keys, F.col(f"first.{id_column}").alias(id_column), "n")
 
 
+def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """Rows (market, doc_id, sh): each document's distinct shingles of n words as sorted 64-bit hashes; fewer words are one shingle."""
+    ws = docs.select("market", "doc_id", text.words(F.col("text")).alias("ws"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1))), lambda i: F.xxhash64(*[F.element_at("ws", i + k) for k in range(n)]))
+    short = F.array(F.xxhash64(F.array_join("ws", " ")))
+    return ws.select("market", "doc_id", F.array_sort(F.array_distinct(F.when(F.size("ws") >= n, runs).otherwise(short))).alias("sh"))
+
+
 def classes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Rows (market, doc_id, class_id): documents of a market with the same set of shingles share the smallest doc_id."""
-    sets = docs.select("market", "doc_id", F.array_sort(F.array_distinct(text.shingles(text.words(F.col("text")), n))).alias("sh"))
-    keyed = sets.select("market", "doc_id", F.sha2(F.array_join("sh", "\u0001"), 256).alias("key"))
+    return _classed(_keyed(shingle_sets(docs, n)))
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    return sets.withColumn("key", F.sha2(F.array_join(F.col("sh").cast("array<string>"), ","), 256))
+
+
+def _classed(keyed: DataFrame) -> DataFrame:
     first = keyed.groupBy("market", "key").agg(F.min("doc_id").alias("class_id"))
-    return keyed.join(first, ["market", "key"]).select("market", "doc_id", "class_id")
+    return keyed.select("market", "doc_id", "key").join(first, ["market", "key"]).select("market", "doc_id", "class_id")
 
 
 def near_pairs(docs: DataFrame, similarity: float = LEAST_SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """Pairs (market, a, b, jaccard), a < b, of class representatives whose shingle sets are similar enough. Exact.
 
-    Sets as similar as that share one of their rarest shingles: a set of m shingles needs to look at m - ceil(s m) + 1 of them only.
-    Shingles are ranked by how many sets hold them, so what many documents share is hardly ever looked at.
+    Shingles are hashed once and ordered by how many sets hold them, the rarest first. Sets as similar as that share one of their first
+    m - ceil(s m) + 1 shingles (m: a set's size), and what is left behind a shared one must still suffice: most pairs are dropped by place
+    and length before any set is compared. A shingle's sets are paired only among those heads, so what many documents share is hardly met.
     """
-    member = checkpoint(classes(docs, n))
-    reps = docs.join(member.where("doc_id = class_id").select("market", "doc_id"), ["market", "doc_id"], "left_semi")
-    sets = checkpoint(reps.select("market", "doc_id", F.array_distinct(F.transform(text.shingles(text.words(F.col("text")), n), lambda s: F.xxhash64(s))).alias("sh")))
+    keyed = checkpoint(_keyed(shingle_sets(docs, n)))
+    sets = checkpoint(keyed.groupBy("market", "key").agg(F.min_by("sh", "doc_id").alias("sh"), F.min("doc_id").alias("doc_id")).drop("key"))
     each = sets.select("market", "doc_id", F.size("sh").alias("m"), F.explode("sh").alias("s"))
     df = each.groupBy("market", "s").agg(F.count("*").alias("df")).where("df > 1")
+    # A set's shingles that no other set holds come first: only how many they are matters.
     ranked = each.join(df, ["market", "s"]).groupBy("market", "doc_id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
     alone = F.col("m") - F.size("shared")
     prefix = F.greatest(F.col("m") - F.ceil(F.col("m") * similarity) + 1 - alone, F.lit(0)).cast("int")
-    heads = ranked.where(prefix > 0).select("market", "doc_id", "m", F.explode(F.slice("shared", 1, prefix)).alias("x")).select("market", "doc_id", "m", F.col("x.s").alias("s"))
+    heads = ranked.where(prefix > 0).select("market", "doc_id", "m", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("p", "x"))
+    heads = heads.select("market", "doc_id", "m", (F.col("alone") + F.col("p")).alias("at"), F.col("x.s").alias("s"))
     a, b = heads.alias("a"), heads.alias("b")
+    enough = F.ceil(similarity / (1 + similarity) * (F.col("a.m") + F.col("b.m")) - 1e-9)
+    left = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at"))
     fits = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.m") >= similarity * F.col("b.m")) & (F.col("b.m") >= similarity * F.col("a.m"))
-    candidates = a.join(b, (F.col("a.market") == F.col("b.market")) & (F.col("a.s") == F.col("b.s")) & fits).select("a.market", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    left, right = sets.select("market", F.col("doc_id").alias("a"), F.col("sh").alias("x")), sets.select("market", F.col("doc_id").alias("b"), F.col("sh").alias("y"))
-    met = candidates.join(left, ["market", "a"]).join(right, ["market", "b"]).withColumn("common", F.size(F.array_intersect("x", "y")))
-    jaccard = F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
-    return met.select("market", "a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
+    met = a.join(b, (F.col("a.market") == F.col("b.market")) & (F.col("a.s") == F.col("b.s")) & fits)
+    # the place filter holds at a pair's first shared shingle, where nothing shared stands before
+    first = met.groupBy("a.market", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(F.max(left - enough).alias("slack")).where("slack >= 0")
+    sides = [sets.select("market", F.col("doc_id").alias(x), F.col("sh").alias(f"{x}_sh")) for x in ("a", "b")]
+    both = first.select("market", "a", "b").join(sides[0], ["market", "a"]).join(sides[1], ["market", "b"]).withColumn("common", F.size(F.array_intersect("a_sh", "b_sh")))
+    jaccard = F.col("common") / (F.size("a_sh") + F.size("b_sh") - F.col("common"))
+    return both.select("market", "a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
 def greedy_merge(pairs: DataFrame) -> DataFrame:
@@ -68,14 +89,9 @@ def greedy_merge(pairs: DataFrame) -> DataFrame:
 
 def sources_of(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
     """For each key, the other places a kept row was found in: all sources, sorted, without the first."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("all")).select(*keys, F.element_at("all", 1).alias("source"), F.slice("all", 2, 1_000_000).alias("also_found_in"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("all")).select(*keys, F.element_at("all", 1).alias("source"), F.slice("all", F.lit(2), F.greatest(F.size("all"), F.lit(1))).alias("also_found_in"))
 
 
 def row_numbers(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Adds n, from 1 in order within each group, without bringing a group together: rows are ranged, numbered within a range, and moved on by what stands before."""
-    ranged = rows.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id())
-    ranged = checkpoint(ranged)
-    counts = ranged.groupBy(group, "_part").agg(F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
-    return ranged.withColumn("_local", local).join(counts.select(group, "_part", before.alias("_before")), [group, "_part"]).withColumn("n", F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+    """Adds n, from 1 in order within each group, without bringing a group together."""
+    return running_totals(rows, [group], [order], name="n")

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def in_band(rows: DataFrame, value: str, bands: DataFrame) -> DataFrame:
-    """Rows with the first band (name, lo, hi) that holds a value, null if none does. Bands are a rule table, folded into one expression.
+    """Rows with the first band (name, lo, hi), by lo and hi, that holds a value, null if none does.
 
-    The table is collected, so it must be a rule table: over a thousand bands are refused.
+    Bands are a rule table, of any length that a driver holds: its bounds cut the numbers into pieces, each with its band, and a value's
+    piece is found by bisection.
     """
-    found = bands.orderBy("lo", "hi").limit(1001).collect()
-    if len(found) > 1000:
-        raise ValueError("a rule table has a thousand bands at most")
-    out = F.lit(None).cast("string")
-    for b in reversed(found):
-        out = F.when(F.col(value).between(b["lo"], b["hi"]), b["name"]).otherwise(out)
-    return rows.withColumn("band", out)
+    found = sorted((float(b["lo"]), float(b["hi"]), b["name"]) for b in bands.collect())
+    cuts = np.unique([x for lo, hi, _ in found for x in (lo, np.nextafter(hi, np.inf))])
+    names: list[str | None] = [None] * (len(cuts) + 1)
+    for lo, hi, name in reversed(found):
+        for i in range(int(np.searchsorted(cuts, lo, "right")), int(np.searchsorted(cuts, hi, "right")) + 1):
+            names[i] = name
+    pieces = np.array(names, object)
+
+    @F.pandas_udf("string")
+    def band(values: pd.Series) -> pd.Series:
+        out = pd.Series(pieces[np.searchsorted(cuts, values.to_numpy(float, na_value=np.nan), "right")] if len(cuts) else [None] * len(values))
+        return out.where(values.notna().to_numpy(), None)
+
+    return rows.withColumn("band", band(F.col(value).cast("double")))
 
 
 def zone(place: Column, zones: dict[str, list[str]], default: str = "C") -> Column:

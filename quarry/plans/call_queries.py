@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import calls, turns
+from ..operators import answering, calls, turns
 from ..streaming import nudges
 from .registry import query, table
 from .text_queries import WORDS_SQL
@@ -81,13 +81,23 @@ def w06(spark, d):
 
 @query("w07_frustration", """
 WITH s AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'error' THEN 1.0 WHEN 'view' THEN 0.4 ELSE 0.0 END AS score FROM events),
-h AS (SELECT *, list(score) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS v FROM s),
-l AS (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, v::DOUBLE[]), lambda a, x: 0.5 * x + 0.5 * a) AS level FROM h)
-SELECT event_id, level, level >= 0.45 AND level > coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS fires FROM l""")
+h AS (SELECT *, list(score) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM s),
+l AS (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, v::DOUBLE[]), lambda a, x: 0.3 * x + 0.7 * a) AS level FROM h)
+SELECT event_id, round(level, 9) AS level, round(level, 9) >= 0.45 AND level > coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS fires FROM l""")
 def w07(spark, d):
     score = F.when(F.col("event_type") == "error", 1.0).when(F.col("event_type") == "view", 0.4).otherwise(0.0)
     ev = table(spark, d, "events").withColumn("score", score)
-    return calls.frustration(ev, "user_id", ["ts", "event_id"], "score").select("event_id", "level", "fires")
+    return calls.frustration(ev, "user_id", ["ts", "event_id"], "score", alpha=0.3).select("event_id", F.round("level", 9).alias("level"), "fires")
+
+
+@query("t05_repeated_statements")
+def t05(spark, d):
+    """Customer statements like one of their last five, and the scores that come of it."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)
+    said = utterances(spark, d).where("speaker = 'customer'").withColumn("before", F.collect_list("text").over(w)).withColumn("earlier", F.explode_outer("before"))
+    like = said.withColumn("ratio", answering.token_set_ratio(F.lower("text"), F.lower("earlier"))).groupBy("conv_id", "turn").agg(F.max("ratio").alias("ratio"), F.first("text").alias("text"))
+    repeated = (F.length("text") > 15) & (F.coalesce("ratio", F.lit(0.0)) > 85)
+    return like.select("conv_id", "turn", repeated.alias("repeated"), calls.frustration_score(F.lit(0), repeated, F.lit(None).cast("double")).alias("score"))
 
 
 @query("w08_quote_before_disclosure", """

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, pii, text
-from ..operators import chunking, cleaning, conflicts, dedupe, versioning
+from ..functions import pii, ranks, text
+from ..operators import calls, chunking, cleaning, conflicts, dedupe, versioning
 from ..sources import markdown
 from .registry import query, table
 from .text_queries import TOKENS_SQL, WORDS_SQL
@@ -244,11 +243,16 @@ def w10(spark, d):
     return dedupe.keep_first(rows, ["lang", "key"], [-F.col("n_text")], "doc_id").select("doc_id", "lang", "n")
 
 
-SHINGLES5_SQL = f"list_distinct(list_transform(range(1, greatest(len({WORDS_SQL}) - 4, 1) + 1), lambda i: array_to_string({WORDS_SQL}[i:i + 4], ' ')))"
 PAIRS_SQL = f"""
-WITH s AS (SELECT doc_id, lang, list_sort({SHINGLES5_SQL}) AS sh FROM documents), c AS (SELECT lang, sh, min(doc_id) AS doc_id FROM s GROUP BY ALL),
-e AS (SELECT lang, doc_id, len(sh) AS m, unnest(sh) AS x FROM c),
-p AS (SELECT a.lang AS market, a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.m) AS ma, any_value(b.m) AS mb FROM e a JOIN e b ON a.lang = b.lang AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+WITH w AS (SELECT doc_id, lang, {WORDS_SQL} AS ws FROM documents),
+s AS (SELECT doc_id, lang, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: hash(array_to_string(ws[i:i + 4], ' '))))) AS sh FROM w),
+c AS (SELECT lang, sh, min(doc_id) AS doc_id, len(sh) AS m FROM s GROUP BY ALL),
+e AS (SELECT lang, doc_id, m, unnest(sh) AS x FROM c),
+d AS (SELECT lang, x, count(*) AS df FROM e GROUP BY ALL),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY e.lang, doc_id ORDER BY df, e.x) AS i FROM e JOIN d ON d.lang = e.lang AND d.x = e.x),
+h AS (SELECT * FROM r WHERE i <= m - ceil(0.8 * m) + 1),
+k AS (SELECT DISTINCT a.lang, a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.lang = b.lang AND a.x = b.x AND a.doc_id < b.doc_id AND a.m >= 0.8 * b.m AND b.m >= 0.8 * a.m),
+p AS (SELECT k.lang AS market, k.a, k.b, len(list_intersect(x.sh, y.sh)) AS common, x.m AS ma, y.m AS mb FROM k JOIN c x ON x.doc_id = k.a JOIN c y ON y.doc_id = k.b)
 SELECT market, a, b, round(common / (ma + mb - common), 6) AS jaccard FROM p WHERE common / (ma + mb - common) >= 0.8"""
 
 
@@ -259,7 +263,9 @@ def j12(spark, d):
 
 
 @query("j12_classes", f"""
-WITH s AS (SELECT doc_id, lang AS market, list_sort({SHINGLES5_SQL}) AS sh FROM documents) SELECT market, doc_id, min(doc_id) OVER (PARTITION BY market, sh) AS class_id FROM s""")
+WITH w AS (SELECT doc_id, lang, {WORDS_SQL} AS ws FROM documents),
+s AS (SELECT doc_id, lang AS market, hash(list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: hash(array_to_string(ws[i:i + 4], ' ')))))) AS sh FROM w)
+SELECT market, doc_id, min(doc_id) OVER (PARTITION BY market, sh) AS class_id FROM s""")
 def j12_classes(spark, d):
     return dedupe.classes(table(spark, d, "documents").select("doc_id", F.col("lang").alias("market"), "text"))
 
@@ -308,8 +314,7 @@ def w13(spark, d):
 @query("w14_packed_chunks")
 def w14(spark, d):
     blocks = markdown.blocks(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    counted = chunking.sections(blocks).withColumn("tokens", text.token_count(F.col("text")))
-    return chunking.pack(counted)
+    return chunking.pack(chunking.sections(blocks).withColumn("overlap", ~F.coalesce(F.rtrim("section").endswith("?"), F.lit(False))))
 
 
 @query("o08_longest_first", "SELECT p_type, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS names, max(length(p_name)) AS longest FROM part GROUP BY p_type")
@@ -328,9 +333,9 @@ def j14(spark, d):
 WITH s AS (SELECT l_suppkey, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY l_suppkey)
 SELECT l_suppkey, round(v[least(len(v) - 1, CAST(floor(0.95 * (len(v) - 1) + 0.5) AS INTEGER)) + 1], 1) AS nearest95, v[CAST(floor(0.95 * (len(v) - 1)) AS INTEGER) + 1] AS floor95, v[len(v) // 2 + 1] AS upper_median, (v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2 AS median FROM s""")
 def a01_medians(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("v"))
-    v = F.col("v")
-    return s.select("l_suppkey", numbers.nearest_percentile(v, 0.95).alias("nearest95"), numbers.floor_percentile(v, 0.95).alias("floor95"), numbers.upper_median(v).alias("upper_median"), numbers.middle_median(v).alias("median"))
+    places = {"nearest95": ranks.nearest(0.95), "floor95": ranks.floored(0.95), "upper_median": lambda n: F.floor(n / 2), "lower_median": lambda n: F.floor((n - 1) / 2)}
+    s = ranks.at_places(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", places)
+    return s.select("l_suppkey", F.round("nearest95", 1).alias("nearest95"), "floor95", "upper_median", ((F.col("lower_median") + F.col("upper_median")) / 2).alias("median"))
 
 
 @query("c02_glyph_repairs", "SELECT doc_id, (length(text) - length(replace(text, '###', ''))) // 3 AS repairs, replace(replace(text, '###', '#'), '%%%', '%') AS clean FROM documents")
@@ -341,28 +346,35 @@ def c02(spark, d):
     return table(spark, d, "documents").select("doc_id", repairs[0].cast("long").alias("repairs"), clean.alias("clean"))
 
 
+TERMS = {"the organisation": ["thone", "than"], "AND": ["UND"], "maison": ["aux les", "les"]}
+
+
 @query("c09_terminology")
 def c09(spark, d):
     from ..operators.normalizing import terminology
 
-    terms = {"the organisation": ["thone", "than"], "AND": ["Und", "UND"], "maison": ["aux les", "les"]}
-    clean, hits = terminology(F.col("text"), terms)
-    return table(spark, d, "documents").select("doc_id", clean.alias("clean"), F.array_join(hits, ",").alias("hits"))
+    found = table(spark, d, "documents").select("doc_id", terminology(F.col("text"), TERMS).alias("t"))
+    return found.select("doc_id", F.col("t.text").alias("clean"), F.array_join("t.hits", ",").alias("hits"))
 
 
 @query("c11_dates", r"""
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso_date FROM orders""")
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' / ' || strftime(o_orderdate, '%Y-%m-%d') || ' / ' || strftime(o_orderdate, '%Y-%m-%d') || ' / 31/02/2025, order ' || o_orderkey AS text, '31/02/2025' AS invalid FROM orders""")
 def c11(spark, d):
     from ..operators.normalizing import dates
 
-    spoken = F.concat(F.dayofmonth("o_orderdate"), F.lit(" "), F.date_format("o_orderdate", "MMMM"), F.lit(" "), F.year("o_orderdate"))
-    return table(spark, d, "orders").select("o_orderkey", dates(spoken).alias("iso_date"))
+    day, month, year = F.dayofmonth("o_orderdate").cast("string"), F.date_format("o_orderdate", "MMMM"), F.year("o_orderdate").cast("string")
+    forms = [F.concat(day, F.lit(" "), month, F.lit(" "), year), F.concat(month, F.lit(" "), day, F.lit(", "), year), F.concat(day, F.lit("/"), F.month("o_orderdate").cast("string"), F.lit("/"), year)]
+    said = F.concat_ws(" / ", *forms, F.concat(F.lit("31/02/2025, order "), F.col("o_orderkey").cast("string")))
+    return table(spark, d, "orders").select("o_orderkey", dates(said).alias("x")).select("o_orderkey", "x.text", F.array_join("x.invalid", ",").alias("invalid"))
 
 
-@query("w12_neighbours", "SELECT event_id, count(*) OVER w AS n_heard, last_value(event_type) OVER w AS latest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@query("w12_rolling_buffer", """
+SELECT event_id, count(*) OVER w AS n_heard, round(avg(value) OVER w, 6) AS average_confidence FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 14400000000 PRECEDING AND CURRENT ROW)""")
 def w12(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
-    return table(spark, d, "events").select("event_id", F.count("*").over(w).alias("n_heard"), F.last("event_type").over(w).alias("latest"))
+    """What was heard in the last four hours: events are hours apart where utterances are seconds."""
+    ev = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return calls.rolling_buffer(ev, "user_id", "us", 14_400, "value").select("event_id", "n_heard", F.round("average_confidence", 6).alias("average_confidence"))
 
 
 @query("j11_names_near_ids", rf"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import answering, answers, turns
+from ..functions import ranks, spoken, text
+from ..operators import answering, answers, calls, normalizing, turns
 from ..sources import files
 from .registry import query, table
 from .text_queries import CLAUSES_SQL, WORDS_SQL
@@ -50,24 +50,46 @@ def f17(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(F.slice(kept, 1, 2), " ").alias("reply"))
 
 
+SYNONYMS = {"article": ["the", "than"], "joiner": ["que", "und"]}
+
+
 @query("c10_query_expansion", f"""
 WITH q AS (SELECT item_id, text, {WORDS_SQL} AS ws FROM benchmark)
-SELECT item_id, text || CASE WHEN list_has_any(ws, ['the', 'than']) AND NOT list_contains(ws, 'article') THEN ' article' ELSE '' END || CASE WHEN list_has_any(ws, ['que', 'und']) AND NOT list_contains(ws, 'joiner') THEN ' joiner' ELSE '' END AS expanded FROM q""")
+SELECT item_id, text || CASE WHEN list_has_any(ws, ['the', 'than']) AND NOT contains(lower(text), 'article') THEN ' article' ELSE '' END || CASE WHEN list_has_any(ws, ['que', 'und']) AND NOT contains(lower(text), 'joiner') THEN ' joiner' ELSE '' END AS expanded FROM q""")
 def c10(spark, d):
-    ws = text.words(F.col("text"))
-    add = lambda variants, word: F.when(F.arrays_overlap(ws, F.array(*map(F.lit, variants))) & ~F.array_contains(ws, word), " " + word).otherwise("")
-    return table(spark, d, "benchmark").select("item_id", F.concat("text", add(["the", "than"], "article"), add(["que", "und"], "joiner")).alias("expanded"))
+    return table(spark, d, "benchmark").select("item_id", normalizing.expanded(F.col("text"), SYNONYMS).alias("expanded"))
+
 
+#: Cues in the words that the conversations hold, and their SQL: scores of words, none of which may be left over.
+CUES = answering.Cues(yes=("the", "und"), no=("of", "les"), unsure=("maybe",), fillers=("to", "die", "que", "de", "la", "and", "a", "in"))
+SAID_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '[''’]', '', 'g'), '([\p{L}\p{N}_])-([\p{L}\p{N}_])', '\1\2', 'g'), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))"""
 
-@query("c28_polarity")
+
+@query("c28_polarity", rf"""
+WITH c AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\s+')) AS a FROM conversations),
+w AS (SELECT conv_id, turn, {SAID_SQL.replace('(t)', '(a)')} AS t, count(*) AS n FROM c GROUP BY ALL)
+SELECT conv_id, turn, t AS said, CASE WHEN t IN ('the', 'und') THEN true WHEN t IN ('of', 'les') THEN false END AS yes, CAST(sum(n) AS BIGINT) AS n FROM w WHERE t IN ('the', 'und', 'of', 'les') GROUP BY ALL""")
 def c28(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.clauses(F.col("text"))).alias("pos", "text"))
-    return answering.resolve(rows, "yesno").where("value is not null").select("conv_id", "turn", "pos", "value")
+    """Single words of turns as answers: what scores as yes or no under cues of their own."""
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", r"\s+")).alias("t")).select("conv_id", "turn", answering.normal(F.col("t"), CUES).alias("said"))
+    scored = said.groupBy("conv_id", "turn", "said").agg(F.count("*").alias("n")).withColumn("yes", answering.polarity(F.col("said"), CUES))
+    return scored.where("yes is not null").select("conv_id", "turn", "said", "yes", "n")
 
 
-@query("c30_short_answers")
+@query("c30_short_answers", """
+SELECT event_id, CASE WHEN k % 4 = 0 THEN CAST(k * 12 AS VARCHAR) WHEN k % 4 = 1 THEN CAST(k * 1000 AS VARCHAR) WHEN k % 4 = 2 THEN CAST(k * 1000 AS VARCHAR) END AS value
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
 def c30(spark, d):
-    return answering.resolve(table(spark, d, "events").select("event_id", F.concat(F.lit("about "), F.get_json_object("props", "$.k"), F.lit(" a month")).alias("text")), "amount")
+    """Amounts as events' k would be said: a month's, in thousands, grouped, and two at once, which is no answer."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    n = k.cast("string")
+    said = (
+        F.when(k % 4 == 0, F.concat(F.lit("About "), n, F.lit(" rupees a month.")))
+        .when(k % 4 == 1, F.when(k > 0, F.concat(n, F.lit("k please"))).otherwise("0"))
+        .when(k % 4 == 2, F.concat(F.format_number(k * 1000, 0), F.lit(" per year")))
+        .otherwise(F.concat(n, F.lit(" or "), n, F.lit(" thousand")))
+    )
+    return answering.resolve(table(spark, d, "events").select("event_id", said.alias("text")), "amount").select("event_id", "value")
 
 
 @query("c32_question_focus", "SELECT page_id, CASE WHEN contains(url, '?') THEN regexp_extract(url, '([^/]*)\\?', 1) END AS focus FROM pages")
@@ -81,9 +103,25 @@ def c35(spark, d):
     return rows.select("item_id", answering.word_edits("ref", "hyp").alias("edits"), F.size(F.split("ref", " ")).cast("long").alias("n_words"))
 
 
-@query("c37_amounts_in_words")
+_SAID = lambda n: f"CASE WHEN {n} < 20 THEN ({spoken.ENGLISH})[CAST({n} + 1 AS INTEGER)] ELSE ({spoken.ENGLISH_TENS})[CAST({n} // 10 - 1 AS INTEGER)] || CASE WHEN {n} % 10 = 0 THEN '' ELSE ' ' || ({spoken.ENGLISH})[CAST({n} % 10 + 1 AS INTEGER)] END END"
+
+
+@query("c37_amounts_in_words", f"""
+WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders), p AS (SELECT *, n // 100000 AS l, n // 1000 % 100 AS t, n // 100 % 10 AS h, n % 100 AS r FROM o)
+SELECT o_orderkey, concat_ws(' ', CASE WHEN l > 0 THEN {_SAID('l')} || ' lakh' END, CASE WHEN t > 0 THEN {_SAID('t')} || ' thousand' END, CASE WHEN h > 0 THEN {_SAID('h')} || ' hundred' END, CASE WHEN r > 0 OR n = 0 THEN {_SAID('r')} END) AS spoken FROM p""")
 def c37(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", answering.amount_in_words(F.floor("o_totalprice").cast("long")).alias("spoken"))
+    return table(spark, d, "orders").select("o_orderkey", spoken.in_words(F.floor("o_totalprice")).alias("spoken"))
+
+
+@query("c27_spoken_numbers", "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders")
+def c27(spark, d):
+    """Amounts said and understood again."""
+    return table(spark, d, "orders").select("o_orderkey", spoken.spoken_number(spoken.in_words(F.floor("o_totalprice"))).alias("n"))
+
+
+@query("c38_dates_spoken", "SELECT o_orderkey, CAST(day(o_orderdate) AS VARCHAR) || ' ' || monthname(o_orderdate) AS in_date, monthname(o_orderdate) || ' ' || CAST(day(o_orderdate) AS VARCHAR) AS ph_date FROM orders")
+def c38(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", spoken.date_spoken(F.col("o_orderdate")).alias("in_date"), spoken.date_spoken(F.col("o_orderdate"), "ph").alias("ph_date"))
 
 
 @query("p01_rounding", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 8, 2) AS score, round_even(l_extendedprice / 7, 0) AS amount FROM lineitem")
@@ -151,21 +189,23 @@ def o12(spark, d):
 
 
 @query("t06_due_calls", """
-WITH w AS (SELECT event_id, user_id, ts, CAST(floor(epoch(ts) / 14400) AS BIGINT) AS slot FROM events WHERE event_type <> 'error'), f AS (SELECT user_id, slot, min(event_id) AS event_id FROM w GROUP BY ALL) SELECT * FROM f""")
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type <> 'error'),
+g AS (SELECT user_id, list({'t': t, 'id': event_id} ORDER BY t, event_id) AS es FROM e GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(es, lambda s, x: CASE WHEN x.t - s.t >= 14400 THEN {'t': x.t, 'ids': list_append(s.ids, x.id)} ELSE s END, {'t': -1e18::DOUBLE, 'ids': []::BIGINT[]}) AS s FROM g)
+SELECT user_id, unnest(s.ids) AS event_id FROM r""")
 def t06(spark, d):
-    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 14400)
-    return table(spark, d, "events").where("event_type <> 'error'").groupBy("user_id", slot.alias("slot")).agg(F.min("event_id").alias("event_id"))
+    """Calls of a model that are due: four hours or more after the last one made."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    ev = table(spark, d, "events").where("event_type <> 'error'").withColumn("at", at)
+    return calls.debounced(ev, "user_id", "at", "event_id", 14400.0).select("user_id", "event_id")
 
 
 @query("a09_bench_means", f"""
 WITH r AS (SELECT lang, len({WORDS_SQL}) AS n FROM documents), s AS (SELECT lang, list_sort(list(n)) AS v, avg(n) AS m FROM r GROUP BY lang) SELECT lang, round(m, 6) AS mean, v[len(v) // 2 + 1] AS median FROM s""")
 def a09(spark, d):
     n = table(spark, d, "documents").select("lang", F.size(text.words(F.col("text"))).cast("long").alias("n"))
-    counted = n.groupBy("lang", "n").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("lang")
-    placed = counted.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("all", F.sum("c").over(w))
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n")))
-    return placed.groupBy("lang").agg(F.round(F.sum(F.col("n") * F.col("c")) / F.max("all"), 6).alias("mean"), median.alias("median"))
+    medians = ranks.at_places(n, ["lang"], "n", {"median": lambda m: F.floor(m / 2)}).select("lang", "median")
+    return n.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("mean")).join(medians, "lang")
 
 
 @query("c31_coerce_kinds", r"""

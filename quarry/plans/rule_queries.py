@@ -102,11 +102,24 @@ def r06(spark, d):
     return applicants(spark, d).select("c_custkey", F.array_join(missing, ",").alias("missing"))
 
 
-@query("r05_field_merge")
+@query("r05_field_merge", """
+WITH c AS (SELECT user_id AS call_id, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS v, value > 80 AS fix, CASE WHEN value < 2 THEN 0.2 ELSE 0.9 END AS sure FROM events),
+g AS (SELECT call_id, list({'seq': seq, 'v': v, 'fix': fix, 'sure': sure} ORDER BY ts, seq) AS cs FROM c GROUP BY call_id),
+r AS (SELECT call_id, list_reduce(cs, lambda s, x: CASE
+ WHEN x.v IS NULL THEN {'v': s.v, 'sure': s.sure, 'd': s.d, 'out': list_append(s.out, {'seq': x.seq, 'value': x.v, 'outcome': 'invalid', 'current': s.v})}
+ WHEN s.v IS NULL THEN {'v': x.v, 'sure': x.sure::DOUBLE, 'd': false, 'out': list_append(s.out, {'seq': x.seq, 'value': x.v, 'outcome': 'set', 'current': x.v})}
+ WHEN s.v = x.v THEN {'v': s.v, 'sure': greatest(s.sure, x.sure::DOUBLE), 'd': false, 'out': list_append(s.out, {'seq': x.seq, 'value': x.v, 'outcome': CASE WHEN s.d THEN 'confirmed' ELSE 'same' END, 'current': s.v})}
+ WHEN list_position(['view', 'click', 'purchase'], x.v) > list_position(['view', 'click', 'purchase'], s.v) THEN {'v': x.v, 'sure': x.sure::DOUBLE, 'd': false, 'out': list_append(s.out, {'seq': x.seq, 'value': x.v, 'outcome': 'widened', 'current': x.v})}
+ WHEN x.fix OR s.d OR s.sure <= 0.3 THEN {'v': x.v, 'sure': x.sure::DOUBLE, 'd': false, 'out': list_append(s.out, {'seq': x.seq, 'value': x.v, 'outcome': 'corrected', 'current': x.v})}
+ ELSE {'v': s.v, 'sure': s.sure, 'd': true, 'out': list_append(s.out, {'seq': x.seq, 'value': x.v, 'outcome': 'conflict', 'current': s.v})} END,
+ {'v': NULL::VARCHAR, 'sure': 0::DOUBLE, 'd': false, 'out': []::STRUCT(seq BIGINT, "value" VARCHAR, outcome VARCHAR, current VARCHAR)[]}) AS s FROM g),
+o AS (SELECT call_id, unnest(s.out) AS o FROM r) SELECT call_id, 'stage' AS field, o.seq AS seq, o.value AS value, o.outcome AS outcome, o.current AS current FROM o""")
 def r05(spark, d):
-    """Each user's event types as claims of one field, merged in order: set, same, widened, corrected or conflict."""
-    from ..operators.dialogue import merge_claims
+    """Each user's event types as claims of one field, merged in order; errors are no stage."""
+    from ..operators.dialogue import Field, merge_claims
 
     ev = table(spark, d, "events")
-    claims = ev.select(F.col("user_id").alias("call_id"), F.lit("stage").alias("field"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.lit(0.9).alias("confidence"), (F.col("value") > 80).alias("correction"))
-    return merge_claims(claims, widening=["view", "click", "purchase"])
+    sure = F.when(F.col("value") < 2, 0.2).otherwise(0.9)
+    claims = ev.select(F.col("user_id").alias("call_id"), F.lit("stage").alias("field"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("raw"), sure.alias("confidence"), (F.col("value") > 80).alias("correction"))
+    stage = Field("stage", "enum", values=("view", "click", "purchase", "signup"), widening=("view", "click", "purchase"))
+    return merge_claims(claims, [stage])

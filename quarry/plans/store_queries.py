@@ -105,7 +105,14 @@ def j08(spark, d):
     return reports.deliveries(shown, by("purchase"), by("view")).select("room", F.col("nudge").alias("id"), "delivered_at", "via")
 
 
-@query("j10_expected_nudges")
+@query("j10_expected_nudges", """
+WITH e AS (SELECT user_id AS run, event_id AS id, event_type, epoch_us(ts) / 1e6 AS t FROM events),
+w AS (SELECT run, list({'seq': id, 'lo': t - 1, 'hi': t + 7200} ORDER BY id) AS ws FROM e WHERE event_type = 'purchase' GROUP BY run),
+g AS (SELECT run, list({'t': t, 'id': id} ORDER BY t, id) AS gs FROM e WHERE event_type = 'click' GROUP BY run),
+r AS (SELECT run, list_reduce(ws, lambda s, x: {'used': list_append(s.used, list_filter(s.gs, lambda g: g.t >= x.lo AND g.t <= x.hi AND NOT list_contains(s.used, g.id))[1].id),
+ 'out': list_append(s.out, {'seq': x.seq, 'id': list_filter(s.gs, lambda g: g.t >= x.lo AND g.t <= x.hi AND NOT list_contains(s.used, g.id))[1].id}), 'gs': s.gs},
+ {'used': []::BIGINT[], 'out': []::STRUCT(seq BIGINT, id BIGINT)[], 'gs': coalesce(gs, []::STRUCT(t DOUBLE, id BIGINT)[])}) AS s FROM w LEFT JOIN g USING (run)),
+o AS (SELECT run, unnest(s.out) AS o FROM r) SELECT run, 'click' AS key, o.seq AS seq, o.id AS id, o.id IS NOT NULL AS found FROM o""")
 def j10(spark, d):
     ev = table(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -114,6 +121,20 @@ def j10(spark, d):
     return reports.match_expected(want, got)
 
 
+@query("a08_recent_percentiles", """
+WITH n AS (SELECT user_id AS room, value FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20), v AS (SELECT room, list_sort(list(value)) AS v FROM n GROUP BY room)
+SELECT room, len(v) AS n, CAST(round_even(v[CAST(floor(0.5 * (len(v) - 1)) AS INTEGER) + 1], 0) AS BIGINT) AS p50, CAST(round_even(v[CAST(floor(0.95 * (len(v) - 1)) AS INTEGER) + 1], 0) AS BIGINT) AS p95 FROM v""")
+def a08(spark, d):
+    return reports.recent_percentiles(hub(spark, d), "value", 20)
+
+
+@query("a22_path_ratios", """
+WITH t AS (SELECT event_type IN ('click', 'view') AS quick, value > 10 AS fast FROM events), c AS (SELECT count(*) AS turns, count(*) FILTER (quick) AS quick, count(*) FILTER (fast) AS fast, count(*) FILTER (quick AND fast) AS both FROM t)
+SELECT *, quick + fast AS avoided, round((quick + fast) / (2 * turns), 6) AS share FROM c""")
+def a22(spark, d):
+    return reports.path_ratios(table(spark, d, "events").select(F.col("event_type").isin("click", "view").alias("quick"), (F.col("value") > 10).alias("fast")))
+
+
 @query("t19_first_ack", "SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL")
 def t19(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))

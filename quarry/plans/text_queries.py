@@ -53,10 +53,9 @@ def c07(spark, d):
 
 @query("c08_stems", f"""
 WITH t AS (SELECT DISTINCT unnest({WORDS_SQL}) AS word FROM documents),
-a AS (SELECT word, regexp_replace(word, '(kan|nya|lah|kah|an|i)$', '') AS b FROM t),
-b AS (SELECT word, CASE WHEN length(b) >= 3 THEN b ELSE word END AS b FROM a),
-c AS (SELECT word, b, regexp_replace(b, '^(meng|mem|men|me|peng|pem|pen|pe|ber|ter|di|ke|se)', '') AS c FROM b)
-SELECT word, CASE WHEN length(word) < 6 THEN word WHEN length(c) >= 3 THEN c ELSE b END AS stem FROM c""")
+a AS (SELECT word, CASE WHEN length(word) >= 6 THEN regexp_replace(word, '(nya|lah|kah|kan|an)$', '') ELSE word END AS a FROM t),
+b AS (SELECT word, CASE WHEN length(a) >= 6 THEN regexp_replace(a, '^(meng|meny|mem|men|me|peng|peny|pem|pen|pe|ber|ter|di|ke|se)', '') ELSE a END AS b FROM a)
+SELECT word, CASE WHEN length(word) < 6 OR length(b) < 3 THEN word ELSE b END AS stem FROM b""")
 def c08(spark, d):
     ws = table(spark, d, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
     return ws.select("word", text.stem_id(F.col("word")).alias("stem"))
@@ -64,11 +63,12 @@ def c08(spark, d):
 
 @query("c12_headings", r"""
 WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
-a AS (SELECT page_id, title, rtrim(trim(regexp_replace(title, '^[0-9]+(\.[0-9]+)*[.)]?\s+', '')), ':') AS h FROM t)
-SELECT page_id, title, CASE WHEN h = upper(h) AND h <> lower(h) THEN upper(substr(h, 1, 1)) || lower(substr(h, 2)) ELSE upper(substr(h, 1, 1)) || substr(h, 2) END AS heading FROM a""")
+a AS (SELECT page_id, title, rtrim(trim(regexp_replace(title, '^\s*[0-9]+(\.[0-9]+)*[.)]?\s+', '')), ':') AS h FROM t),
+b AS (SELECT *, CASE WHEN h = upper(h) AND h <> lower(h) THEN array_to_string(list_transform(string_split(lower(h), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') ELSE h END AS k FROM a)
+SELECT page_id, title, CASE lower(h) WHEN 'home' THEN 'Start' ELSE upper(substr(k, 1, 1)) || substr(k, 2) END AS heading FROM b""")
 def c12(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-    return rows.select("page_id", "title", chunking.heading(F.col("title")).alias("heading"))
+    return rows.select("page_id", "title", chunking.heading(F.col("title"), {"home": "Start"}).alias("heading"))
 
 
 @query("c13_form_fields", """

@@ -24,24 +24,40 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", F.when(F.col("bare").startswith("/"), F.concat(root, "bare")).otherwise(F.col("bare")).alias("link"))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, prefix: str, max_rounds: int = 10, disallowed: DataFrame | None = None) -> DataFrame:
-    """Pages reached from seeds (url) by links below a prefix: (url, depth), breadth first over stored pages.
+def allowed(rows: DataFrame, column: str, disallowed: DataFrame) -> DataFrame:
+    """Rows whose address stands below none of the disallowed (prefix) rows of its host. A host without rules allows all."""
+    host = lambda c: F.regexp_extract(c, "^(https?://[^/]+)", 1)
+    rules = disallowed.select(host("prefix").alias("_host"), F.col("prefix").alias("_prefix"))
+    named = rows.withColumn("_own", host(column))
+    return named.join(rules, (F.col("_own") == F.col("_host")) & F.col(column).startswith(F.col("_prefix")), "left_anti").drop("_own")
 
-    A page that isn't stored is reached but leads nowhere; disallowed (prefix) rows are robots' rules. Each round joins the frontier
-    with the links and drops what was seen; it ends when nothing is new.
+
+def crawl(pages: DataFrame, seeds: DataFrame, prefix: str, max_pages: int | None = None, disallowed: DataFrame | None = None) -> DataFrame:
+    """Addresses reached from seeds (url) by links below a prefix: (url, depth, stored), breadth first over stored pages, until nothing is new.
+
+    A page that isn't stored is reached, counts to no limit and leads nowhere; disallowed (prefix) rows are robots' rules. With max_pages
+    the crawl ends in the round in which so many stored pages are reached, and of that round's pages those with the first addresses stay.
+    Each round joins the frontier with the links and drops what was seen, and is cut off by a checkpoint.
     """
     edges = links(pages).where(F.col("link").startswith(prefix)).select(F.col("url").alias("from"), F.col("link").alias("to")).distinct()
-    if disallowed is not None:
-        edges = edges.join(disallowed, F.col("to").startswith(F.col("prefix")), "left_anti")
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        fresh = frontier.join(edges, frontier["url"] == edges["from"]).select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
-        fresh = checkpoint(fresh)
-        if fresh.isEmpty():
-            break
-        seen, frontier = seen.union(fresh), fresh
-    return seen
+    edges = checkpoint(edges if disallowed is None else allowed(edges, "to", disallowed))
+    stored = pages.select("url").distinct().withColumn("stored", F.lit(True))
+    mark = lambda rows: rows.join(stored, "url", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    frontier = checkpoint(mark(seeds.select("url").distinct().withColumn("depth", F.lit(0))))
+    seen, depth, reached = None, 0, 0
+    while not frontier.isEmpty():
+        if max_pages is not None:
+            here = frontier.where("stored").count()
+            if reached + here >= max_pages:
+                last = frontier.where("stored").orderBy("url").limit(max_pages - reached)
+                last = last.union(frontier.where("not stored"))
+                return last if seen is None else seen.union(last)
+            reached += here
+        seen = frontier if seen is None else checkpoint(seen.union(frontier))
+        depth += 1
+        fresh = frontier.join(edges, frontier["url"] == edges["from"]).select(F.col("to").alias("url")).distinct()
+        frontier = checkpoint(mark(fresh.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))))
+    return frontier if seen is None else seen
 
 
 def by_rule(pages: DataFrame, rules: list[tuple[str, str, int]], default: tuple[str, int]) -> DataFrame:

@@ -12,23 +12,30 @@ from quarry.sources import files
 
 
 @pytest.mark.parametrize(("kind", "said", "value"), [
-    ("number", "I'm 34 years old.", "34"), ("amount", "2000 a month", "24000"), ("amount", "15k", "15000"), ("amount", "Maybe 5 or 6 thousand.", None),
-    ("number", "20,000", "20000"), ("yesno", "No, none of us have any.", "false"), ("yesno", "I think so.", None), ("yesno", "yes please", "true"),
-    ("yesno", "yes, I don't", None), ("city", "I live in Lucknow", "lucknow"), ("city", "Nashik", None), ("name", "My name is Asha Rao", "Asha Rao"), ("name", "yes", None), ("number", "34?", None), ("number", "", None),
+    ("number", "I am just 41 years old", "41"), ("number", "Forty one.", "41"), ("amount", "3000 monthly", "36000"), ("amount", "12k", "12000"), ("amount", "perhaps 7 or 8 thousand", None), ("amount", "about 45,500 rupees per year", "45500"), ("amount", "2.5 lakh", "250000"),
+    ("number", "41, Delhi", None), ("number", "41 and 12", None), ("number", "41?", None), ("number", "", None), ("number", None, None),
+    ("yesno", "No, none of us do.", "false"), ("yesno", "Not really", None), ("yesno", "I think we do", None), ("yesno", "Of course, sir", "true"), ("yesno", "yes, but my aunt has asthma", None), ("yesno", "yes, we don't", None), ("yesno", "Okay.", None), ("yesno", "haan ji", "true"),
+    ("city", "Im based in Lucknow", "lucknow"), ("city", "Surat", None), ("name", "Yeah, it's Meera", "Meera"), ("name", "my name is asha rao", "Asha Rao"), ("name", "yes", None), ("name", "Bot", None), ("name", "hello there how are you", None),
 ])
-def test_answers(kind, said, value):
-    assert answering.answer(kind, said, known=frozenset({"lucknow"})) == value
+def test_answers(spark, kind, said, value):
+    df = spark.createDataFrame([(said,)], "text string")
+    assert answering.resolve(df, kind, known=("lucknow",), rejected=("bot",)).first()["value"] == value
 
 
-def test_options_and_words():
-    assert answering.pick("the second one", [5, 10, 25]) == 1 and answering.pick("the cheapest", [10, 5]) == 1 and answering.pick("10", [5, 10]) == 1 and answering.pick("hm", [5]) is None
-    assert answering.spoken(11320) == "eleven thousand three hundred twenty" and answering.spoken(150000, True) == "one lakh fifty thousand" and answering.spoken(0) == "zero"
+def test_allowed_words_and_options(spark):
+    df = spark.createDataFrame([("No, we have no pre-existing conditions.",)], "text string")
+    assert answering.resolve(df, "yesno", allowed=("preexisting", "conditions")).first()["value"] == "false"
+    said = {"the second one": 2, "the cheapest": 2, "the biggest plan": 3, "10": 1, "option 25": 3, "hm": None, "first or third": None, "third": 3}
+    rows = spark.createDataFrame([(t,) for t in said], "text string").withColumn("options", F.array(F.lit(10), F.lit(5), F.lit(25)))
+    assert {r["text"]: r["p"] for r in rows.select("text", answering.pick(answering.normal(F.col("text")), F.col("options")).alias("p")).collect()} == said
 
 
 def test_fuzzy_columns(spark):
     df = spark.createDataFrame([("no waiting period", "there is no waiting periode at all", "a b c", "a x c d"), (None, "x", None, None)], "p string, w string, r string, h string")
     got = df.select(answering.partial_ratio("p", "w").alias("a"), answering.word_edits("r", "h").alias("b")).collect()
     assert tuple(got[0]) == (100.0, 2) and tuple(got[1]) == (0.0, 0)
+    sets = spark.createDataFrame([("where is my refund", "my refund where is it"), ("a b", "c d"), (None, "x")], "p string, w string").select(answering.token_set_ratio("p", "w").alias("a")).collect()
+    assert sets[0]["a"] == 100.0 and sets[1]["a"] < 50 and sets[2]["a"] == 0.0
 
 
 def test_string_table_and_rates(spark):

@@ -1,13 +1,15 @@
 """Small cases with known results."""
 
 import tempfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import pii, text
 from quarry.operators import calls, chunking, cleaning, conflicts, dedupe, normalizing, reports, retrieval, turns, versioning
-from quarry.operators.dialogue import claim_outcome, number_of
+from quarry.functions import ranks, spoken
+from quarry.operators.dialogue import Field, merge_claims
 from quarry.sources import markdown, web
 from quarry.streaming import nudges, windows
 
@@ -34,18 +36,25 @@ def test_glyphs_terms_dates(spark):
     clean, counts = normalizing.repair_glyphs(F.col("x"), [(r"(?<![\p{L}])n(?=\d)", "₹"), ("■(?=\\d)", "₹")])
     r = spark.createDataFrame([("ambulance up to n2,000 and ■5 lakh; not inner2",)], "x string").select(clean.alias("c"), (counts[0] + counts[1]).alias("n")).first()
     assert tuple(r) == ("ambulance up to ₹2,000 and ₹5 lakh; not inner2", 2)
-    out, hits = normalizing.terminology(F.col("x"), {"pre-existing condition": ["PED"], "Sum insured": ["cover amount"]})
-    r = spark.createDataFrame([("PED covered after 24 months. Cover amount options. SIgnature stays.",)], "x string").select(out.alias("c"), hits.alias("h")).first()
-    assert r["c"] == "pre-existing condition covered after 24 months. Sum insured options. SIgnature stays." and r["h"] == ["PED", "cover amount"]
-    for said, iso in [("From 1st April 2025", "2025-04-01"), ("01/04/2024", "2024-04-01"), ("April 1, 2025", "2025-04-01"), ("1 Januari 2025", "2025-01-01"), ("31/02/2025", None), ("none", None)]:
-        assert one(spark, said, normalizing.dates(F.col("x"))) == iso
+    terms = {"hospitalisation": ["hospitalization"], "sum insured": ["cover amount", "SI"], "auto-debit arrangement": ["ADA"]}
+    said = "Cover amount and SI differ; Hospitalization counts. ADA (auto-debit arrangement). Simple: si, in-SI-de"
+    r = spark.createDataFrame([(said,), (None,)], "x string").select(normalizing.terminology(F.col("x"), terms).alias("t")).select("t.*").collect()
+    assert r[0]["text"] == "Sum insured and sum insured differ; Hospitalisation counts. auto-debit arrangement. Simple: si, in-SI-de"
+    assert r[0]["hits"] == ["ADA", "SI", "cover amount", "hospitalization"] and r[1]["text"] is None
+    cases = [("Since 1st April 2025.", "Since 2025-04-01.", []), ("01/04/2024 to April 1, 2025", "2024-04-01 to 2025-04-01", []), ("1 Januari 2025, 31/02/2025", "2025-01-01, 31/02/2025", ["31/02/2025"]), ("none", "none", [])]
+    for said, clean, invalid in cases:
+        got = one(spark, said, normalizing.dates(F.col("x")))
+        assert (got["text"], got["invalid"]) == (clean, invalid)
+    assert one(spark, "is my mom covered", normalizing.expanded(F.col("x"), {"parents": ["mother", "mom"], "spouse": ["wife"]})) == "is my mom covered parents"
 
 
 def test_text_columns(spark):
     assert one(spark, "123450", text.indian_grouping(F.col("x"))) == "1,23,450"
     assert one(spark, "6400", text.indian_grouping(F.col("x"))) == "6,400"
     assert one(spark, "12", text.indian_grouping(F.col("x"))) == "12"
-    assert one(spark, "menagih", text.stem_id(F.col("x"))) == one(spark, "penagihan", text.stem_id(F.col("x"))) == "agih"
+    for word, stem in [("menagih", "agih"), ("penagihan", "agih"), ("menyanyi", "anyi"), ("makan", "makan"), ("diberikan", "beri"), ("cicilannya", "cicilan"), ("kantor", "kantor"), ("terkan", "ter")]:
+        assert one(spark, word, text.stem_id(F.col("x"))) == stem
+    assert one(spark, "2.1 WHAT IS COVERED:", chunking.heading(F.col("x"))) == "What Is Covered" and one(spark, "Key facts", chunking.heading(F.col("x"), {"key facts": "Summary"})) == "Summary"
     assert one(spark, "4. Waiting Periods", chunking.heading(F.col("x"))) == "Waiting Periods"
     assert one(spark, "a b", F.size(text.shingles(text.words(F.col("x"))))) == 1
     assert one(spark, "", F.size(text.shingles(text.words(F.col("x"))))) == 1
@@ -108,25 +117,50 @@ def test_turn_columns(spark):
         assert one(spark, heard, turns.fast_class(F.col("x"))) == kind
     assert one(spark, "I'm 34 years old", turns.coerce_int(F.col("x"), 0, 99)) == 34
     assert one(spark, "yes", turns.coerce_bool(F.col("x"))) is True and one(spark, "perhaps", turns.coerce_bool(F.col("x"))) is None
-    assert number_of("one lakh and fifty thousand".split()) == 150_000
-    assert number_of("one hundred and five".split()) is None and number_of("one hundred five".split()) == 105
-    assert number_of("four thirty".split()) is None and number_of([]) is None and number_of("1.5 lakh".split()) == 150_000
+    said = {"one lakh and fifty thousand": 150_000, "one hundred and five": None, "one hundred five": 105, "four thirty": None, "": None, "1.5 lakh": 150_000, "thirty four": 34, "34 and 31": None, "and": None, "thousand": 1000, "two lakh and": None, "nineteen hundred": 1900, "thirty twelve": None, "5 crore 3 lakh 20": 50_300_020}
+    for phrase, n in said.items():
+        assert one(spark, phrase, spoken.spoken_number(F.col("x"))) == n, phrase
 
 
-def test_claims():
-    state, seen = None, []
-    for value, correction in [("view", False), ("click", False), ("view", False), ("view", False), ("buy", True)]:
-        state, outcome = claim_outcome(state, value, 0.9, correction, ["view", "click"])
-        seen.append(outcome)
-    assert seen == ["set", "widened", "conflict", "corrected", "corrected"]
+def test_number_words(spark):
+    assert [spoken.hindi(n) for n in (0, 7500, 1_000_000, 99)] == ["शून्य", "सात हज़ार पाँच सौ", "दस लाख", "निन्यानवे"]
+    assert [spoken.indonesian(n) for n in (1_250_000, 1000, 121_000, 15, 100, 21_001_000)] == ["satu juta dua ratus lima puluh ribu", "seribu", "seratus dua puluh satu ribu", "lima belas", "seratus", "dua puluh satu juta seribu"]
+    assert one(spark, "11320", spoken.amount_in_words(F.col("x").cast("double"), "INR")) == "eleven thousand three hundred rupees"
+    assert one(spark, "-5", spoken.in_words(F.col("x").cast("long"))) == "minus five"
+    for typed, read in [("sunday 3pm", "on Sunday at 3 PM"), ("tomorrow, 11:30 am", "tomorrow at 11:30 AM"), ("the weekend evening", "on the weekend, in the evening"), ("6 pm", "at 6 PM"), ("later", "later")]:
+        assert one(spark, typed, spoken.when_spoken(F.col("x"))) == read
+
+
+def test_claims(spark):
+    fields = [Field("stage", "enum", values=("view", "click", "buy"), widening=("view", "click")), Field("budget", "int", low=0, soft_max=100_000), Field("city", known=("pune", "delhi"))]
+    said = [("stage", "view", 0.9, False), ("stage", "click", 0.9, False), ("stage", "view", 0.9, False), ("stage", "click", 0.9, False), ("stage", "buy", 0.9, True), ("stage", "sell", 0.9, False), ("shoe", "42", 0.9, False)]
+    said += [("budget", "5 00 000", 0.9, False), ("budget", "500000", 0.9, False), ("budget", "20000", 0.9, False), ("budget", "30000", 0.9, False), ("budget", "40000", 0.9, None), ("city", "Ten", 0.9, False), ("city", "Pune", 0.9, False), ("city", "Agra", 0.9, False)]
+    rows = [(1, f, float(i), i, v, c, k) for i, (f, v, c, k) in enumerate(said)]
+    got = merge_claims(spark.createDataFrame(rows, "call_id long, field string, at double, seq long, raw string, confidence double, correction boolean"), fields).orderBy("seq").collect()
+    assert [r["outcome"] for r in got] == ["set", "widened", "conflict", "confirmed", "corrected", "invalid", "unknown_field", "set", "conflict", "corrected", "conflict", "corrected", "set", "corrected", "conflict"]
+
+
+def test_percentiles_of_large_groups(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") % 17).cast("double").alias("v")).union(spark.createDataFrame([(None, 3.0), (0, None)], "g long, v double"))
+    got = {r["g"]: tuple(r)[1:] for r in ranks.at_places(df, ["g"], "v", {"a": ranks.nearest(0.5), "b": ranks.floored(0.95)}).collect()}
+    for g in (0, 1):
+        v = sorted(float(i % 17) for i in range(5000) if i % 2 == g)
+        assert got[g] == (2500, 0.0, 16.0, v[int(0.5 * 2499 + 0.5)], v[int(0.95 * 2499)])
+    assert got[None] == (1, 3.0, 3.0, 3.0, 3.0)
 
 
 def test_crawl(spark):
     page = lambda *links: "".join(f'<a href="{x}">x</a>' for x in links)
     pages = [(1, "http://h/a", page("/a/b#top", "/a/c?q=1", "mailto:x@y", "http://other/a/z")), (2, "http://h/a/b", page("/a", "/a/dead")), (3, "http://h/a/c", page("/b/off")), (4, "http://h/b/off", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r["url"]: r["depth"] for r in web.crawl(df, spark.createDataFrame([("http://h/a",)], "url string"), "http://h/a").collect()}
-    assert got == {"http://h/a": 0, "http://h/a/b": 1, "http://h/a/c": 1, "http://h/a/dead": 2}
+    seeds = spark.createDataFrame([("http://h/a",)], "url string")
+    got = {r["url"]: (r["depth"], r["stored"]) for r in web.crawl(df, seeds, "http://h/a").collect()}
+    assert got == {"http://h/a": (0, True), "http://h/a/b": (1, True), "http://h/a/c": (1, True), "http://h/a/dead": (2, False)}
+    assert {r["url"] for r in web.crawl(df, seeds, "http://h/a", max_pages=2).where("stored").collect()} == {"http://h/a", "http://h/a/b"}
+    robots = spark.createDataFrame([("http://h/a/b",), ("http://other/",)], "prefix string")
+    assert {r["url"] for r in web.crawl(df, seeds, "http://h/a", disallowed=robots).collect()} == {"http://h/a", "http://h/a/c"}
+    chain = spark.createDataFrame([(i, f"http://c/{i}", page(f"/{i + 1}")) for i in range(14)], "page_id long, url string, html string")
+    assert web.crawl(chain, spark.createDataFrame([("http://c/0",)], "url string"), "http://c/").count() == 15
 
 
 def test_markdown(spark):
@@ -156,8 +190,12 @@ def signal(seq, at, key, **kw):
 
 
 def decide(*signals, controls=nudges.Controls()):
-    state = nudges.new_state()
-    return [[x[-1] for x in nudges.step(state, s, T, controls)][-1] for s in signals]
+    room, out = nudges.Room(), []
+    for s in map(lambda s: SimpleNamespace(**s), signals):
+        room = nudges.Room.of(room.text())
+        room.expire(s.at)
+        out.append(nudges.consider(room, s, T, controls)[-1][4])
+    return out
 
 
 def test_controls():
@@ -168,17 +206,33 @@ def test_controls():
     assert decide(signal(1, 0, "ask", noisy=True), signal(2, 1, "ask", speaker="customer", words=1), signal(3, 2, "ask", source="llm", confidence=0.7)) == ["noisy_agent_audio", "utterance_too_short", "low_confidence"]
 
 
+def test_controls_on_what_is_shown():
+    room, at = nudges.Room(), lambda i, key, **kw: SimpleNamespace(**signal(i, i * 10, key, **kw))
+    for i, key in enumerate(("sell", "ask", "frustration")):
+        nudges.consider(room, at(i, key), T, nudges.Controls())
+    evicting = nudges.consider(room, at(3, "gap"), T, nudges.Controls())
+    assert [(x[2], x[3], x[4]) for x in evicting] == [("sell", "superseded", "higher_priority"), ("gap", "emitted", "passed_controls")]
+    assert [x[2] for x in room.resolve(["gap"], "disclosed", 31.0)] == ["gap"] and nudges.title("Tell", 2) == "Reminder: Tell" and nudges.title("Tell", 1) == "Tell"
+    assert [(x[1], x[2], x[3]) for x in room.expire(100.0)] == [(55.0, "ask", "expired"), (65.0, "frustration", "expired")]
+
+
 def test_batch_equals_stream(spark, data):
     from quarry.plans.call_queries import SLOW, TEMPLATES, signals
 
     stored = signals(spark, data)
     want = sorted(map(tuple, nudges.replay(stored, TEMPLATES, SLOW).collect()))
     folder = tempfile.mkdtemp(prefix="spark-")
-    stored.coalesce(1).orderBy("at", "seq").write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(stored.schema).parquet(f"{folder}/in")
+    cuts = [0.0, *stored.approxQuantile("at", [0.3, 0.7], 0.01), 1e18]
+    for low, high in zip(cuts, cuts[1:], strict=False):  # in order of time, as a stream has them
+        stored.where((F.col("at") >= low) & (F.col("at") < high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     query = nudges.stream(source, TEMPLATES, SLOW).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("decided").collect())) == want
+    query.awaitTermination(200)
+    got = sorted(map(tuple, spark.table("decided").collect()))
+    lasting = stored.agg(F.max("at")).first()[0] - 15  # what ends later than the stream's own time goes on
+    assert [x for x in got if x[4] != "expired"] == [x for x in want if x[4] != "expired"] and set(got) <= set(want)
+    assert [x for x in got if x[4] == "expired" and x[2] < lasting] == [x for x in want if x[4] == "expired" and x[2] < lasting]
 
 
 def test_stream_windows(spark, data):
