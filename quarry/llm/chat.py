@@ -1,14 +1,17 @@
 """Tool-call linking for chats: calls and results joined by identifier, ordered, validated and written as canonical JSON.
 
-A message carries at most a handful of calls, each naming those of the same message that it waits for; calls of a later message come
-later. So a conversation's topological order is (turn, place within its message), and only a message's own calls are sorted in one
-place: no conversation, however long, is gathered. Calls and results meet in one hash join by (conversation, identifier).
+A call names the calls that it waits for. Those of its own message are sorted within the message, which is one row; those of earlier
+messages stand before it anyway; one that waits for a later or an unknown call is an error. So a conversation's topological order is
+(turn, place), and no conversation, however long, is gathered: calls, results and what is waited for meet in hash joins by
+(conversation, identifier). Every message, with its calls, and every linked call become a line of canonical JSON.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null":
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, characters unescaped, and whole floats as integers."""
+    """JSON with sorted keys, no spaces, characters unescaped, and whole floats as integers. Numbers that JSON has no form for raise."""
 
     def plain(x):
         if isinstance(x, float) and math.isfinite(x) and x == int(x) and abs(x) < 1 << 53:
@@ -30,35 +33,63 @@ def canonical(value) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def problems(value, schema: dict, path: str = "$") -> list[str]:
-    """What of a value a JSON schema forbids. Keywords read: type, enum, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength."""
+def no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def parsed(text: str | None) -> tuple[object, str | None, str | None]:
+    """(value, canonical form, error) of a call's arguments; null and empty text are no arguments.
+
+    What isn't JSON (NaN and Infinity, numbers out of range, unpaired surrogates among it) or is nested too deeply to walk is an error.
+    """
+    try:
+        value = json.loads(text or "{}", parse_constant=no_constant)
+        form = canonical(value)
+        form.encode()
+    except ValueError:
+        return None, None, "$: not JSON"
+    except RecursionError:
+        return None, None, "$: nested too deeply"
+    return value, form, None
+
+
+def problems(value, schema: dict | bool, path: str = "$") -> list[str]:
+    """What of a value a JSON schema forbids. Keywords read: type, enum, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength.
+
+    A schema may be true or false; a type that JSON schemas don't have is reported as such.
+    """
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
 
     def is_(kind: str) -> bool:
-        if kind == "number":
-            return number
-        if kind == "integer":
-            return number and value == math.floor(value) if not isinstance(value, float) or math.isfinite(value) else False
+        if kind in ("number", "integer"):
+            return number and (kind == "number" or value == math.floor(value))
         return isinstance(value, KINDS[kind])
 
+    odd = [k for k in kinds if k not in KINDS and k not in ("number", "integer")]
+    if odd:
+        return [f"{path}: the schema has an unknown type {odd[0]}"]
     if kinds and not any(map(is_, kinds)):
         return [f"{path}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{path}: not one of the values allowed")
     if isinstance(value, dict):
-        fields = schema.get("properties", {})
+        fields, rest = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        if schema.get("additionalProperties") is False:
-            out += [f"{path}.{k}: unknown" for k in sorted(value) if k not in fields]
         for k in sorted(value):
             if k in fields:
                 out += problems(value[k], fields[k], f"{path}.{k}")
+            elif rest is False:
+                out.append(f"{path}.{k}: unknown")
+            else:
+                out += problems(value[k], rest, f"{path}.{k}")
     elif isinstance(value, list) and "items" in schema:
         for i, x in enumerate(value):
             out += problems(x, schema["items"], f"{path}[{i}]")
@@ -71,83 +102,126 @@ def problems(value, schema: dict, path: str = "$") -> list[str]:
 
 
 def topological(calls: list[dict]) -> tuple[list[int], set[int]]:
-    """Places of calls so that each comes after those it waits for, the earliest first among the free; and those in or behind a cycle, at the end."""
+    """Places of a message's calls so that each comes after those it waits for, the earliest first among the free; and those in or behind a cycle, at the end.
+
+    Waiting for a call of another message orders nothing here. Of calls with one identifier the first is meant; null identifiers name none.
+    """
     place: dict = {}
     for i, c in enumerate(calls):
-        place.setdefault(c["id"], i)
+        if c["id"] is not None:
+            place.setdefault(c["id"], i)
     waits = [{place[a] for a in c["after"] or [] if a in place} for c in calls]
-    order: list[int] = []
-    done: set[int] = set()
-    while len(order) < len(calls):
-        free = next((i for i in range(len(calls)) if i not in done and waits[i] <= done), None)
-        if free is None:
-            break
-        order.append(free)
-        done.add(free)
-    stuck = [i for i in range(len(calls)) if i not in done]
+    behind: dict[int, list[int]] = defaultdict(list)
+    for i, others in enumerate(waits):
+        for j in others:
+            behind[j].append(i)
+    left = list(map(len, waits))
+    free, order = [i for i, n in enumerate(left) if not n], []
+    heapq.heapify(free)
+    while free:
+        order.append(heapq.heappop(free))
+        for i in behind[order[-1]]:
+            left[i] -= 1
+            if not left[i]:
+                heapq.heappush(free, i)
+    stuck = [i for i, n in enumerate(left) if n]
     return order + stuck, set(stuck)
 
 
-def calls_of(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """A row for each call of messages (conv_id, turn, calls): ordered within its message, its arguments validated and canonical.
+ROWS = "conv_id long, turn long, place int, call_id string, name string, arguments string, after array<string>, errors array<string>, json string"
 
-    schemas, of bounded number, are the tools' argument schemas. errors is empty for a sound call.
+
+def messages_and_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Rows ROWS of messages (conv_id, turn, role, content, calls): one for each message, without a place, and one for each of its calls.
+
+    Calls are ordered within their message, their arguments validated and canonical; errors is empty for a sound call. A message's json
+    has its role, its content and its calls in order. schemas, of bounded number, are the tools' argument schemas. Messages without
+    calls, or with null ones among them, are messages all the same.
     """
 
     def make():
         def step(batch: dict) -> dict:
-            names = ("conv_id", "turn", "place", "call_id", "name", "arguments", "errors")
-            out: dict = {n: [] for n in names}
-            for conv, turn, calls in zip(batch["conv_id"], batch["turn"], batch["calls"], strict=True):
+            out: dict = {n: [] for n in (x.split()[0] for x in ROWS.split(", "))}
+
+            def put(*values):
+                for column, x in zip(out.values(), values, strict=True):
+                    column.append(x)
+
+            for conv, turn, role, content, calls in zip(*(batch[n] for n in ("conv_id", "turn", "role", "content", "calls")), strict=True):
                 calls = [c for c in calls or [] if c is not None]
                 order, stuck = topological(calls)
+                listed = []
                 for place, i in enumerate(order):
                     c, errors = calls[i], ["waits in a circle"] if i in stuck else []
-                    try:
-                        value = json.loads(c["arguments"] or "{}")
-                    except ValueError:
-                        value, errors = None, [*errors, "$: not JSON"]
+                    value, form, error = parsed(c["arguments"])
+                    if error:
+                        errors.append(error)
+                    elif c["name"] not in schemas:
+                        errors.append("unknown tool")
                     else:
-                        errors += problems(value, schemas[c["name"]]) if c["name"] in schemas else ["unknown tool"]
-                    for n, x in zip(names, (conv, turn, place, c["id"], c["name"], None if value is None else canonical(value), errors), strict=True):
-                        out[n].append(x)
+                        errors += problems(value, schemas[c["name"]])
+                    listed.append({"id": c["id"], "name": c["name"], "arguments": value})
+                    put(conv, turn, place, c["id"], c["name"], form, c["after"], errors, None)
+                message = {"role": role, "content": content} | ({"tool_calls": listed} if listed else {})
+                put(conv, turn, None, None, None, None, None, [], canonical(message))
             return out
 
         return step
 
-    rows = messages.select("conv_id", "turn", F.col("calls").cast(f"array<{CALL}>").alias("calls")).where(F.size("calls") > 0)
-    return arrow_map(rows, make, "conv_id long, turn long, place int, call_id string, name string, arguments string, errors array<string>")
+    rows = messages.select("conv_id", "turn", "role", "content", F.col("calls").cast(f"array<{CALL}>").alias("calls"))
+    return arrow_map(rows, make, ROWS)
+
 
+def with_waits(rows: DataFrame) -> DataFrame:
+    """Adds to the errors of calls those of what they wait for beyond their message: a call that nobody makes, or makes later."""
+    waits = rows.where("place is not null").select("conv_id", "turn", "place", F.explode("after").alias("wanted")).where("wanted is not null")
+    made = rows.where("call_id is not null and conv_id is not null").groupBy("conv_id", F.col("call_id").alias("wanted")).agg(F.min("turn").alias("made"))
+    met = waits.join(made, ["conv_id", "wanted"], "left")
+    wrong = met.where("made is null or made > turn").select("conv_id", "turn", "place", F.concat(F.when(F.col("made").isNull(), "waits for an unknown call: ").otherwise("waits for a later call: "), "wanted").alias("e"))
+    named = wrong.groupBy("conv_id", "turn", "place").agg(F.array_sort(F.collect_set("e")).alias("e"))
+    here = [F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}")) for k in ("conv_id", "turn", "place")]
+    joined = rows.alias("r").join(named.alias("n"), here[0] & here[1] & here[2], "left")
+    return joined.select(*[F.col(f"r.{c}") for c in rows.columns if c not in ("errors", "after")], F.concat("r.errors", F.coalesce("n.e", F.array().cast("array<string>"))).alias("errors"))
 
-def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Calls joined with results (conv_id, call_id, turn, content): status linked, unanswered, early (the result stands before the call) or orphan.
+
+def link(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls joined with results (conv_id, call_id, turn, content): status linked, unanswered, early (the result stands before the call) or orphan; of messages, message.
 
     Of several results of a call the first by turn, then by content, counts; of several calls of one identifier in a conversation each
     gets it. Null identifiers link with nothing. Equal keys of many rows are pre-aggregated on the results' side, so a hot key meets one row.
     """
     first = results.where("call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").alias("result_turn"), "content")).alias("r"))
-    joined = calls.join(first, ["conv_id", "call_id"], "full_outer")
-    status = F.when(F.col("name").isNull() & F.col("turn").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").when(F.col("r.result_turn") < F.col("turn"), "early").otherwise("linked")
-    return joined.select("conv_id", "call_id", "turn", "place", "name", "arguments", "errors", status.alias("status"), F.col("r.result_turn").alias("result_turn"), F.col("r.content").alias("content"))
+    made = rows.withColumn("made", F.lit(True))
+    joined = made.join(first, ["conv_id", "call_id"], "full_outer")
+    status = F.when(F.col("made").isNull(), "orphan").when(F.col("place").isNull(), "message").when(F.col("r").isNull(), "unanswered").when(F.col("r.result_turn") < F.col("turn"), "early").otherwise("linked")
+    return joined.select("conv_id", "call_id", "turn", "place", "name", "arguments", "errors", "json", status.alias("status"), F.col("r.result_turn").alias("result_turn"), F.col("r.content").alias("content"))
 
 
 def serialised(linked: DataFrame) -> DataFrame:
-    """Adds json: a canonical record of each call and its result. Orphans have their result alone."""
+    """Fills json: a canonical record of each call and its result. Orphans have their result alone; messages keep what they have."""
 
     def make():
         def step(batch: dict) -> dict:
             out = []
-            for k, name, args, status, content in zip(batch["call_id"], batch["name"], batch["arguments"], batch["status"], batch["content"], strict=True):
+            for k, name, args, status, content, json_ in zip(*(batch[n] for n in ("call_id", "name", "arguments", "status", "content", "json")), strict=True):
                 record = {"id": k, "status": status, "result": content}
                 if status != "orphan":
                     record |= {"name": name, "arguments": None if args is None else json.loads(args)}
-                out.append(canonical(record))
+                out.append(json_ if status == "message" else canonical(record))
             return batch | {"json": out}
 
         return step
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in linked.schema)
-    return arrow_map(linked, make, f"{kept}, json string")
+    return arrow_map(linked, make, kept)
+
+
+def formatted(messages: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Messages, calls and results as lines of canonical JSON: rows (conv_id, turn, place, call_id, name, arguments, errors, status, result_turn, content, json).
+
+    Repeated rows give repeated lines, empty tables none; columns beyond those named are not read.
+    """
+    return serialised(link(with_waits(messages_and_calls(messages, schemas)), results))
 
 
 #: The tools that op8's chats call.
@@ -171,7 +245,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.array(F.concat(F.lit("m"), F.col("turn")))
     calls = F.array(call("answer", ask, first), call("measure", F.to_json(F.struct(text.alias("text"))), F.array().cast(T.ArrayType(T.StringType()))))
     user = turns.where("role = 'user'")
-    messages = user.select("conv_id", "turn", calls.alias("calls"))
+    messages = turns.select("conv_id", "turn", "role", text.alias("content"), F.when(F.col("role") == "user", calls).alias("calls"))
     measured = user.select("conv_id", F.concat(F.lit("m"), F.col("turn")).alias("call_id"), "turn", n_words.cast("string").alias("content"))
     answers = turns.where("role <> 'user'").select("conv_id", F.concat(F.lit("a"), F.col("turn") - 1).alias("call_id"), "turn", text.alias("content"))
     return messages, measured.union(answers)
@@ -179,5 +253,5 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, results = from_turns(table(spark, sf_dir, "conversations"))
-    out = serialised(link(calls_of(messages, TOOLS), results))
+    out = formatted(messages, results, TOOLS)
     return out.select("conv_id", "turn", "place", "call_id", "name", "status", F.array_join("errors", "; ").alias("errors"), "result_turn", "json")

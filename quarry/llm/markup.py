@@ -2,12 +2,15 @@
 
 Blocks stand on lines of their own, paragraphs and headings with a blank line around them; list items carry their marker and depth;
 table cells are padded so that columns line up; preformatted text keeps its spaces. What is hidden (scripts, styles, templates,
-hidden or display:none elements, hidden inputs) is left out. Trees are built and rendered without recursion, so depth is no limit.
+hidden or display:none elements, hidden inputs) is left out, and nothing else: text that a table can't hold stands before it. Trees are
+built and rendered without recursion, tables within tables too, and each tag costs the same at any depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style noscript template title iframe object svg math datalist audio video canvas".split())
+UNSEEN = frozenset("head script style noscript template title iframe object defs desc metadata annotation annotation-xml datalist audio video canvas".split())
+#: What may stand in a head, and what a table, its groups and its rows hold.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+GROUPS = frozenset("thead tbody tfoot".split())
+IN_TABLE = GROUPS | frozenset("tr td th caption colgroup col script style template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("address article aside body center dd details dir div dt figcaption footer form header html li main menu nav section summary tr caption thead tbody tfoot legend option optgroup select".split())
 #: A start tag of the key ends open elements of the values, up to a barrier.
@@ -24,8 +31,11 @@ P_ENDS = frozenset("address article aside blockquote center details dir div dl f
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "caption", "colgroup"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 ENDS |= {x: {"tr", "td", "th", "caption", "thead", "tbody", "tfoot"} for x in ("thead", "tbody", "tfoot")} | {f"h{i}": {f"h{j}" for j in range(1, 7)} for i in range(1, 7)}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, **{x: {"table"} for x in ("tr", "td", "th", "thead", "tbody", "tfoot")}, "option": {"select"}, "optgroup": {"select"}}
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 SCOPE = frozenset("html body table td th caption object template".split())
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Lists deeper than this are indented no further.
+MOST_INDENT = 40
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -37,74 +47,96 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Builds a tree from any text: tags that HTML implies are closed or opened, stray end tags are ignored."""
+    """Builds a tree from any text: tags that HTML implies are closed or opened, stray end tags are ignored.
+
+    Where elements of a tag are open is kept by tag, so that ending one needs no search through all that is open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {}, False)
-        self.open = [self.root]
+        self.open, self.places = [self.root], defaultdict(list, {"html": [0]})
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of some tags, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def pop(self) -> None:
+        self.places[self.open.pop().tag].pop()
 
-    def close_through(self, tags: set, barrier: set) -> None:
+    def close_through(self, tags: Iterable[str], barrier: Iterable[str]) -> bool:
         """Ends the innermost open element among tags, and what is open inside it, unless a barrier stands before."""
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                del self.open[i:]
-                return
-            if tag in barrier:
-                return
+        at = self.last(tags)
+        if at < 1 or at < self.last(barrier):
+            return False
+        while len(self.open) > at:
+            self.pop()
+        return True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         attributes = {k: v or "" for k, v in attrs}
         if tag in ("html", "body"):
-            if tag == "body" and not any(x.tag == "body" for x in self.open):
+            if tag == "body" and not self.places.get("body"):
                 self.close_through({"head"}, set())
                 self.push(tag, attributes)
             return
+        if tag not in IN_HEAD and self.open[-1].tag == "head":
+            self.pop()
         if tag in P_ENDS:
             self.close_through({"p"}, SCOPE)
-        if tag in BLOCKS and self.open[-1].tag == "head":
-            self.open.pop()
         if tag in ENDS:
-            barrier = BARRIERS.get(tag, SCOPE)
-            while any(x.tag in ENDS[tag] for x in self.after(barrier)):
-                self.close_through(ENDS[tag], barrier)
-        if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            while self.close_through(ENDS[tag], BARRIERS.get(tag, SCOPE)):
+                pass
+        if tag in IN_TABLE and self.last({"table"}) > 0 and self.last({"table"}) > self.last({"td", "th", "caption"}):
+            while self.open[-1].tag not in ("table", "tr", *GROUPS):  # what was moved out of the table ends
+                self.pop()
+        if tag == "form" and self.in_table():
+            return
+        if tag in ("td", "th") and self.open[-1].tag in ("table", *GROUPS):
             self.push("tr", {})
         self.push(tag, attributes)
         if tag in VOID:
-            self.open.pop()
+            self.pop()
+
+    def in_table(self) -> bool:
+        """Whether the innermost open element is one that holds no text: a table, its groups and rows."""
+        return self.open[-1].tag in ("table", "tr", *GROUPS) and self.last({"table"}) > 0
 
-    def after(self, barrier: set) -> list[Node]:
-        """Open elements inside the innermost barrier."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag in barrier:
-                return self.open[i + 1 :]
-        return self.open[1:]
+    def put(self, child, tag: str = "") -> None:
+        """Adds a node or text; what a table can't hold goes before the table."""
+        if tag not in IN_TABLE and self.in_table():
+            holder = self.open[self.last({"table"}) - 1].children
+            holder.insert(len(holder) - 1, child)
+        else:
+            self.open[-1].children.append(child)
 
     def push(self, tag: str, attributes: dict) -> None:
         hidden = tag in UNSEEN or "hidden" in attributes or tag == "input" and attributes.get("type", "").lower() == "hidden" or bool(HIDDEN_STYLE.search(attributes.get("style", "")))
         node = Node(tag, attributes, hidden or tag == "dialog" and "open" not in attributes)
-        self.open[-1].children.append(node)
+        self.put(node, tag)
+        self.places[tag].append(len(self.open))
         self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing on elements that aren't void
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID or tag in ("html", "body") or tag == "form" and self.in_table():
             return
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
+        if tag == "p" and not self.places.get("p"):
             self.push("p", {})
         barrier = {"table"} - {tag} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "li", "p") else set()
-        self.close_through({f"h{i}" for i in range(1, 7)} if tag in {f"h{i}" for i in range(1, 7)} else {tag}, barrier)
+        self.close_through(HEADINGS if tag in HEADINGS else {tag}, barrier)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """HTML has no marked sections: what looks like one is a comment up to the next >."""
         return self.parse_bogus_comment(i)
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if self.open[-1].tag == "head" and data.strip():
+            self.pop()
+        if data.strip() or not self.in_table():
+            self.put(data)
 
 
 class Page:
@@ -112,6 +144,7 @@ class Page:
 
     def __init__(self):
         self.lines, self.line, self.gap, self.wait = [], "", 0, False
+        self.count, self.bars = 0, ""  # how often text was put; bars between cells that wait for text
 
     def text(self, data: str, kept: bool = False) -> None:
         if kept:
@@ -135,8 +168,9 @@ class Page:
         if data:
             if self.gap and self.lines:
                 self.lines += [""] * (self.gap - 1)
-            self.gap = 0
-            self.line += data
+            self.gap, self.count = 0, self.count + 1
+            self.line += self.bars + data
+            self.bars = ""
 
     def end(self, blank: bool = False) -> None:
         """Ends a line; blank asks for an empty line before what follows."""
@@ -151,27 +185,6 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def cells(node: Node) -> list[list[str]]:
-    """The rows of a table, each cell rendered and brought to one line; a table within a cell is part of the cell's text."""
-    rows, stack = [], [iter(node.children)]
-    while stack:
-        x = next(stack[-1], None)
-        if x is None:
-            stack.pop()
-        elif isinstance(x, Node) and not x.hidden:
-            if x.tag == "tr":
-                row = []
-                for c in x.children:
-                    if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden:
-                        row += [SPACES.sub(" ", render(c)).strip()] + [""] * (min(int(s), 100) - 1 if (s := c.attributes.get("colspan", "1").strip()).isdecimal() else 0)
-                rows.append(row)
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                stack.append(iter(x.children))
-            elif x.tag == "caption":
-                rows.append([SPACES.sub(" ", render(x)).strip()])
-    return [r for r in rows if any(r)]
-
-
 def aligned(rows: list[list[str]]) -> list[str]:
     """Rows as lines, columns padded to their widest cell. A row of one cell has no columns and widens none."""
     widths: list[int] = []
@@ -184,15 +197,24 @@ def aligned(rows: list[list[str]]) -> list[str]:
     return [" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip() if len(row) > 1 else row[0] for row in rows]
 
 
+class Context:
+    """Where text goes: a page of its own for the document and for each cell, with the lists that are open in it."""
+
+    def __init__(self):
+        self.page, self.lists, self.kept = Page(), [], 0
+
+
 def render(root: Node) -> str:
-    """The visible text below a node."""
-    page, lists, kept = Page(), [], 0
-    stack = [("open", root)]
-    while stack:
-        what, x = stack.pop()
+    """The visible text below a node. What is left to do stands on one stack: nodes to open and close, rows and cells to end."""
+    contexts, rows = [Context()], []  # the document, and the cell of an outermost table; that table's rows
+    todo: list[tuple] = [("open", root)]
+    while todo:
+        what, x = todo.pop()
+        here = contexts[-1]
+        page, lists = here.page, here.lists
         if what == "open":
             if isinstance(x, str):
-                page.text(x, kept > 0)
+                page.text(x, here.kept > 0)
                 continue
             if x.hidden and x is not root:
                 continue
@@ -202,45 +224,88 @@ def render(root: Node) -> str:
                 continue
             if tag in BLOCKS:
                 page.end(tag in SPACED and not (tag in ("ul", "ol") and lists))
-            if tag == "table" and x is not root:
-                for line in aligned(cells(x)):
-                    page.put(line)
-                    page.end()
-                page.end(True)
-                continue
             if tag == "hr":
                 continue
+            if tag == "table":
+                inner = len(contexts) > 1
+                todo.append(("table_end", x) if not inner else ("close", x))
+                todo.extend(("inner_row" if inner else "row", c) for c in reversed(x.children))
+                continue
             if tag == "li":
                 depth = max(0, len(lists) - 1)
                 if lists and lists[-1][0] == "ol":
                     lists[-1][1] += 1
-                    page.put("  " * depth + f"{lists[-1][1]}. ")
+                    page.put("  " * min(depth, MOST_INDENT) + f"{lists[-1][1]}. ")
                 else:
-                    page.put("  " * depth + "- ")
+                    page.put("  " * min(depth, MOST_INDENT) + "- ")
             elif tag in ("ul", "ol", "menu"):
                 start = x.attributes.get("start", "1").strip()
-                lists.append([tag, int(start) - 1 if start.isdecimal() else 0])
+                lists.append([tag, int(start) - 1 if start.isdecimal() and len(start) < 10 else 0])
             elif tag in ("pre", "textarea"):
-                kept += 1
+                here.kept += 1
             elif tag == "img" and x.attributes.get("alt", "").strip():
                 page.text(x.attributes["alt"])
             elif tag == "input" and x.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
                 page.text(x.attributes.get("value", ""))
-            stack.append(("close", x))
-            stack.extend(("open", c) for c in reversed(x.children))
-        else:
+            todo.append(("close", x))
+            todo.extend(("open", c) for c in reversed(x.children))
+        elif what == "close":
             tag = x.tag
             if tag in ("pre", "textarea"):
-                kept -= 1
+                here.kept -= 1
             if tag in ("ul", "ol", "menu"):
                 lists.pop()
             if tag in BLOCKS:
                 page.end(tag in SPACED and not (tag in ("ul", "ol") and lists))
-    return page.result()
+        elif what == "row":  # a child of a table or of a group of rows: anything but rows and groups is a row of one cell
+            if isinstance(x, str) or x.hidden:
+                continue
+            if x.tag in GROUPS:
+                todo.extend(("row", c) for c in reversed(x.children))
+            else:
+                rows.append([])
+                todo.extend(("cell", c) for c in (reversed(x.children) if x.tag == "tr" else [x]))
+        elif what == "cell":
+            if not isinstance(x, str) and not x.hidden:
+                contexts.append(Context())
+                todo.append(("cell_end", x))
+                todo.extend(("open", c) for c in reversed(x.children))
+        elif what == "cell_end":
+            span = x.attributes.get("colspan", "1").strip()
+            text = SPACES.sub(" ", contexts.pop().page.result()).strip()
+            rows[-1] += [text] + [""] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 10 else 0)
+        elif what == "table_end":
+            for line in aligned([r for r in rows if any(r)]):
+                page.put(line)
+                page.end()
+            rows = []
+            page.end(True)
+        elif what == "inner_row":  # a table within a cell: its cells stand side by side in that cell's line
+            if isinstance(x, str) or x.hidden:
+                continue
+            if x.tag in GROUPS:
+                todo.extend(("inner_row", c) for c in reversed(x.children))
+                continue
+            page.end()
+            todo.append(("inner_row_end", (page.count, page.bars)))
+            cells = [c for c in (x.children if x.tag == "tr" else [x]) if not isinstance(c, str) and not c.hidden]
+            for i in reversed(range(len(cells))):
+                todo.extend(("open", c) for c in reversed(cells[i].children))
+                todo.extend([("bar", None)] * (i > 0))
+        elif what == "bar":
+            page.bars += " | "
+        else:
+            count, bars = x
+            if page.count > count:
+                page.line, page.bars = page.line + page.bars.rstrip(), ""
+            else:
+                page.bars = bars
+            page.end()
+    return contexts[0].page.result()
 
 
 def visible_text(html: str) -> str:
-    """The visible text of a page, as a reader would see it laid out."""
+    """The visible text of a page, as a reader would see it laid out. An empty page has none."""
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
@@ -248,7 +313,10 @@ def visible_text(html: str) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, title, text, n_lines, n_chars) of whole pages. Null and empty pages have an empty text and a null title."""
+    """Rows (page_id, title, text, n_lines, n_chars) of whole pages. Null and empty pages have an empty text and a null title.
+
+    Repeated rows give repeated rows, an empty table none; other columns are not read. A page of any depth is one row's work.
+    """
 
     def make():
         def step(batch: dict) -> dict:

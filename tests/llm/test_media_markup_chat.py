@@ -1,3 +1,4 @@
+import time
 import json
 import random
 import zlib
@@ -114,6 +115,51 @@ def test_deep_and_broken_pages():
         assert isinstance(markup.visible_text(html), str)
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<table><form><tr><td>a<td>b</form></table>", "a | b"), ("<table><tr><form><td>x</td></form></tr></table>", "x"), ("<table><div>text</div><tr><td>c</table>", "text\n\nc"), ("<table>loose<tr><td>d</table>", "loose\n\nd"),
+    ("<head><title>t</title>inline <b>bold</b><p>para", "inline bold\n\npara"), ("<svg><title>no</title><text>Sv</text></svg><math><mi>x</mi></math>", "Svx"), ("<table><tr><td>a<table><tr><td>in1<td>in2</table><td>b</table>", "a in1 | in2 | b"),
+    ("<table><tr><td>a<table><tr><td><td>x<tr><td><td></table></table>", "a | x"),
+])
+def test_what_tables_and_heads_hold(html, text):
+    assert markup.visible_text(html) == text
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<span>", "<ul><li>", "<p><b>", "<table><td><p>x<div>", "<table><tr><td>x", "<svg><a>", "</div><div>"])
+def test_depth_costs_nothing(tag):
+    began = time.process_time()
+    markup.visible_text(tag * 100_000)
+    assert time.process_time() - began < 60
+
+
+def random_page(rng, depth=0):
+    """A well-formed fragment, and the words that a reader sees of it, made together with it."""
+    word = f"w{rng.randrange(10**6)}"
+    kind = rng.choice(["text", "block", "inline", "hidden", "list", "table"] if depth < 5 else ["text"])
+    if kind == "text":
+        return word + " ", [word]
+    inside = [random_page(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+    html, seen = "".join(h for h, _ in inside), [w for _, ws in inside for w in ws]
+    if kind == "block":
+        return (lambda t: (f"<{t}>{html}</{t}>", seen))(rng.choice(["div", "section", "blockquote", "article"]))
+    if kind == "inline":
+        return f"<span>{html}</span> ", seen
+    if kind == "hidden":
+        return rng.choice(["<div hidden>{}</div>", "<div style='display:none'>{}</div>", "<template>{}</template>"]).format(html), []
+    if kind == "list":
+        return "<ul>" + "".join(f"<li>{h}</li>" for h, _ in inside) + "</ul>", seen
+    return "<table>" + "".join(f"<tr><td>{h}</td><td>{word}</td></tr>" for h, _ in inside) + "</table>", [w for _, ws in inside for w in [*ws, word]]
+
+
+def test_no_visible_word_is_lost_or_moved():
+    for seed in range(300):
+        html, seen = random_page(random.Random(seed))
+        assert [w for w in markup.visible_text(html).split() if w not in ("|", "-")] == seen
+
+
+def test_empty_pages_table(spark):
+    assert markup.extract(spark.createDataFrame([], "page_id long, html string, title string")).count() == 0
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<title> A  b</title><p>x"), (2, "u", None), (2, "u", ""), (None, None, "<p>y<p>z")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {(r["page_id"], r["title"], r["text"], r["n_lines"]) for r in markup.extract(df).collect()}
@@ -127,7 +173,7 @@ def test_canonical_json():
 def test_problems():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string", "maxLength": 2}}}, "additionalProperties": False}
     assert chat.problems({"a": 1, "b": ["x"]}, schema) == []
-    assert chat.problems({"a": 0.5, "b": ["xyz"], "c": 1}, schema) == ["$.c: unknown", "$.a: not integer", "$.b[0]: length out of bounds"]
+    assert chat.problems({"a": 0.5, "b": ["xyz"], "c": 1}, schema) == ["$.a: not integer", "$.b[0]: length out of bounds", "$.c: unknown"]
     assert chat.problems([], schema) == ["$: not object"] and chat.problems({"a": True}, schema) == ["$.a: not integer"]
 
 
@@ -137,15 +183,72 @@ def test_topological_order():
     assert chat.topological([call("a", "b"), call("b", "a"), call("c", "zz")]) == ([2, 0, 1], {0, 1})
 
 
+HOSTILE = ["[" * 100_000 + "]" * 100_000, '{"a":' * 30_000 + "1" + "}" * 30_000, '{"text":NaN}', '{"text":-Infinity}', '{"text":1e999}', "9" * 5000, '{"text":"\\ud800"}', "{bad", "\x00", '{"text":"q"} x']
+
+
+@pytest.mark.parametrize("text", HOSTILE)
+def test_hostile_arguments(text):
+    value, form, error = chat.parsed(text)
+    assert (value, form) == (None, None) and error in ("$: not JSON", "$: nested too deeply")
+
+
+def test_schemas_of_any_kind():
+    assert chat.problems(1, {"type": "odd"}) == ["$: the schema has an unknown type odd"] and chat.problems(1, False) == ["$: not allowed"] and chat.problems(1, True) == []
+    assert chat.problems(True, {"enum": [1]}) and not chat.problems(1.0, {"enum": [1]}) and not chat.problems(None, {"type": ["null", "string"]})
+    assert chat.problems({"x": 1}, {"additionalProperties": {"type": "string"}}) == ["$.x: not string"]
+
+
+def test_random_orders():
+    rng = random.Random(5)
+    for _ in range(300):
+        calls = [{"id": rng.choice("abcdefgh") if rng.random() < 0.9 else None, "after": rng.sample("abcdefghz", rng.randrange(3))} for _ in range(rng.randrange(9))]
+        order, stuck = chat.topological(calls)
+        first = {c["id"]: i for i, c in reversed(list(enumerate(calls))) if c["id"] is not None}
+        waits = [{first[a] for a in c["after"] if a in first} for c in calls]
+        done, want = set(), []
+        while (free := next((i for i in range(len(calls)) if i not in done and waits[i] <= done), None)) is not None:
+            want.append(free)
+            done.add(free)
+        assert order[: len(want)] == want and stuck == set(range(len(calls))) - done and sorted(order) == list(range(len(calls)))
+
+
+MESSAGE = f"conv_id long, turn long, role string, content string, calls array<{chat.CALL}>, json string, status int"
+RESULT = "conv_id long, call_id string, turn long, content string"
+
+
 def test_links(spark):
-    calls = [("b", "answer", '{"question":"q","words":2}', ["a"]), ("a", "measure", '{"text":"q"}', None), ("x", "none", "{}", []), ("y", "measure", "{bad", [])]
-    messages = spark.createDataFrame([(1, 0, [dict(zip(("id", "name", "arguments", "after"), c, strict=True)) for c in calls]), (2, 0, None), (3, 0, [])], f"conv_id long, turn long, calls array<{chat.CALL}>")
-    results = spark.createDataFrame([(1, "b", 2, "late"), (1, "b", 1, "first"), (1, "q", 1, "lost"), (1, None, 1, "nameless"), (9, "a", 1, "elsewhere")], "conv_id long, call_id string, turn long, content string")
-    rows = {(r["conv_id"], r["call_id"]): r for r in chat.serialised(chat.link(chat.calls_of(messages, chat.TOOLS), results)).collect()}
-    assert {k: r["status"] for k, r in rows.items()} == {(1, "a"): "unanswered", (1, "b"): "linked", (1, "x"): "unanswered", (1, "y"): "unanswered", (1, "q"): "orphan", (9, "a"): "orphan"}
-    assert [rows[1, k]["place"] for k in "abxy"] == [0, 1, 2, 3] and rows[1, "b"]["content"] == "first"
-    assert rows[1, "x"]["errors"] == ["unknown tool"] and rows[1, "y"]["errors"] == ["$: not JSON"]
+    call = lambda *c: dict(zip(("id", "name", "arguments", "after"), c, strict=True))
+    calls = [call("b", "answer", '{"question":"q","words":2}', ["a"]), call("a", "measure", '{"text":"q"}', None), call("x", "none", "{}", ["b", None]), call("y", "measure", "{bad", ["z", "nobody"]), None, call("n", "measure", HOSTILE[0], [])]
+    messages = spark.createDataFrame([(1, 0, "assistant", "so", calls, "clash", 1), (1, 1, "assistant", None, [call("z", "measure", '{"text":"q"}', ["a"])], None, None), (2, 0, "user", "hi", None, None, None), (3, 0, None, "é", [], None, None), (None, None, None, None, [call(None, None, None, None)], None, None)], MESSAGE)
+    results = spark.createDataFrame([(1, "b", 2, "late"), (1, "b", 1, "first"), (1, "q", 1, "lost"), (1, None, 1, "nameless"), (9, "a", 1, "elsewhere"), (1, "z", 0, "soon")], RESULT)
+    got = chat.formatted(messages, results, chat.TOOLS).collect()
+    rows = {(r["conv_id"], r["call_id"]): r for r in got if r["status"] != "message"}
+    assert {k: r["status"] for k, r in rows.items()} == {(1, "a"): "unanswered", (1, "b"): "linked", (1, "x"): "unanswered", (1, "y"): "unanswered", (1, "n"): "unanswered", (1, "z"): "early", (1, "q"): "orphan", (9, "a"): "orphan", (None, None): "unanswered"}
+    assert [rows[1, k]["place"] for k in "abxyn"] == [0, 1, 2, 3, 4] and rows[1, "b"]["content"] == "first"
+    assert rows[1, "x"]["errors"] == ["unknown tool"] and rows[1, "z"]["errors"] == [] and rows[1, "n"]["errors"] == ["$: nested too deeply"]
+    assert rows[1, "y"]["errors"] == ["$: not JSON", "waits for a later call: z", "waits for an unknown call: nobody"]
     assert json.loads(rows[1, "b"]["json"]) == {"id": "b", "status": "linked", "result": "first", "name": "answer", "arguments": {"question": "q", "words": 2}}
+    said = {(r["conv_id"], r["turn"]): r["json"] for r in got if r["status"] == "message"}
+    assert len(said) == 5 and said[2, 0] == '{"content":"hi","role":"user"}' and said[3, 0] == '{"content":"é","role":null}'
+    assert [c["id"] for c in json.loads(said[1, 0])["tool_calls"]] == ["a", "b", "x", "y", "n"]
+    assert chat.formatted(messages.limit(0), results.limit(0), chat.TOOLS).count() == 0
+
+
+def test_random_links(spark):
+    rng = random.Random(9)
+    calls = [(c, t, "assistant", None, [{"id": rng.choice("abcd"), "name": "measure", "arguments": "{}", "after": rng.sample("abcde", 1)} for _ in range(rng.randrange(3))], None, None) for c in range(8) for t in range(3)]
+    results = [(rng.randrange(9), rng.choice("abcde"), rng.randrange(4), f"r{i}") for i in range(40)]
+    got = chat.formatted(spark.createDataFrame(calls, MESSAGE), spark.createDataFrame(results, RESULT), chat.TOOLS).where("status <> 'message'").collect()
+    made = [(c, t, x["id"], x["after"][0]) for c, t, _, _, xs, _, _ in calls for x in xs]
+    want = []
+    for c, t, i, after in made:
+        hits = sorted((u, text) for d, j, u, text in results if (d, j) == (c, i))
+        turns = [u for d, u, j, _ in made if (d, j) == (c, after)]
+        own = [j for d, u, j, _ in made if (d, u) == (c, t)]
+        waits = "" if turns and min(turns) <= t else "waits for a later call: " + after if turns else "waits for an unknown call: " + after
+        want.append((c, t, i, "unanswered" if not hits else "early" if hits[0][0] < t else "linked", hits[0][1] if hits else None, waits, after in own))
+    assert sorted((r["conv_id"], r["turn"], r["call_id"], r["status"], r["content"] or "", (r["errors"] or [""])[-1] if r["errors"] and r["errors"][-1].startswith("waits for") else "") for r in got if r["status"] != "orphan") == sorted((c, t, i, s, x or "", w) for c, t, i, s, x, w, _ in want)
+    assert {(r["conv_id"], r["call_id"]) for r in got if r["status"] == "orphan"} == {(c, i) for c, i, _, _ in results} - {(c, i) for c, _, i, _ in made}
 
 
 def test_conversations(spark, data):
@@ -158,4 +261,5 @@ def test_conversations(spark, data):
     assert sum(r["status"] == "orphan" for r in rows) == sum(1 for (c, t), r in by.items() if r["role"] != "user" and (c, t - 1) not in users)
     odd = spark.createDataFrame([(1, 0, "user", None), (1, None, "user", "x"), (None, 0, "assistant", "y"), (2, 0, None, "z")], "conv_id long, turn long, role string, text string")
     messages, results = chat.from_turns(odd)
-    assert chat.link(chat.calls_of(messages, chat.TOOLS), results).count() == 4
+    got = chat.formatted(messages, results, chat.TOOLS)
+    assert got.where("status = 'message'").count() == 4 and got.where("status <> 'message'").count() == 4
