@@ -1,11 +1,12 @@
 """Language identification by bit-sliced Bloom filters of byte n-grams.
 
-All languages share one table of bit masks: a place holds a bit for each language. An n-gram is looked up at PROBES places; what the
-masks have in common names, at once, every language that holds it. Per language, hits are counted over the whole text and corrected for
-those that a filter of its fill gives by chance; the language with the largest corrected share decides.
+All languages share one table of bit masks: a place holds a bit for each language, in as many 64-bit words as the languages need. An
+n-gram is looked up at PROBES places; what the masks have in common names, at once, every language that holds it. Per language, hits are
+counted over the whole text and corrected for those that a filter of its fill gives by chance; the language with the largest corrected
+share decides.
 
-The filters are learned from a bounded sample of labelled documents (FIT_DOCS, about, chosen by a hash of doc_id), their n-grams counted
-by Spark; the MOST_GRAMS with the highest rates are kept. Up to 64 languages.
+The filters are learned from a bounded sample of labelled documents: FIT_DOCS of each language, about, in order of a hash of doc_id, so
+that a rare language is learned from all it has, however large the corpus. Spark counts their n-grams.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, keep_rows, table, texts
 
-FIT_DOCS, MOST_GRAMS, LEAST_COUNT, SHARE = 20_000, 400_000, 3, 0.2
+FIT_DOCS, LEAST_COUNT, SHARE = 5_000, 3, 0.2
+COUNT_CHARS = 1 << 20
+#: A language whose sample has fewer n-grams keeps those seen once.
+RARE = 20_000
 GRAM, PROBES, BITS_PER_GRAM = 4, 3, 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -45,33 +49,53 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
 
 
+def sample_by_language(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of each language at most, chosen by a hash of doc_id: the same rows in any order or partitioning."""
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_rows"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    return rows.join(sizes, "lang").where(place * F.col("_rows") < most).select(rows.columns)
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """Rows (lang, gram, n) over rows (lang, text): counted in tasks, then summed."""
+    """Rows (lang, gram, n) over rows (lang, text): counted in tasks, texts of COUNT_CHARS or a little more together, then summed."""
+
+    def counted(lang: str, grams: list[np.ndarray]) -> pd.DataFrame:
+        values, n = np.unique(np.concatenate(grams), return_counts=True)
+        return pd.DataFrame({"lang": lang, "gram": values.astype(np.int64), "n": n})
 
     def run(batches):
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                for k in range(0, len(part), 500):
-                    grams, n = np.unique(np.concatenate([byte_grams(x) for x in part["text"].iloc[k : k + 500]]), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n})
+                held, size = [], 0
+                for text in part["text"]:
+                    held.append(byte_grams(text))
+                    size += len(held[-1])
+                    if size >= COUNT_CHARS:
+                        yield counted(lang, held)
+                        held, size = [], 0
+                if held:
+                    yield counted(lang, held)
 
     return rows.select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def has_letters(text: str) -> bool:
+    return bool(LETTER.search(text))
+
+
 class Filters:
-    """Bit-sliced Bloom filters of n-grams by language."""
+    """Bit-sliced Bloom filters of n-grams by language, for any number of languages."""
 
     def __init__(self, members: dict[str, np.ndarray]):
-        if len(members) > 64:
-            raise ValueError("masks hold 64 languages")
         self.languages = sorted(members)
         total = sum(map(len, members.values()))
         self.shift = 64 - max(10, (BITS_PER_GRAM * max(total, 1) // max(len(members), 1)).bit_length())
-        self.masks = np.zeros(1 << 64 - self.shift, np.uint64)
-        for bit, lang in enumerate(self.languages):
+        words = max(1, -(-len(self.languages) // 64))
+        self.masks = np.zeros((words, 1 << 64 - self.shift), np.uint64)
+        for i, lang in enumerate(self.languages):
             for place in self.places(members[lang].astype(np.uint32)):
-                np.bitwise_or.at(self.masks, place, np.uint64(1 << bit))
-        fill = self.popcounts(self.masks) / len(self.masks)
+                np.bitwise_or.at(self.masks[i // 64], place, np.uint64(1 << i % 64))
+        fill = self.popcounts(self.masks) / self.masks.shape[1]
         self.chance = fill**PROBES
 
     def places(self, grams: np.ndarray) -> list[np.ndarray]:
@@ -79,10 +103,10 @@ class Filters:
         return [(wide * np.uint64(m) ^ (wide * np.uint64(m) >> np.uint64(31))) * np.uint64(m) >> np.uint64(self.shift) for m in MULTIPLIERS[:PROBES]]
 
     def popcounts(self, masks: np.ndarray) -> np.ndarray:
-        """How many masks have each language's bit."""
-        out = []
+        """How many masks (words, places) have each language's bit."""
+        out: list[int] = []
         for lane in range(-(-len(self.languages) // 8)):
-            seen = np.bincount((masks >> np.uint64(8 * lane) & np.uint64(255)).astype(np.int64), minlength=256)
+            seen = np.bincount((masks[lane // 8] >> np.uint64(8 * (lane % 8)) & np.uint64(255)).astype(np.int64), minlength=256)
             out += [int(seen[np.arange(256) >> b & 1 == 1].sum()) for b in range(8)]
         return np.array(out[: len(self.languages)], np.float64)
 
@@ -92,12 +116,12 @@ class Filters:
         if not grams.size or not self.languages:
             return np.zeros(len(self.languages))
         a, b, c = self.places(grams)
-        hits = self.popcounts(self.masks[a] & self.masks[b] & self.masks[c])
+        hits = self.popcounts(np.stack([m[a] & m[b] & m[c] for m in self.masks]))
         return np.maximum(0.0, (hits / len(grams) - self.chance) / np.maximum(1e-9, 1 - self.chance))
 
     def predict(self, text: str) -> tuple[str, float]:
         """(language, score): the score is the leading language's part of all corrected shares. Without letters: und, 0."""
-        if not self.languages or not LETTER.search(text):
+        if not self.languages or not has_letters(text):
             return UNKNOWN, 0.0
         shares = self.shares(text)
         top = int(shares.argmax())
@@ -105,14 +129,21 @@ class Filters:
 
 
 def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Filters:
-    """Filters from rows (doc_id, text, lang). A language holds an n-gram whose rate there is SHARE of the highest rate at least."""
-    sample = bounded_sample(labelled.where("lang is not null and text is not null"), most)
+    """Filters from rows (doc_id, text, lang), `most` of each language. A language holds an n-gram whose rate there is SHARE of the highest rate at least.
+
+    Nothing of what the sample shows is left out but n-grams seen under LEAST_COUNT times; a language of few documents keeps those too.
+    """
+    sample = sample_by_language(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), most)
     counts = gram_counts(sample)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    kept = rated.where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= SHARE * F.col("top")))
-    rows = kept.orderBy(F.desc("rate"), "lang", "gram").limit(MOST_GRAMS).select("lang", "gram").toPandas()
-    return Filters({lang: part["gram"].to_numpy() for lang, part in rows.groupby("lang")})
+    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
+    least = F.when(F.col("total") < RARE, 1).otherwise(LEAST_COUNT)
+    kept = rated.join(top, "gram").where((F.col("n") >= least) & (F.col("rate") >= SHARE * F.col("top"))).select("lang", "gram").toArrow()
+    langs, grams = kept["lang"].to_numpy(), kept["gram"].to_numpy()
+    order = np.argsort(langs, kind="stable")
+    names, starts = np.unique(langs[order], return_index=True) if len(langs) else ([], [])
+    return Filters({str(name): part for name, part in zip(names, np.split(grams[order], starts[1:]) if len(langs) else [], strict=True)})
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -138,11 +169,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learned(docs)).select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
 
 
-def known_language_only(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The documents of a language that the filters know, all columns kept: texts that are null, without letters, or without any known n-gram go."""
+def with_language_only(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The documents that have a language, all columns kept: texts that are und (null, or without letters) go, and no others.
+
+    That the filters know few of a text's n-grams, or none, is the sample's lack and no reason to drop it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def make():
-        return lambda text: sent.value.predict(text)[1] > 0
+        if not sent.value.languages:
+            return has_letters
+        return lambda text: sent.value.predict(text)[0] != UNKNOWN
 
     return keep_rows(docs, make)
