@@ -11,7 +11,7 @@ Copies share a fingerprint and count once. Groups give spanning links only, as m
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from .components import components
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 SPLIT = 1024
+#: After so many planes, blocks of lanes that have passed are looked for.
+STRIDE = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -59,49 +61,59 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(-1, 64).T, axis=1)
 
 
-def count_within(differences: Iterable[np.ndarray], shape: tuple, radius: int) -> np.ndarray:
-    """Packed lanes in which at most `radius` of the planes of differences are set.
+def count_within(plane: Callable, n_planes: int, n_blocks: int, radius: int) -> tuple[np.ndarray, int]:
+    """Packed lanes in which at most `radius` of n_planes planes are set, n_blocks blocks of eight lanes; and how many blocks of planes were read.
 
-    Counters are bit-sliced, with carries saved upwards; a lane that has passed the radius stays marked. Rows of lanes that have all
-    passed are abandoned; counting ends when none is left.
+    plane(j, at) gives plane j at the blocks `at`. Counters are bit-sliced, with carries saved upwards; a lane that has passed the radius
+    stays marked. Every STRIDE planes the blocks whose lanes have all passed are abandoned, and only the others are read on; counting
+    ends when none is left.
     """
     bits = max(1, (radius + 1).bit_length())
     start = (1 << bits) - radius - 1
-    counters = [np.full(shape, 255 if start >> b & 1 else 0, np.uint8) for b in range(bits)]
-    passed = np.zeros(shape, np.uint8)
-    for k, carry in enumerate(differences):
+    at = np.arange(n_blocks)
+    counters = [np.full(n_blocks, 255 if start >> b & 1 else 0, np.uint8) for b in range(bits)]
+    passed, out, read = np.zeros(n_blocks, np.uint8), np.full(n_blocks, 255, np.uint8), 0
+    for j in range(n_planes):
+        carry = plane(j, at)
+        read += len(at)
         for b in range(bits):
             counters[b], carry = counters[b] ^ carry, counters[b] & carry
         passed |= carry
-        if k % 8 == 7 and (passed == 255).all():
-            break
-    return ~passed
+        if j % STRIDE == STRIDE - 1:
+            alive = np.flatnonzero(passed != 255)
+            if len(alive) < 0.75 * len(at):
+                at, passed, counters = at[alive], passed[alive], [c[alive] for c in counters]
+                if not len(at):
+                    break
+    out[at] = passed
+    return ~out, read
 
 
 def neighbours(queries: np.ndarray, members: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each query, a row of booleans: which members lie within the radius."""
-    vertical = planes(members)
-    full = np.zeros(len(members), np.uint8) == 0
-    ends = np.packbits(full)
-    used = [j for j in range(64) if (vertical[j] & ends).any() and (~vertical[j] & ends).any() or len(members) < 2]
-    base = int(members[0])
-    same = np.uint64(sum(1 << 63 - j for j in range(64) if j not in set(used)))
-    out = np.zeros((len(queries), len(members)), bool)
-    alike = np.flatnonzero((queries.astype(np.uint64) ^ np.uint64(base)) & same == 0)
-    other = np.setdiff1d(np.arange(len(queries)), alike)
-    for rows, js in ((alike, used), (other, range(64))):
-        if len(rows):
-            asked = queries[rows].astype(np.uint64)
-            flips = (np.where(asked >> np.uint64(63 - j) & np.uint64(1), 255, 0).astype(np.uint8)[:, None] ^ vertical[j] | ~ends for j in js)
-            lanes = count_within(flips, (len(rows), vertical.shape[1]), radius)
-            lanes &= ends
-            out[rows] = np.unpackbits(lanes, axis=1)[:, : len(members)].astype(bool)
-    return out
+    """For each query, a row of booleans: which members lie within the radius. A block is one query against eight members."""
+    vertical, width = planes(members), -(-len(members) // 8)
+    asked = np.where(np.unpackbits(queries.astype(">u8").view(np.uint8)).reshape(-1, 64), 255, 0).astype(np.uint8)
+    ends = np.packbits(np.ones(len(members), bool))
+    base = np.where(np.unpackbits(members[:1].astype(">u8").view(np.uint8)), 255, 0).astype(np.uint8)
+    differ = ((vertical ^ base[:, None]) & ends).any(1) | (asked != base).any(0)  # planes alike in all queries and members add nothing
+    used = np.flatnonzero(differ)
+
+    def plane(j: int, at: np.ndarray) -> np.ndarray:
+        k = used[j]
+        if len(at) == len(queries) * width:
+            return (asked[:, k, None] ^ vertical[k] | ~ends).ravel()
+        q, b = np.divmod(at, width)
+        return asked[q, k] ^ vertical[k, b] | ~ends[b]
+
+    lanes, _ = count_within(plane, len(used), len(queries) * width, radius)
+    lanes = lanes.reshape(len(queries), width) & ends
+    return np.unpackbits(lanes, axis=1)[:, : len(members)].astype(bool)
 
 
 def aligned_within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Whether left[i] and right[i] lie within the radius, for all i at once."""
-    lanes = count_within(iter(planes(left ^ right)), (-(-len(left) // 8),), radius)
+    vertical = planes(left ^ right)
+    lanes, _ = count_within(lambda j, at: vertical[j] if len(at) == vertical.shape[1] else vertical[j, at], 64, vertical.shape[1], radius)
     return np.unpackbits(lanes)[: len(left)].astype(bool)
 
 

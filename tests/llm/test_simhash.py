@@ -81,3 +81,17 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(chain).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(chain.limit(0)).count() == 0
+
+
+def test_passed_blocks_are_abandoned():
+    rng = np.random.RandomState(2)
+    members = rng.randint(0, 1 << 63, 1000, dtype=np.int64).astype(np.uint64)
+    queries = np.append(rng.randint(0, 1 << 63, 126, dtype=np.int64).astype(np.uint64), [members[5] ^ np.uint64(3), members[9]])
+    near = simhash.neighbours(queries, members)
+    plain = np.array([[bin(int(q) ^ int(m)).count("1") <= 2 for m in members] for q in queries])
+    assert (near == plain).all() and near[126, 5] and near[127, 9]
+    vertical = simhash.planes(members)
+    asked = np.where(np.unpackbits(queries.astype(">u8").view(np.uint8)).reshape(-1, 64), 255, 0).astype(np.uint8)
+    n = len(queries) * 125
+    lanes, read = simhash.count_within(lambda j, at: asked[at // 125, j] ^ vertical[j, at % 125], 64, n, 2)
+    assert (np.unpackbits(lanes.reshape(-1, 125), axis=1).astype(bool) == plain).all() and read < 0.5 * 64 * n
