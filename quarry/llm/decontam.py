@@ -1,6 +1,7 @@
 """Benchmark decontamination: shared word pairs find candidate places, Smith-Waterman alignment scores them.
 
-Test items are cut into passages of equal length, PASSAGE words at most. Matches score 2, mismatches and gaps cost 1; the score is the best local
+Test items of more than PASSAGE words are read through windows of that many, each begun half a window after the last or sooner, so that
+what a document copies of a long item lies in one of them for the most part; equal passages are aligned once. Matches score 2, mismatches and gaps cost 1; the score is the best local
 alignment's share of what a perfect copy has, so edits, insertions and losses lower it gradually.
 
 Where to align follows from the least score s, and loses no alignment that reaches it. With m matches of the n words of a passage, such
@@ -9,12 +10,14 @@ neighbours that are neighbours in the passage too. So a passage is aligned where
 and its words and pairs there number 2sn - 1 together. Passages so short that no pair is certain (5 words at 0.6) must share a run of
 SEED words, or as many as they have.
 
-The benchmark is taken in blocks of at most BLOCK passages, a bound that does not grow; each block's pairs travel to every task, and all
-documents are read against it, SLICE words at a time.
+The benchmark, the stated query set, is taken in blocks of at most BLOCK passages, a bound that does not grow; each block's pairs travel
+to every task, all documents are read against it once, SLICE words at a time, and the block is let go of. Whatever the number of blocks,
+each document and item have one row, the best.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from itertools import repeat
@@ -37,25 +40,35 @@ ANY_UNSPACED, WORD = re.compile(f"[{UNSPACED}]"), re.compile(r"[^\W_]+")
 WORD_OR_CHARACTER = re.compile(rf"(?![\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
 
+#: ASCII but letters and digits, as a space.
+SPACED = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
 def words(text: str) -> list[str]:
     """Lower-cased runs of letters and digits; in scripts without spaces each character is a word."""
-    unspaced = not text.isascii() and ANY_UNSPACED.search(text)
-    return (WORD_OR_CHARACTER if unspaced else WORD).findall(text.lower())
+    if text.isascii():
+        return text.lower().translate(SPACED).split()
+    return (WORD_OR_CHARACTER if ANY_UNSPACED.search(text) else WORD).findall(text.lower())
+
+
+def windows(n: int, size: int) -> list[int]:
+    """Where windows of `size` words begin in an item of n: evenly, half a window apart at most, the last at its end."""
+    count = 1 if n <= size else -(-2 * (n - size) // size) + 1
+    return [k * (n - size) // max(count - 1, 1) for k in range(count)] if n > size else [0]
 
 
 def passages(benchmark: DataFrame, size: int = PASSAGE) -> DataFrame:
-    """Rows (item_id, passage, words) of at most `size` words, those of an item of equal length; items of null or empty text give none."""
+    """Rows (item_id, passage, words) of at most `size` words; items of null or empty text give none."""
 
     def make():
         def step(batch: dict) -> dict:
             out = {"item_id": [], "passage": [], "words": []}
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 found = words(text)
-                parts = -(-len(found) // size)
-                for k in range(parts):
+                for k, at in enumerate(windows(len(found), size) if found else []):
                     out["item_id"].append(item)
                     out["passage"].append(k)
-                    out["words"].append(found[k * len(found) // parts : (k + 1) * len(found) // parts])
+                    out["words"].append(found[at : at + size])
             return out
 
         return step
@@ -82,7 +95,7 @@ class Block:
     """A bounded block of passages: their words as ids, and which passages hold an n-gram."""
 
     def __init__(self, rows: list, least: float):
-        self.items = [r["item_id"] for r in rows]
+        self.names = [r["pid"] for r in rows]
         self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for r in rows for w in r["words"]))}
         self.ids = [np.array([self.vocabulary[w] for w in r["words"]], np.int64) for r in rows]
         n = np.array([len(x) for x in self.ids], np.int64)
@@ -141,72 +154,92 @@ class Block:
                         out[p].append((low, high))
         return out
 
+    @functools.cached_property
+    def own(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The distinct words and pairs of each passage, sorted."""
+        return [(np.unique(x), np.unique(grams(x, 2))) for x in self.ids]
+
     def may_hold(self, p: int, ids: np.ndarray) -> bool:
         """Whether some span of the words holds enough words and pairs of a passage."""
-        own = np.isin(ids, self.ids[p])
+        known, pairs = self.own[p]
+        own = among(known, ids)
         both = own.astype(np.int64)
-        both[:-1] += np.isin(grams(ids, 2), grams(self.ids[p], 2)) & own[:-1] & own[1:]
+        if len(pairs):
+            both[:-1] += among(pairs, grams(ids, 2)) & own[:-1] & own[1:]
         total = np.concatenate([[0], np.cumsum(both)])
         return bool((total[np.minimum(np.arange(len(ids)) + self.spans[p], len(ids))] - total[:-1]).max(initial=0) >= self.least[p])
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
-    """Smith-Waterman: the best local alignment's score, and where it ends in the text. A row at a time; a running maximum carries gaps along it."""
+def among(members: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are members, which are sorted."""
+    return members[np.minimum(np.searchsorted(members, values), len(members) - 1)] == values
+
+
+def align(item: np.ndarray, text: np.ndarray, least: float = 0.0) -> tuple[float, int]:
+    """Smith-Waterman: the best local alignment's score, and where it ends in the text. A row at a time; a running maximum carries gaps along it.
+
+    Where what is left of the item can't raise any alignment to the least score, none is given: (0, 0).
+    """
     slope = -GAP * np.arange(len(text))
     row, best, end = np.zeros(len(text), np.int64), 0, 0
-    for w in item:
-        diagonal = np.concatenate([[0], row[:-1]]) + np.where(text == w, MATCH, MISS)
-        fresh = np.maximum(np.maximum(diagonal, row + GAP), 0)
-        row = np.maximum.accumulate(fresh + slope) - slope
+    for k, w in enumerate(item, 1):
+        diagonal = np.where(text == w, MATCH, MISS)
+        diagonal[1:] += row[:-1]
+        fresh = np.maximum(diagonal, row + GAP)
+        np.maximum(fresh, 0, out=fresh)
+        fresh += slope
+        np.maximum.accumulate(fresh, out=fresh)
+        row = fresh - slope
         top = int(row.argmax())
         if row[top] > best:
             best, end = int(row[top]), top
+        if max(best, int(row[top]) + MATCH * (len(item) - k)) < least * MATCH * len(item) - 1e-9:
+            return 0.0, 0
     return best / (MATCH * len(item)), end
 
 
 def matches_of(block: Block, text: str, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word) of the best alignment of each item with a text, if it scores enough."""
+    """(passage, score, first word, last word) of the best alignment of each passage with a text, if it scores enough."""
     ids = block.of(text)
     best: dict[int, tuple[float, int, int]] = {}
     for p, parts in block.places(ids).items():
         for low, high in parts:
             if not block.may_hold(p, ids[low:high]):
                 continue
-            score, end = align(block.ids[p], ids[low:high])
-            if score >= least and score > best.get(block.items[p], (0,))[0]:
-                best[block.items[p]] = (score, max(0, low + end + 1 - len(block.ids[p])), low + end)
-    return [(item, *x) for item, x in best.items()]
+            score, end = align(block.ids[p], ids[low:high], least)
+            if score >= least and score > best.get(p, (0,))[0]:
+                best[p] = (score, max(0, low + end + 1 - len(block.ids[p])), low + end)
+    return [(block.names[p], *x) for p, x in best.items()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block_size: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, item_id, score, first_word, last_word) for each document that holds enough of a test item.
+    """Rows (doc_id, item_id, score, first_word, last_word): one for each document that holds enough of a test item, of its best passage.
 
     Empty and null texts hold nothing; items under SEED words match where all their words follow each other; an empty benchmark gives
-    no rows.
-    Repeated rows of either table give repeated rows.
+    no rows. Rows that share a doc_id (null is one too), and rows that share an item_id, count as one: the best of them is given.
     """
     spark, docs = docs.sparkSession, texts(docs)
     cut = checkpoint(passages(benchmark))
-    blocks = max(1, -(-cut.count() // block_size))
-    out = None
+    distinct = checkpoint(cut.select("words").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    items = cut.join(distinct, "words").select("pid", "item_id").distinct()
+    blocks = max(1, -(-distinct.count() // block_size))
+    names, found = ("doc_id", "pid", "score", "first_word", "last_word"), None
     for b in range(blocks):
-        rows = cut.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(Block(rows, least))
+        sent = spark.sparkContext.broadcast(Block(distinct.where(F.pmod(F.xxhash64("pid"), F.lit(blocks)) == b).collect(), least))
 
         def make(sent=sent):
             def step(batch: dict) -> dict:
-                found = [(d, *m) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for m in matches_of(sent.value, text, least)]
-                names = ("doc_id", "item_id", "score", "first_word", "last_word")
-                return dict(zip(names, map(list, zip(*found, strict=True)), strict=True)) if found else {n: [] for n in names}
+                got = [(d, *m) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for m in matches_of(sent.value, text, least)]
+                return dict(zip(names, map(list, zip(*got, strict=True)), strict=True)) if got else {n: [] for n in names}
 
             return step
 
-        part = arrow_map(docs, make, "doc_id long, item_id long, score double, first_word long, last_word long")
-        out = part if out is None else out.union(part)
-    if blocks > 1:  # passages of an item may lie in several blocks
-        best = F.max_by(F.struct("score", "first_word", "last_word"), "score")
-        out = out.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.*")
-    return out
+        part = checkpoint(arrow_map(docs, make, "doc_id long, pid long, score double, first_word long, last_word long"))
+        sent.destroy()
+        found = part if found is None else found.union(part)
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("first"), (-F.col("last_word")).alias("last"))).alias("m")
+    rows = found.join(items, "pid").groupBy("doc_id", "item_id").agg(best)
+    return rows.select("doc_id", "item_id", "m.score", (-F.col("m.first")).alias("first_word"), (-F.col("m.last")).alias("last_word"))
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import TwoGenerations, arrow_map, checkpoint, keep_rows, table, texts
 from .language import bounded_sample, fold
 
-FIT_DOCS, MOST_CANDIDATES = 20_000, 50_000
+FIT_DOCS = 20_000
 LEAST_PRECISION, LEAST_DOCS, THRESHOLD = 0.85, 4, 0.3
 STEMS = (4, 5, 6, 7, 8)
 #: Letters that signs commonly stand for.
@@ -303,7 +303,7 @@ def fit(labelled: DataFrame, most: int = FIT_DOCS, corpus: DataFrame | None = No
     counted = checkpoint(sample.mapInPandas(count, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
     tried = counted.count()
     good = counted.where((F.col("p") >= LEAST_DOCS) & (F.col("p") >= LEAST_PRECISION * (F.col("p") + F.col("n"))))
-    counts = {r["feature"]: (r["p"], r["n"]) for r in good.orderBy(F.desc("p"), "feature").limit(MOST_CANDIDATES).collect()}
+    counts = {r["feature"]: (r["p"], r["n"]) for r in good.collect()}
     candidates = sample.sparkSession.sparkContext.broadcast(frozenset(counts))
 
     def hold(batches):

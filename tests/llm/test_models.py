@@ -1,6 +1,7 @@
 """Language, toxicity and decontamination: held-out accuracy, brute force and odd rows."""
 
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ def test_language_odd_rows(spark):
     got = [(r["doc_id"], r["lang_pred"]) for r in language.identify(odd(spark), filters).collect()]
     assert len(got) == len(ODD)
     assert {(1, "und"), (2, "und"), (3, "und"), (5, "en")} <= set(got)
-    kept = language.known_language_only(odd(spark), filters)
-    assert kept.columns == odd(spark).columns and {r["doc_id"] for r in kept.collect()} >= {5}
+    kept = language.with_language_only(odd(spark), filters)
+    assert kept.columns == odd(spark).columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["4", "5", "5", "None"]
     nothing = language.fit(odd(spark).limit(0))
+    assert language.with_language_only(odd(spark), nothing).count() == 4
     assert {r["lang_pred"] for r in language.identify(odd(spark), nothing).collect()} == {"und"}
 
 
@@ -40,10 +42,43 @@ def test_bit_masks_hold_every_member():
     grams = np.arange(5000, dtype=np.uint32) * 7919
     f = language.Filters({"a": grams[:3000], "b": grams[2000:]})
     for bit, own in ((0, grams[:3000]), (1, grams[2000:])):
-        masks = f.masks[f.places(own)[0]] & f.masks[f.places(own)[1]] & f.masks[f.places(own)[2]]
+        masks = f.masks[0][f.places(own)[0]] & f.masks[0][f.places(own)[1]] & f.masks[0][f.places(own)[2]]
         assert (masks >> np.uint64(bit) & np.uint64(1)).all()
 
 
+def test_shares_against_plain_filters():
+    """The masks against one plain Bloom filter for each of 70 languages, counted n-gram by n-gram."""
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    words = ["".join(chr(97 + x) for x in rng.randint(0, 26, 6)) for _ in range(700)]
+    members = {f"l{i:02d}": np.unique(np.concatenate([language.byte_grams(w) for w in words[10 * i : 10 * i + 30]])) for i in range(70)}
+    f = language.Filters(members)
+    plain = {}
+    for lang, grams in members.items():
+        plain[lang] = set()
+        for place in f.places(grams):
+            plain[lang].update(place.tolist())
+    text = " ".join(words[100:140]) + " 123 " + " ".join(words[:3])
+    grams = language.byte_grams(text)
+    raw = b" " + b" ".join(text.encode().translate(language.SPACE).split()) + b" "
+    assert grams.tolist() == [int.from_bytes(raw[i : i + 4], "big") for i in range(len(raw) - 3)]
+    places = list(zip(*(p.tolist() for p in f.places(grams)), strict=True))
+    for lang, share in zip(f.languages, f.shares(text), strict=True):
+        hits = sum(all(p in plain[lang] for p in ps) for ps in places)
+        chance = (len(plain[lang]) / f.masks.shape[1]) ** language.PROBES
+        assert share == pytest.approx(max(0.0, (hits / len(grams) - chance) / (1 - chance)))
+    assert f.predict(" ".join(words[330:355]))[0] == "l33"
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the quick brown fox jumps over lazy dogs", "en") for i in range(3000)] + [(9000 + i, "η γρήγορη καφέ αλεπού", "el") for i in range(2)]
+    filters = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=50)
+    assert filters.languages == ["el", "en"] and filters.predict("καφέ αλεπού")[0] == "el" and filters.predict("lazy fox")[0] == "en"
+    sample = language.sample_by_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample}["el"] == 2 and 20 <= {r["lang"]: r["count"] for r in sample}["en"] <= 90
+
+
 def test_toxicity_held_out(spark):
     data = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
@@ -71,6 +106,21 @@ def test_clean_words(evidence, text):
     assert evidence.score(text) < 0.3
 
 
+@pytest.mark.parametrize("token", ["1d10t", "i-d1ot", "iidioot", "$tup1d", "st.u.p", "4a4", "b@dd", "x", "!!", "aa", "i|i"])
+def test_viterbi_against_all_paths(evidence, token):
+    """The decoded word is one of the least costly among all that the lattice allows."""
+    import itertools
+
+    def cost(word, extra):
+        padded = "^^" + word + "$"
+        return extra + sum(evidence.model.cost(padded[i : i + 2], padded[i + 2]) for i in range(len(word) + 1))
+
+    every = [("".join(t for t, _ in path), sum(c for _, c in path)) for path in itertools.product(*toxicity.lattice(token))]
+    least = min(cost(word, extra) for word, extra in every)
+    got = toxicity.decode(evidence.model, token)
+    assert min(cost(word, extra) for word, extra in every if word == got) == pytest.approx(least)
+
+
 def test_toxicity_odd_rows(spark, evidence):
     assert toxicity.score(odd(spark), evidence).count() == len(ODD)
     kept = toxicity.clean_only(odd(spark), evidence)
@@ -96,9 +146,9 @@ def test_contamination_against_brute_force(spark, data):
     want = {}
     for r in docs.collect():
         ws = decontam.words(r["text"] or "")
-        grams = {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)}
+        held = Counter(ws)
         for k, item in items.items():
-            if grams & {tuple(item[i : i + 4]) for i in range(len(item) - 3)}:
+            if sum((Counter(item) & held).values()) >= decontam.LEAST_SCORE * len(item):  # fewer words in common can't score enough
                 score = plain_alignment(item, ws)
                 if score >= decontam.LEAST_SCORE:
                     want[r["doc_id"], k] = score
@@ -131,6 +181,38 @@ def test_recall_of_copies_edited_throughout(spark, every, exact_copy):
     assert got == pytest.approx({d: x for d, x in want.items() if x >= decontam.LEAST_SCORE}) and set(got) >= {1, 2}
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2, 0.25])
+def test_recall_against_full_alignment(rate):
+    """Copies with words replaced, left out or added at random, in running text: what full alignment finds without any seeds is found."""
+    import numpy as np
+
+    rng = np.random.RandomState(int(rate * 100))
+    common = [f"c{i}" for i in range(300)]
+    pick = lambda n: [common[i] for i in (rng.zipf(1.3, n) - 1) % 300]
+    rows = [{"pid": k, "words": pick(n)} for k, n in enumerate([12, 25, 60] * 12)]
+    block, found, reached = decontam.Block(rows, decontam.LEAST_SCORE), 0, 0
+    for r in rows:
+        copy = [x for w in r["words"] for x in ([w] if rng.rand() >= rate else [["other"], [], [w, "more"]][rng.randint(3)])]
+        text = pick(40) + copy + pick(40)
+        score = plain_alignment(r["words"], text)
+        got = {p: s for p, s, _, _ in decontam.matches_of(block, " ".join(text), decontam.LEAST_SCORE)}
+        assert got.get(r["pid"]) == (pytest.approx(score) if score >= decontam.LEAST_SCORE else None)
+        found, reached = found + (r["pid"] in got), reached + 1
+    assert found >= (0.9 if rate <= 0.2 else 0.75) * reached  # beyond that many copies score less than is asked, by full alignment too
+
+
+def test_copies_across_windows_and_repeated_rows(spark):
+    assert decontam.windows(128, 128) == [0] and decontam.windows(132, 128) == [0, 4] and decontam.windows(256, 128) == [0, 64, 128] and decontam.windows(5, 128) == [0]
+    long = [f"word{i}" for i in range(256)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:128])), (1, " ".join(long)), (3, " ".join(long[:128]))], "item_id long, text string")
+    rows = [(1, "so " + " ".join(long[64:192])), (2, " ".join(long[30:158])), (2, " ".join(long[30:158])), (3, " ".join(long[100:130])), (None, " ".join(long)), (None, " ".join(long[:128]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 1): 1.0, (2, 1): pytest.approx(98 / 128, abs=0.03), (2, 2): pytest.approx(98 / 128), (2, 3): pytest.approx(98 / 128), (None, 1): 1.0, (None, 2): 1.0, (None, 3): 1.0}
+    for size in (1, 2, 20_000):
+        got = decontam.contamination(docs, bench, block_size=size).collect()
+        assert len(got) == 7 and {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
 def test_long_short_and_unspaced_items(spark):
     long = [f"word{i}" for i in range(134)]
     thai, chinese = "แมวสีดำนอนอยู่บนหลังคา", "黑色的猫睡在屋顶上面"
