@@ -1,7 +1,8 @@
 """From raw documents to token digests: language ID, toxicity, near duplicates, decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as Parquet in the shared
-folder and read again. All stages but the last return the columns of documents. Models are learned from what a stage is given.
+folder and read again. All stages but the last return the columns of documents. Models are learned from what a stage is given. This module
+belongs to quarry.llm and can't be imported without it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from quarry.llm.common import shared_path, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.known_language_only(docs, language.learned(docs))
+    return language.with_language_only(docs, language.learned(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
