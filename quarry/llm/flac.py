@@ -11,12 +11,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts
+from .common import arrow_map, shared_path, table, texts
 
 RATE, BLOCK_SAMPLES, UNIT = 8000, 4096, 64
 CRC_BLOCK = 256
@@ -415,24 +416,47 @@ def flac_decode(media: DataFrame) -> DataFrame:
     return arrow_map(media, make, f"{kept}, pcm binary, blocks array<struct<first_sample:long,n_samples:long,frame_offset:long>>, feature string")
 
 
-def pcm_blocks(decoded: DataFrame) -> DataFrame:
-    """A row for each block of 8-bit samples: doc_id, first_sample, n_samples, frame_offset and the block's own samples."""
-    rows = decoded.select("doc_id", "pcm", F.explode("blocks").alias("b"))
-    cut = F.substring("pcm", (F.col("b.first_sample") + 1).cast("int"), F.col("b.n_samples").cast("int"))
-    return rows.select("doc_id", "b.first_sample", "b.n_samples", "b.frame_offset", cut.alias("pcm"))
+def write_pcm(decoded: DataFrame, path: str) -> DataFrame:
+    """Writes decoded rows as a Parquet table of PCM: each with its blocks (first_sample, n_samples, frame_offset, pcm), and reads it back.
+
+    The blocks of a row follow each other, so a sample is found by its block's first; the row's media, pcm and feature aren't written.
+    """
+    cut = F.transform("blocks", lambda b: F.struct(b["first_sample"].alias("first_sample"), b["n_samples"].alias("n_samples"), b["frame_offset"].alias("frame_offset"), F.substring(F.col("pcm"), (b["first_sample"] + 1).cast("int"), b["n_samples"].cast("int")).alias("pcm")))
+    kept = [c for c in decoded.columns if c not in ("media", "pcm", "feature", "blocks")]
+    decoded.select(*kept, cut.alias("blocks")).write.option("compression", "zstd").parquet(path)
+    return decoded.sparkSession.read.parquet(path)
+
+
+def pcm_blocks(table: DataFrame) -> DataFrame:
+    """A row for each block of a PCM table: doc_id, first_sample, n_samples, frame_offset and the block's own samples."""
+    return table.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+
+
+def samples_at(table: DataFrame, first: int, n: int) -> DataFrame:
+    """Rows (doc_id, pcm): n samples from a place on, of the blocks that hold them; fewer, or none, where a row ends before."""
+    near = F.filter("blocks", lambda b: (b["first_sample"] < first + n) & (b["first_sample"] + b["n_samples"] > first))
+    part = lambda b: F.substring(b["pcm"], F.greatest(F.lit(first) - b["first_sample"], F.lit(0)).cast("int") + 1, (F.least(F.lit(first + n), b["first_sample"] + b["n_samples"]) - F.greatest(F.lit(first), b["first_sample"])).cast("int"))
+    return table.select("doc_id", F.aggregate(near, F.lit(b""), lambda held, b: F.concat(held, part(b))).alias("pcm"))
+
+
+def pcm_digest(table: DataFrame) -> DataFrame:
+    """Replaces the blocks of a PCM table by what their samples come to: payload_bytes, payload_sha256, tail_crc32 (of the last UNIT), feature, n_blocks."""
+
+    def make():
+        def step(batch: dict) -> dict:
+            pcm = [b"".join(b["pcm"] for b in blocks) for blocks in batch.pop("blocks")]
+            found = [(len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), features(x)) for x in pcm]
+            return batch | dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "feature"), map(list, zip(*found, strict=True)), strict=True))
+
+        return step
+
+    rows = table.withColumn("n_blocks", F.size("blocks"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "blocks")
+    return arrow_map(rows, make, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = flac_decode(flac_encode(table(spark, sf_dir, "documents")))
-    size = F.octet_length("pcm")
-    return back.select(
-        "doc_id",
-        "n_bytes",
-        size.cast("long").alias("payload_bytes"),
-        F.sha2("pcm", 256).alias("payload_sha256"),
-        F.crc32(F.substring("pcm", -UNIT, UNIT)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-        F.size("blocks").alias("n_blocks"),
-    )
+    media = flac_encode(table(spark, sf_dir, "documents"))
+    media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    pcm = write_pcm(flac_decode(media), shared_path(spark, "pcm"))
+    return pcm_digest(pcm).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks")

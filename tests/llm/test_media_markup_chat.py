@@ -1,6 +1,7 @@
 import time
 import json
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -71,8 +72,16 @@ def test_flac_column(spark):
     assert {bytes(r["pcm"]).rstrip(b"\0") for r in got} == {(t or "").encode() for _, t in rows}
     media = {r["doc_id"]: bytes(r["media"]) for r in got}
     assert media[1] == media[5]
-    blocks = flac.pcm_blocks(back).where("doc_id is null").orderBy("first_sample").collect()
-    assert b"".join(bytes(b["pcm"]) for b in blocks) == b"a" * 9000 + b"\0" * 24
+    pcm = flac.write_pcm(back, tempfile.mkdtemp(prefix="spark-") + "/pcm")
+    assert "media" not in pcm.columns and pcm.count() == len(rows)
+    blocks = flac.pcm_blocks(pcm).where("doc_id is null").orderBy("first_sample").collect()
+    assert b"".join(bytes(b["pcm"]) for b in blocks) == b"a" * 9000 + b"\0" * 24 and [b["first_sample"] for b in blocks] == [0, 4096, 8192]
+    long = pcm.where("doc_id is null")
+    for first, n in ((0, 10), (4090, 20), (4096, 4096), (100, 9000), (9020, 50), (99_999, 5)):
+        assert bytes(flac.samples_at(long, first, n).first()["pcm"]) == (b"a" * 9000 + b"\0" * 24)[first : first + n]
+    digest = {r["doc_id"]: r for r in flac.pcm_digest(pcm).collect()}
+    assert digest[None]["payload_bytes"] == 9024 and digest[None]["n_blocks"] == 3 and digest[1]["payload_sha256"] == digest[5]["payload_sha256"]
+    assert flac.pcm_digest(flac.write_pcm(back.limit(0), tempfile.mkdtemp(prefix="spark-") + "/pcm")).count() == 0
     assert flac.flac_decode(flac.flac_encode(df.limit(0))).count() == 0
 
 
