@@ -81,10 +81,9 @@ class TwoGenerations(dict):
 
     def values_of(self, keys: list) -> list:
         """The value of each key, in order."""
-        place: dict = {}
-        numbers = [place.setdefault(k, len(place)) for k in keys]
-        values = self.values_of_distinct(list(place))
-        return [values[i] for i in numbers]
+        distinct = list(dict.fromkeys(keys))
+        known = dict(zip(distinct, self.values_of_distinct(distinct), strict=True))
+        return list(map(known.__getitem__, keys))
 
     def values_of_distinct(self, keys: list) -> list:
         """The value of each key, in order; no key stands twice."""
@@ -108,8 +107,8 @@ class TwoGenerations(dict):
         return got
 
 
-def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
-    """The rows of docs whose text (null: empty) passes; all columns stay, no shuffle. make() runs once a task."""
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of docs whose text (null: empty) passes; all columns stay, no shuffle. make() runs once a task and gives a function of texts."""
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +117,6 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> Dat
             rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                yield part.filter(pa.array([passes(x or "") for x in part.column(place).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array(passes([x or "" for x in part.column(place).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

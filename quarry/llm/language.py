@@ -177,8 +177,6 @@ def with_language_only(docs: DataFrame, filters: Filters) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def make():
-        if not sent.value.languages:
-            return has_letters
-        return lambda text: sent.value.predict(text)[0] != UNKNOWN
+        return lambda items: [has_letters(x) if not sent.value.languages else sent.value.predict(x)[0] != UNKNOWN for x in items]
 
     return keep_rows(docs, make)

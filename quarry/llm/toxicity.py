@@ -16,17 +16,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_map, checkpoint, keep_rows, table, texts
+from .common import SLICE_BYTES, TwoGenerations, arrow_map, checkpoint, keep_rows, table, texts
 from .language import bounded_sample, fold
 
 FIT_DOCS = 20_000
+#: Pairs of letters that the table of spaces holds.
+MOST_PAIRS = 8192
+#: Signs behind a word that stand for no letter.
+STOPS = frozenset(".,;:?")
 LEAST_PRECISION, LEAST_DOCS, THRESHOLD = 0.85, 4, 0.3
 STEMS = (4, 5, 6, 7, 8)
 #: Letters that signs commonly stand for.
@@ -179,26 +186,11 @@ class Spaces(dict):
         return got
 
 
-def joined(spaces: Spaces, words: list[str]) -> set[str]:
-    """The words of a text that come of dropping spaces between what its tokens say."""
-    if not words:
-        return set()
-    short = np.fromiter(map(len, words), np.int32, len(words))
-    keys = [(w[-2:], (), v[:2]) if len(w) > 1 < len(v) else None for w, v in zip(words, words[1:], strict=False)]
-    drop = np.fromiter((k is not None and spaces[k][1][0] for k in keys), bool, len(keys))
-    said = words
-    if (short == 1).any():
-        said, edges = list(words), np.flatnonzero(np.diff(np.r_[False, short == 1, False]))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            before, after = words[a - 1][-2:] if a else "", words[b][:2] if b < len(words) else ""
-            said[a:b], drops = spaces[before, tuple(words[a:b]), after]
-            for k, dropped in enumerate(drops, a - 1):
-                if dropped and 0 <= k < len(drop):
-                    drop[k] = True
-    out, edges = set(), np.flatnonzero(np.diff(np.r_[False, drop, False]))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        out.add("".join(said[a : b + 1]))
-    return out
+def slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of about SLICE_BYTES characters."""
+    part = pdf["text"].str.len().cumsum() // SLICE_BYTES
+    for _, rows in pdf.groupby(part, sort=True):
+        yield rows
 
 
 def likeness(text: str) -> int:
@@ -246,36 +238,129 @@ class Evidence:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "known"} | {"known": None}
 
-    def found(self, text: str) -> set[str]:
+    def found(self, texts_: list[str]) -> list[set[str]]:
         if self.known is None:
             self.known = Features(self.model, self.weights)
-        return self.known.of(text)
+        return self.known.of(texts_)
+
+    def scores(self, texts_: list[str]) -> list[float]:
+        """For each text the chance that the base rate or a piece of evidence holds."""
+        return [1 - (1 - self.base) * math.prod(1 - self.weights[f] for f in sorted(found)) for found in self.found(texts_)]
 
     def score(self, text: str) -> float:
-        """The chance that the base rate or a piece of evidence holds."""
-        miss = 1 - self.base
-        for f in self.found(text):
-            miss *= 1 - self.weights[f]
-        return 1 - miss
+        return self.scores([text])[0]
 
 
 class Features:
-    """The features of texts, or those of them that are wanted; what tokens and spaces say is kept in bounded caches."""
+    """The features of texts, or those of them that are wanted. Texts are cut and numbered together, so that each distinct token is looked at once.
+
+    A space between two longer words is decided by two letters on either side: such pairs of letters are numbered, and what was decided
+    stands in a table; letters beyond MOST_PAIRS are asked for each time. What tokens, joined words and runs of single characters say is
+    kept in bounded caches.
+    """
 
     def __init__(self, model: CharacterModel, wanted=None):
         self.model, self.wanted = model, wanted
-        self.tokens, self.spaces = TwoGenerations(self.make), Spaces(model)
+        self.heads = {f[:4] for f in wanted or ()}
+        self.tokens, self.joins, self.spaces = TwoGenerations(self.make), TwoGenerations(self.make_joined), Spaces(model)
+        self.pairs: dict[str, int] = {}
+        self.letters: list[str] = []
+        self.table = np.full((256, 256), -1, np.int8)
+
+    def pair(self, letters: str) -> int:
+        """The number of two letters; -1 if the table is full."""
+        n = self.pairs.get(letters)
+        if n is None:
+            n = len(self.letters)
+            if n >= MOST_PAIRS:
+                return -1
+            self.pairs[letters] = n
+            self.letters.append(letters)
+            if n >= len(self.table):
+                wider = np.full((2 * len(self.table),) * 2, -1, np.int8)
+                wider[: len(self.table), : len(self.table)] = self.table
+                self.table = wider
+        return n
 
     def make(self, tokens: list[str]) -> list[tuple]:
-        return [(tuple(self.pick(restored(self.model, t))), word_of(self.model, t)) for t in tokens]
+        out = []
+        for t in tokens:
+            word = t if t[-1:] not in STOPS else t[:-1]
+            if word.isalpha() and len(word) > 1 and not REPEATED.search(word):  # letters, perhaps with a stop, have one path
+                found = tuple(self.pick({word})) if self.may_tell(word) else ()
+            else:
+                word = word_of(self.model, t)
+                found = tuple(self.pick(restored(self.model, t)))
+            out.append((found, word, self.pair(word[-2:]), self.pair(word[:2])))
+        return out
+
+    def may_tell(self, word: str) -> bool:
+        """Whether a word, or one that begins with it, can have a feature that is wanted: their first letters must be a wanted one's."""
+        return self.wanted is None or word[:4] in self.heads if len(word) >= 4 else True
+
+    def make_joined(self, words: list[str]) -> list[tuple]:
+        return [tuple(self.pick({w})) for w in words]
 
     def pick(self, words: set[str]) -> set[str]:
         got = {f for w in words for f in features(w)}
         return got if self.wanted is None else {f for f in got if f in self.wanted}
 
-    def of(self, text: str) -> set[str]:
-        got = self.tokens.values_of(text.lower().split())
-        return set().union(*{x for x, _ in got if x}) | self.pick(joined(self.spaces, [w for _, w in got]))
+    def dropped(self, before: str, after: str) -> bool:
+        return self.spaces[before, (), after][1][0]
+
+    def between_words(self, last: np.ndarray, first: np.ndarray, words: Callable[[int], tuple[str, str]]) -> np.ndarray:
+        """Whether the space between two longer words is dropped, by the numbers of the letters beside it; words(i) gives the i-th pair."""
+        out = np.zeros(len(last), bool)
+        known = np.flatnonzero((last >= 0) & (first >= 0))
+        open_ = known[self.table[last[known], first[known]] < 0]
+        for key in np.unique(last[open_] * MOST_PAIRS + first[open_]).tolist():
+            a, b = divmod(key, MOST_PAIRS)
+            self.table[a, b] = self.dropped(self.letters[a], self.letters[b])
+        out[known] = self.table[last[known], first[known]] == 1
+        for i in np.flatnonzero((last < 0) | (first < 0)).tolist():
+            a, b = words(i)
+            out[i] = self.dropped(a[-2:], b[:2])
+        return out
+
+    def of(self, texts_: list[str]) -> list[set[str]]:
+        """The features of each text: of its tokens, and of the words that come of dropping spaces between what they say."""
+        out: list[set[str]] = [set() for _ in texts_]
+        parts = pc.utf8_split_whitespace(pa.array([x.lower() for x in texts_], pa.large_string()))
+        coded, bounds = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
+        codes, text_of = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts_)), np.diff(bounds))
+        if not len(codes):
+            return out
+        found, words, last, first = zip(*self.tokens.values_of_distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), strict=True)
+        telling = np.fromiter(map(bool, found), bool, len(found))
+        at = np.flatnonzero(telling[codes])
+        for key in np.unique(text_of[at] * len(found) + codes[at]).tolist():
+            text, code = divmod(key, len(found))
+            out[text].update(found[code])
+        size = np.fromiter(map(len, words), np.int64, len(words))[codes]
+        said = lambda i: words[codes[i]]
+        beside = text_of[1:] == text_of[:-1]
+        at = np.flatnonzero(beside & (size[1:] > 1) & (size[:-1] > 1))
+        drop = np.zeros(len(codes), bool)  # drop[i]: the space behind token i
+        drop[at] = self.between_words(np.array(last, np.int64)[codes[at]], np.array(first, np.int64)[codes[at + 1]], lambda k: (said(at[k]), said(at[k] + 1)))
+        single, meant = size == 1, {}
+        opens = np.flatnonzero(single & np.r_[True, ~single[:-1] | ~beside])
+        closes = np.flatnonzero(single & np.r_[~single[1:] | ~beside, True]) + 1
+        for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
+            before = said(a - 1)[-2:] if a and beside[a - 1] else ""
+            after = said(b)[:2] if b < len(codes) and beside[b - 1] else ""
+            letters, drops = self.spaces[before, tuple(said(i) for i in range(a, b)), after]
+            meant.update(zip(range(a, b), letters, strict=True))
+            for k, gone in enumerate(drops, a - 1):
+                if gone and 0 <= k < len(beside) and beside[k]:
+                    drop[k] = True
+        edges = np.flatnonzero(np.diff(np.r_[False, drop, False]))
+        spans = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+        if self.wanted is not None:
+            spans = [(a, b) for a, b in spans if a in meant or self.may_tell(said(a))]
+        joined = ["".join(meant[i] if i in meant else said(i) for i in range(a, b + 1)) for a, b in spans]
+        for (a, _), got in zip(spans, self.joins.values_of(joined), strict=True):
+            out[text_of[a]].update(got)
+        return out
 
 
 def fit(labelled: DataFrame, most: int = FIT_DOCS, corpus: DataFrame | None = None) -> Evidence:
@@ -284,50 +369,50 @@ def fit(labelled: DataFrame, most: int = FIT_DOCS, corpus: DataFrame | None = No
     The character model is that of all rows of the corpus (text), labelled or not; without one, that of all labelled rows.
 
     A feature is evidence if its precision reaches LEAST_PRECISION and its likelihood ratio against the base rate outweighs the
-    number of features tried. Toxic documents count once for each group of near copies.
+    number of features tried, those of toxic documents. Toxic documents count once for each group of near copies; clean ones are
+    searched only for what LEAST_DOCS groups have.
     """
     sample = checkpoint(bounded_sample(labelled.where("text is not null and toxic is not null"), most).select("text", F.col("toxic").cast("int").alias("toxic")))
     model = trigram_model(labelled if corpus is None else corpus)
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches):
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        known = Features(sent.value)
-        for pdf in batches:
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                for f in known.of(text):
-                    counts[f][0 if toxic == 1 else 1] += 1
-        yield pd.DataFrame({"feature": list(counts), "p": [x[0] for x in counts.values()], "n": [x[1] for x in counts.values()]}).astype({"feature": object, "p": np.int64, "n": np.int64})
-
-    totals = sample.agg(F.count("*").alias("rows"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    counted = checkpoint(sample.mapInPandas(count, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
-    tried = counted.count()
-    good = counted.where((F.col("p") >= LEAST_DOCS) & (F.col("p") >= LEAST_PRECISION * (F.col("p") + F.col("n"))))
-    counts = {r["feature"]: (r["p"], r["n"]) for r in good.collect()}
-    candidates = sample.sparkSession.sparkContext.broadcast(frozenset(counts))
-
     def hold(batches):
         known = Features(sent.value)
-        for pdf in batches:
-            rows = [(likeness(text), f) for text in pdf["text"] for f in ["", *(known.of(text) & candidates.value)]]
+        for pdf in (part for pdf in batches for part in slices(pdf)):
+            rows = {(h, f) for h, found in zip(map(likeness, pdf["text"]), known.of(pdf["text"].tolist()), strict=True) for f in ["", *found]}
             yield pd.DataFrame(rows, columns=["h", "feature"]).astype({"h": np.int64, "feature": object})
 
-    held: dict[str, set[int]] = defaultdict(set)
-    for r in sample.where("toxic = 1").select("text").mapInPandas(hold, "h long, feature string").distinct().collect():
-        held[r["feature"]].add(r["h"])
-    toxic = held.pop("", set())
-    clean = totals["rows"] - totals["toxic"]
-    rate = (len(toxic) + 0.5) / (clean + len(toxic) + 1)
+    groups = checkpoint(sample.where("toxic = 1").select("text").mapInPandas(hold, "h long, feature string").distinct())
+    tried = groups.groupBy("feature").agg(F.count("*").alias("p"))
+    often = {r["feature"]: r["p"] for r in tried.where((F.col("p") >= LEAST_DOCS) & (F.col("feature") != "")).collect()}
+    n_tried, n_toxic, clean = tried.count(), groups.where("feature = ''").count(), sample.where("toxic <> 1").count()
+    candidates = sample.sparkSession.sparkContext.broadcast(frozenset(often))
+
+    def count(batches):
+        counts: Counter = Counter()
+        known = Features(sent.value, candidates.value)
+        for pdf in (part for pdf in batches for part in slices(pdf)):
+            for found in known.of(pdf["text"].tolist()):
+                counts.update(found)
+        yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())}).astype({"feature": object, "n": np.int64})
+
+    counted = sample.where("toxic <> 1").select("text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    seen = {r["feature"]: r["n"] for r in counted.collect()}
+    rate = (n_toxic + 0.5) / (clean + n_toxic + 1)
     found = {}
-    for f, groups in held.items():
-        p, n = len(groups), counts[f][1]
+    for f, p in often.items():
+        n = seen.get(f, 0)
         precision = (p + 0.5) / (p + n + 1)
         ratio = p * math.log(precision / rate) + n * math.log((1 - precision) / (1 - rate))
-        if p >= LEAST_DOCS and precision >= LEAST_PRECISION and ratio >= math.log(tried + 1) + 1:
+        if precision >= LEAST_PRECISION and ratio >= math.log(n_tried + 1) + 1:
             found[f] = precision
+    held: dict[str, set[int]] = defaultdict(set)
+    for r in groups.where(F.col("feature").isin("", *found)).collect():
+        held[r["feature"]].add(r["h"])
+    toxic = held.pop("", set())
     weights, explained = {}, set()
     for f in sorted(found, key=lambda f: (-found[f], f)):  # one with false cases must explain what better ones don't
-        if not counts[f][1] or len(held[f] - explained) >= max(LEAST_DOCS, 5 * counts[f][1]):
+        if f not in seen or len(held[f] - explained) >= max(LEAST_DOCS, 5 * seen[f]):
             weights[f] = found[f]
             explained |= held[f]
     missed = len(toxic.difference(*(held[f] for f in weights)))
@@ -340,7 +425,7 @@ def score(docs: DataFrame, evidence: Evidence, threshold: float = THRESHOLD) ->
 
     def make():
         def step(batch: dict) -> dict:
-            got = [sent.value.score(x) for x in batch["text"]]
+            got = sent.value.scores(batch["text"])
             return {"doc_id": batch["doc_id"], "score": got, "predicted": [int(x >= threshold) for x in got]}
 
         return step
@@ -365,6 +450,6 @@ def clean_only(docs: DataFrame, evidence: Evidence, threshold: float = THRESHOLD
     sent = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def make():
-        return lambda text: sent.value.score(text) < threshold
+        return lambda items: [x < threshold for x in sent.value.scores(items)]
 
     return keep_rows(docs, make)
