@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, flac, language, markup, records, simhash, tokens, toxicity
+from . import chat, decontam, flac, language, markup, periods, records, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tool_calls": chat.op8_tool_calls,
         "op9_flac": flac.op9_flac,
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
+        "op11_periodic_runs": periods.op11_periodic_runs,
     }
 
 
