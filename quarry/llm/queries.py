@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, decontam, flac, language, markup, periods, records, simhash, tokens, toxicity
+from . import alignment, chat, decontam, flac, jaccard, language, markup, periods, records, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
         "op11_periodic_runs": periods.op11_periodic_runs,
         "op12_token_alignment": alignment.op12_token_alignment,
+        "op13_ngram_jaccard": jaccard.op13_ngram_jaccard,
     }
 
 
