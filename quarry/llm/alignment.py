@@ -28,6 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import bpe
 from .common import SLICE_BYTES, arrow_map, shared_path, table, texts
 from .records import library_ids
-from .tokens import BYTE_BPE, cache, ids_of
+from .tokens import BYTE_BPE, Run, cache, ids_of, joined, strings
 
 PIECE_BPE = "piece_bpe_32k.model"
-LANE = 512
+LANE, BLOCK_BYTES, PARTS = 512, 16 << 20, 60_000
+#: After the ids of a part that sentencepiece doesn't give back byte for byte.
+BAD = (1 << 32) - 1
 SPACE = re.compile("(?<! ) ")
 DIGEST = ("doc_ids", "n_a", "n_b", "n_groups", "sha")
+#: A block is 16 bits in a task, a place in its pairs 28.
+BLOCKS, PLACES = 16, 28
 
 
 class Vocabulary(NamedTuple):
@@ -62,6 +67,12 @@ def byte_vocabulary(path: str) -> Vocabulary:
     return vocabulary(bpe.json_ranks(path).tokens)
 
 
+@functools.lru_cache(2)
+def all_bytes(path: str) -> bool:
+    """Whether each byte is a token, so that no text is lost on a byte-level BPE."""
+    return len({t for t in byte_vocabulary(path).tokens if len(t) == 1}) == 256
+
+
 @functools.lru_cache(2)
 def processor(path: str):
     import sentencepiece
@@ -92,29 +103,43 @@ def piece_parts(text: str, cuts: bool) -> list[str]:
 
 
 def piece_maker(path: str) -> Callable[[list], list]:
-    """For parts of texts: the ids of a space and the part, as 32-bit integers."""
-    model = processor(path)
-    alone = array("I", [model.piece_to_id("▁")]).tobytes()
+    """For parts of texts: the ids of a space and the part, as 32-bit integers, and BAD after them if they aren't its bytes."""
+    model, tokens = processor(path), piece_vocabulary(path).tokens
+    alone = [model.piece_to_id("▁")]
 
     def make(parts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() if part else alone for part, ids in zip(parts, model.encode(parts, num_threads=1), strict=True)]
+        found = [ids if part else alone for part, ids in zip(parts, model.encode(parts, num_threads=1), strict=True)]
+        same = [b"".join(map(tokens.__getitem__, ids)) == b" " + part.encode() for part, ids in zip(parts, found, strict=True)]
+        return [array("I", ids if good else [*ids, BAD]).tobytes() for ids, good in zip(found, same, strict=True)]
 
     return make
 
 
 def byte_ids(path: str, items: list[str]) -> list[np.ndarray]:
     """Ids of a space and each text by the tokenizers library; special strings are plain text."""
-    return ids_of(cache(("library", path), library_ids(path)), [" " + x for x in items])
+    return ids_of(cache(("library", path), library_ids(path), PARTS), [" " + x for x in items])
 
 
 def piece_ids(path: str, items: list[str]) -> list[np.ndarray]:
-    """Ids of each text by the sentencepiece library, which puts a space before it."""
-    known, cuts = cache(("pieces", path), piece_maker(path)), spaces_cut(path)
-    return [np.frombuffer(b"".join(known.values_of(piece_parts(x, cuts))), "<u4") for x in items]
-
-
-def gives_back(known: Vocabulary, ids: np.ndarray, raw: bytes) -> bool:
-    return b"".join(map(known.tokens.__getitem__, ids.tolist())) == raw
+    """Ids of each text by the sentencepiece library, which puts a space before it; BAD after parts that it doesn't give back."""
+    known, cuts, out = cache(("pieces", path), piece_maker(path), PARTS), spaces_cut(path), [np.zeros(0, np.uint32)] * len(items)
+    plain = [i for i, x in enumerate(items) if cuts and "  " not in x and x[:1] != " "]
+    if plain:
+        parts = pc.split_pattern(pa.array([items[i] for i in plain], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        values = known.values_of_distinct(strings(coded.dictionary))
+        run = Run(plain, values, coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64))
+        for i, ids in joined(run):
+            out[i] = ids
+    for i in set(range(len(items))).difference(plain):
+        out[i] = np.frombuffer(b"".join(known.values_of(piece_parts(items[i], cuts))), "<u4")
+    return out
+
+
+def given_back(known: Vocabulary, ids: np.ndarray, raw: bytes) -> np.ndarray | None:
+    """The ids without marks if their bytes are these, else None."""
+    ids = ids[ids != BAD]
+    return ids if b"".join(map(known.tokens.__getitem__, ids.tolist())) == raw else None
 
 
 class Aligned(NamedTuple):
@@ -162,12 +187,13 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_bounds: np.ndarray, b_bou
 def align(items: list[str], a_path: str, b_path: str, lane: int = LANE) -> Aligned:
     """Both tokenizers' tokens of texts, aligned. Texts that are empty or not given back by a tokenizer have none."""
     a_known, b_known = byte_vocabulary(a_path), piece_vocabulary(b_path)
-    none, a_ids, b_ids = np.zeros(0, np.uint32), [], []
-    for x, a, b in zip(items, byte_ids(a_path, items), piece_ids(b_path, items), strict=True):
-        raw = b" " + x.encode()
-        good = x and gives_back(a_known, a, raw) and gives_back(b_known, b, raw)
-        a_ids.append(a if good else none)
-        b_ids.append(b if good else none)
+    none, a_ids, b_ids = np.zeros(0, np.uint32), byte_ids(a_path, items), piece_ids(b_path, items)
+    for i, (x, a, b) in enumerate(zip(items, a_ids, b_ids, strict=True)):
+        if not all_bytes(a_path):
+            a = given_back(a_known, a, b" " + x.encode())
+        if (b == BAD).any():
+            b = given_back(b_known, b, b" " + x.encode())
+        a_ids[i], b_ids[i] = (a, b) if x and a is not None and b is not None else (none, none)
     a, b = (np.concatenate([none, *x]).astype(np.int64) for x in (a_ids, b_ids))
     a_bounds, b_bounds = (np.append(0, np.cumsum(list(map(len, x)), dtype=np.int64)) for x in (a_ids, b_ids))
     return Aligned(a, b, a_bounds, b_bounds, *lockstep(np.cumsum(a_known.sizes[a]), np.cumsum(b_known.sizes[b]), a_bounds, b_bounds, lane))
@@ -213,34 +239,47 @@ BLOCK = T.StructType([T.StructField(*f) for f in FIELDS])
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row for each slice of a task's documents: numbers and hashes by document, the links of all as codes, the pair of ids of each code and how often it is."""
+    """One row for each BLOCK_BYTES of a task's texts: numbers and hashes by document, the links of all as codes, the pair of ids of each code and how often it is."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, a_known, b_known = to_arrow_schema(BLOCK), byte_vocabulary(a_path), piece_vocabulary(b_path)
-        block = TaskContext.get().partitionId() << 32
+        block, size, held = TaskContext.get().partitionId() << BLOCKS, 0, []
+
+        def row() -> pa.RecordBatch:
+            doc_ids, sha = ([x for part in held for x in part[k]] for k in (0, 4))
+            numbers = [np.concatenate([part[k] for part in held]) for k in (1, 2, 3)]
+            pairs, codes, times = np.unique(np.concatenate([part[5] for part in held]), return_inverse=True, return_counts=True)
+            made = [block, doc_ids, *numbers, sha, codes.astype("<u4").tobytes(), pairs, times]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, out, strict=True)], schema=out)
+
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(2 * batch.nbytes, 1))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 got = align(part.column(1).to_pylist(), a_path, b_path)
-                shown = groups_of(got, a_known.names, b_known.names)
-                pairs, codes, times = np.unique(got.a[got.link_a] << 32 | got.b[got.link_b], return_inverse=True, return_counts=True)
-                sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
+                sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups_of(got, a_known.names, b_known.names)]
                 numbers = [np.diff(got.a_bounds), np.diff(got.b_bounds), np.diff(np.searchsorted(got.link_a, got.a_bounds))]
-                row = [block, part.column(0).to_pylist(), *numbers, sha, codes.astype("<u4").tobytes(), pairs, times]
-                block += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
+                held.append((part.column(0).to_pylist(), *numbers, sha, got.a[got.link_a] << 32 | got.b[got.link_b]))
+                size += part.nbytes
+                if size >= BLOCK_BYTES:
+                    yield row()
+                    block, size, held[:] = block + 1, 0, []
+        if held:
+            yield row()
 
     return texts(docs).mapInArrow(run, BLOCK)
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
-    """Rows (block, place, n, best): for the pairs of each block, how many links of the corpus they are, and whether no pair of their b id is more."""
-    each = held.select("block", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    """Rows (block, told): for the pairs of each block, in order, twice the links of the corpus that they are, and one more if no pair of their b id is more."""
+    each = held.select("block", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "x"))
+    each = each.select((F.shiftleft("block", PLACES) + F.col("place")).alias("ref"), F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     total = each.groupBy("pair").agg(F.sum("times").alias("n"))
     # a b id has as many pairs as there are a ids, at most
     most = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))))
-    return each.select("block", "place", "pair").join(total.withColumn("best", F.col("n") == most), "pair").select("block", "place", "n", "best")
+    counted = each.select("ref", "pair").join(total.select("pair", (2 * F.col("n") + (F.col("n") == most).cast("int")).alias("told")), "pair")
+    told = F.sort_array(F.collect_list(F.struct("ref", "told")))
+    return counted.groupBy(F.shiftrightunsigned("ref", PLACES).alias("block")).agg(told.alias("x")).select("block", F.col("x.told").alias("told"))
 
 
 def link_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -252,9 +291,7 @@ def link_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     folder = shared_path(spark, "alignment")
     blocks(docs, a_path, b_path).write.parquet(folder)
     held = spark.read.schema(BLOCK).parquet(folder)
-    counted = pair_counts(held).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n", "best"))).alias("x"))
-    counted = counted.select("block", F.col("x.n").alias("n"), F.col("x.best").alias("best"))
-    rows = held.select("block", *DIGEST, "codes").join(counted, "block", "left").drop("block")
+    rows = held.select("block", *DIGEST, "codes").join(pair_counts(held), "block", "left").drop("block")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     schema = T.StructType([*(T.StructField(x, T.LongType()) for x in names), T.StructField("groups_sha256", T.StringType())])
 
@@ -262,12 +299,13 @@ def link_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         out = to_arrow_schema(schema)
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, n_a, n_b, links, sha, codes, n, best = (batch.column(i)[k] for i in range(8))
+                doc_ids, n_a, n_b, links, sha, codes, told = (batch.column(i)[k] for i in range(7))
                 codes = np.frombuffer(codes.as_py(), "<u4")
                 sums = [np.zeros(len(codes) + 1, np.int64) for _ in range(2)]
                 if len(codes):
-                    for total, x in zip(sums, (best.values.cast(pa.int64()), n.values), strict=True):
-                        np.cumsum(x.to_numpy(zero_copy_only=False)[codes], out=total[1:])
+                    found = told.values.to_numpy()[codes]
+                    for total, x in zip(sums, (found & 1, found >> 1), strict=True):
+                        np.cumsum(x, out=total[1:])
                 cuts = np.append(0, np.cumsum(links.values.to_numpy()))
                 made = [doc_ids.values, n_a.values, n_b.values, links.values, links.values, *(np.diff(x[cuts]) for x in sums), sha.values]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, out, strict=True)], schema=out)

@@ -130,19 +130,25 @@ def sums_of(known: TwoGenerations, items: list[str], marks: Iterable[str] = ())
     return out
 
 
+def joined(run: Run) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text of a run, by place, with the ids of its keys' values."""
+    flat = np.frombuffer(b"".join(run.values), "<u4")
+    sizes = np.fromiter(map(len, run.values), np.int64, len(run.values)) >> 2
+    starts = np.cumsum(sizes) - sizes
+    many = sizes[run.codes]
+    ends = np.cumsum(many)
+    ids = flat[np.arange(many.sum()) + np.repeat(starts[run.codes] - ends + many, many)]
+    cuts = np.append(0, ends)[run.bounds].tolist()
+    for i, a, b in zip(run.places, cuts, cuts[1:], strict=False):
+        yield i, ids[a:b]
+
+
 def ids_of(known: TwoGenerations, items: list[str], marks: Iterable[str] = ()) -> list[np.ndarray]:
     """For each text the ids of its keys' values, which are ids as little-endian 32-bit integers."""
     out: list = [None] * len(items)
     for run in runs(known, items, marks):
-        flat = np.frombuffer(b"".join(run.values), "<u4")
-        sizes = np.fromiter(map(len, run.values), np.int64, len(run.values)) >> 2
-        starts = np.cumsum(sizes) - sizes
-        many = sizes[run.codes]
-        ends = np.cumsum(many)
-        ids = flat[np.arange(many.sum()) + np.repeat(starts[run.codes] - ends + many, many)]
-        cuts = np.append(0, ends)[run.bounds].tolist()
-        for i, a, b in zip(run.places, cuts, cuts[1:], strict=False):
-            out[i] = ids[a:b]
+        for i, ids in joined(run):
+            out[i] = ids
     return out
 
 
@@ -182,10 +188,10 @@ def count_maker(path: str, whole: frozenset[bytes]) -> Callable[[list], list]:
 _caches: dict = {}
 
 
-def cache(name: tuple, make: Callable[[list], list]) -> TwoGenerations:
+def cache(name: tuple, make: Callable[[list], list], limit: int = CHUNKS) -> TwoGenerations:
     """One cache for each worker process and purpose, kept between tasks."""
     if name not in _caches:
-        _caches[name] = TwoGenerations(make, CHUNKS)
+        _caches[name] = TwoGenerations(make, limit)
     return _caches[name]
 
 
