@@ -10,8 +10,11 @@ Equal sets are one class first, by a 128-bit hash; the class's smallest doc_id s
   of a class have k - 1 that are certain to make a shared pair, so the head is extended until certain ones suffice. The number of classes
   follows the length: partners' lengths lie in one or two neighbouring levels, so each set is indexed for both levels that it may meet in,
   and the pairs of a long head stay in proportion to it.
-- Each indexed combination's sets are held first against one of them, its leader, so a group of thousands of near copies costs its size and not its
-  square. Then only combinations that still hold several components pair up sets of different components.
+- Each indexed combination's sets are held first against one of them, its leader, the one with the smallest share of shingles of its own, so a group
+  of thousands of near copies costs its size and not its square. Combinations that still hold several components get another leader, and only
+  those that hold several after that pair up sets of different components. Lengths, how many shingles are a set's own, and bitmaps of the others
+  (a bit that one set has and the other doesn't is a shingle that they don't share) bound what two sets can have in common; pairs that can't be
+  similar enough are not formed.
 - Candidates are verified on their whole sets. 64-bit hashes stand for shingles throughout.
 
 Null and empty texts, and those without words, have an empty set and link with nothing. Rows that share a doc_id are one document, linked by whatever
@@ -23,12 +26,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,6 +45,8 @@ from .simhash import LOWER
 SHINGLE, FREQUENT = 5, 64
 #: Similarity of 80 in a hundred.
 SHARE, WHOLE = 4, 5
+#: How many more leaders combinations get before sets are paired up.
+LEADERS = 1
 #: Hashes counted in one group; the shingles of a class and length.
 RANGE, CLASS = 1 << 22, 8
 WORDS, WORD_BYTES = 400_000, 48
@@ -101,7 +108,8 @@ LONG, BINARY, LONGS = T.LongType(), T.BinaryType(), T.ArrayType(T.LongType())
 SLICE = fields(slice=LONG, reps=LONGS, sizes=LONGS, starts=LONGS, keys=BINARY, owners=BINARY)
 ASKED = fields(range=LONG, slice=LONG, keys=BINARY, times=BINARY)
 TOLD = fields(range=LONG, slice=LONG, counts=BINARY)
-INDEX = fields(sig=LONG, rep=LONG, n=LONG)
+BITS = [f"b{i}" for i in range(8)]
+INDEX = fields(sig=LONG, rep=LONG, n=LONG, most=LONG, **dict.fromkeys(BITS, LONG))
 
 
 def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
@@ -120,7 +128,8 @@ def slices(docs: DataFrame, bits: int) -> DataFrame:
                 part = batch.slice(at, rows)
                 sets = [shingle_set(x, known) for x in part.column(1).to_pylist()]
                 sizes = list(map(len, sets))
-                h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+                kind = np.uint16 if len(sets) <= 1 << 16 else np.uint32
+                h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=kind), sizes)
                 order = np.argsort(h, kind="stable")
                 h = h[order]
                 starts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -227,28 +236,42 @@ def combinations(sizes: np.ndarray, token: np.ndarray, count: np.ndarray, owner:
     return np.concatenate(found), np.concatenate(whose)
 
 
+def bitmaps_of(token: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row of 64-bit numbers for each of n sets: a bit for each token, by hash."""
+    width = 64 * len(BITS)
+    bits = np.zeros(n * width, np.uint8)
+    bits[owner.astype(np.int64) * width + (mixed(token + C) % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(bits).reshape(n, -1).view(np.int64)
+
+
 def index(held: DataFrame, told: DataFrame, bits: int) -> DataFrame:
-    """Rows (sig, rep, n): the combinations that each set is indexed by."""
+    """Rows (sig, rep, n, most, b0..): the combinations that each set is indexed by; most: how many of its shingles other sets hold too; their bitmap.
+
+    Rows of a set follow each other, so that its bitmap takes little space in columns.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 reps, sizes, starts = (batch.column(i)[k].values.to_numpy() for i in range(3))
-                keys, owner = (np.frombuffer(batch.column(i)[k].as_py(), np.uint32) for i in (3, 4))
+                keys, raw = np.frombuffer(batch.column(3)[k].as_py(), np.uint32), batch.column(4)[k].as_py()
+                owner = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(keys) else np.uint32)
                 counts = np.frombuffer(b"".join(x["counts"] for x in batch.column(5)[k].as_py()), np.uint8)
                 count = counts[np.cumsum(firsts(keys, starts)) - 1]
                 token = np.repeat(np.arange(1 << bits, dtype=np.uint64), np.diff(starts)) << np.uint64(32) | keys
                 sig, whose = combinations(sizes, token, count, owner)
                 if len(sig):
-                    pairs = np.unique(np.stack([sig.view(np.int64), whose]), axis=1) if len(sig) > 1 else np.stack([sig.view(np.int64), whose])
-                    yield batch_of(INDEX, [pairs[0], reps[pairs[1]], sizes[pairs[1]]])
+                    whose, sig = np.unique(np.stack([whose, sig.view(np.int64)]), axis=1)
+                    most = sizes - np.bincount(owner[count == 1], minlength=len(sizes))
+                    bitmaps = bitmaps_of(token[count > 1], owner[count > 1], len(sizes))
+                    yield batch_of(INDEX, [sig, reps[whose], sizes[whose], most[whose], *bitmaps[whose].T])
 
     return held.join(told, "slice").select("reps", "sizes", "starts", "keys", "owners", "told").mapInArrow(run, INDEX)
 
 
-def fits(a: str, b: str):
-    """Whether two lengths can be those of partners."""
-    return (SHARE * F.col(a) <= WHOLE * F.col(b)) & (SHARE * F.col(b) <= WHOLE * F.col(a))
+def fits(n: Column, m: Column, shared: Column) -> Column:
+    """Whether sets of these lengths are partners if they share so many shingles."""
+    return (SHARE + WHOLE) * F.least(shared, n, m) >= SHARE * (n + m)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -276,21 +299,35 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return arrow_map(rows.select("a", "b", "x", "y"), similar, "a long, b long").distinct()
 
 
-def leader_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b): each set with the leader that it shares most combinations with; a combination's leader is its smallest rep."""
-    lead = rows.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    met = rows.join(lead.select("sig", F.col("first.rep").alias("b"), F.col("first.n").alias("m")), "sig").where(fits("n", "m") & (F.col("rep") != F.col("b")))
-    shared = met.groupBy("rep", "b").count()
-    return shared.groupBy("rep").agg(F.max(F.struct("count", "b")).alias("x")).select(F.col("rep").alias("a"), F.col("x.b").alias("b"))
+def leader_pairs(rows: DataFrame, first: Column, many: int) -> DataFrame:
+    """Pairs (a, b): each set with the leaders, `many` at most, that it shares most combinations with; a combination's leader is the first by the column `first`, then by rep."""
+    lead = rows.groupBy("sig").agg(F.min(F.struct(first.alias("at"), "rep", "n", "most")).alias("x"), F.count("*").alias("held")).where("held > 1")
+    lead = lead.select("sig", F.col("x.rep").alias("b"), F.col("x.n").alias("m"), F.col("x.most").alias("most_other"))
+    met = rows.join(lead, "sig").where(fits(F.col("n"), F.col("m"), F.least("most", "most_other")) & (F.col("rep") != F.col("b")))
+    shared = met.groupBy("rep", "b").count().withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("count"), "b")))
+    return shared.where(F.col("nth") <= many).select(F.col("rep").alias("a"), "b")
 
 
-def pairs_between(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of sets of different components that share a combination."""
-    named = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("sig", "rep", "n", "c")
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of combinations that hold sets of several components, each with its component c."""
+    named = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     still = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    left = named.join(still, "sig")
-    a, b = left.select("sig", F.col("rep").alias("a"), "n", "c"), left.select("sig", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    return a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("n", "m")).select("a", "b").distinct()
+    return named.join(still, "sig").select("sig", "rep", "n", "most", "c")
+
+
+def pairs_between(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of different components that share a combination. bitmaps: rows (rep, b0..)."""
+    sides = rows.join(bitmaps, "rep")
+    a, b = sides.alias("a"), sides.alias("b")
+
+    def lacks(x: str, y: str) -> Column:
+        """How many shingles of x, held by others too, are certainly not in y."""
+        return reduce(add, [F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{c}")))) for c in BITS])
+
+    shared = F.least(F.col("a.most") - lacks("a", "b"), F.col("b.most") - lacks("b", "a"))
+    apart = (F.col("a.rep") < F.col("b.rep")) & (F.col("a.c") != F.col("b.c"))
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & apart & fits(F.col("a.n"), F.col("b.n"), shared))
+    return met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -303,10 +340,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     slices(own, bits).write.parquet(f"{folder}/slices")
     held = spark.read.schema(SLICE).parquet(f"{folder}/slices")
     index(held, set_counts(held), bits).write.parquet(f"{folder}/index")
-    rows = spark.read.schema(INDEX).parquet(f"{folder}/index")
-    first = checkpoint(verified(docs, checkpoint(leader_pairs(rows))))
-    pairs = checkpoint(pairs_between(rows, components(first)))
-    return first if pairs.isEmpty() else first.union(verified(docs, pairs))
+    indexed = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    # a set that has too many shingles of its own has no partner of any length
+    rows = indexed.select("sig", "rep", "n", "most").where(fits(F.col("most"), F.col("n"), F.col("most")))
+    found = checkpoint(verified(docs, checkpoint(leader_pairs(rows, 1 - F.col("most") / F.col("n"), 1))))
+    for turn in range(LEADERS + 1):
+        rows = checkpoint(open_rows(rows.drop("c"), components(found)))
+        pairs = checkpoint(leader_pairs(rows, F.xxhash64("rep", F.lit(turn)), 4) if turn < LEADERS else pairs_between(rows, indexed.select("rep", *BITS).distinct()))
+        if rows.isEmpty():
+            break
+        found = checkpoint(found.union(verified(docs, pairs)))
+    return found
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
