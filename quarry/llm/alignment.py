@@ -41,7 +41,7 @@ from .records import library_ids
 from .tokens import BYTE_BPE, Run, cache, ids_of, joined, strings
 
 PIECE_BPE = "piece_bpe_32k.model"
-LANE, BLOCK_BYTES, PARTS = 512, 16 << 20, 60_000
+LANE, BLOCK_BYTES, PARTS = 512, 6 << 20, 40_000
 #: After the ids of a part that sentencepiece doesn't give back byte for byte.
 BAD = (1 << 32) - 1
 SPACE = re.compile("(?<! ) ")
@@ -51,15 +51,14 @@ BLOCKS, PLACES = 16, 28
 
 
 class Vocabulary(NamedTuple):
-    """Token bytes by id, their lengths, and decimal ids as text."""
+    """Token bytes by id, and their lengths."""
 
     tokens: list[bytes]
     sizes: np.ndarray
-    names: list[str]
 
 
 def vocabulary(tokens: list[bytes]) -> Vocabulary:
-    return Vocabulary(tokens, np.array(list(map(len, tokens)), np.int64), list(map(str, range(len(tokens)))))
+    return Vocabulary(tokens, np.array(list(map(len, tokens)), np.int64))
 
 
 @functools.lru_cache(2)
@@ -199,10 +198,15 @@ def align(items: list[str], a_path: str, b_path: str, lane: int = LANE) -> Align
     return Aligned(a, b, a_bounds, b_bounds, *lockstep(np.cumsum(a_known.sizes[a]), np.cumsum(b_known.sizes[b]), a_bounds, b_bounds, lane))
 
 
-def groups_of(got: Aligned, a_names: list[str], b_names: list[str]) -> list[str]:
+@functools.lru_cache(2)
+def shown_ids(n: int, m: int) -> list[str]:
+    """Ids of A inside and at the end of a group, then those of B, as text."""
+    return [f"{i}{mark}" for size, marks in ((n, ",|"), (m, ",;")) for mark in marks for i in range(size)]
+
+
+def groups_of(got: Aligned, a_known: Vocabulary, b_known: Vocabulary) -> list[str]:
     """For each document its groups in order, as `a1,a2|b1;a3|b2,b3` in ids."""
-    n, m = len(a_names), len(b_names)
-    shown = [x + "," for x in a_names] + [x + "|" for x in a_names] + [x + "," for x in b_names] + [x + ";" for x in b_names]
+    n, m, shown = len(a_known.sizes), len(b_known.sizes), shown_ids(len(a_known.sizes), len(b_known.sizes))
     group = np.searchsorted(got.link_b, np.arange(len(got.b)))
     codes = np.empty(len(got.a) + len(got.b), np.int64)
     a_ends, b_ends = np.zeros(len(got.a), np.int64), np.zeros(len(got.b), np.int64)
@@ -226,7 +230,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             cuts = np.searchsorted(got.link_a, got.a_bounds).tolist()
             base = ends[got.a_bounds].tolist()
             own = [(ends[got.link_a[x:y] + 1] - at).tolist() for x, y, at in zip(cuts, cuts[1:], base, strict=False)]
-            return {"doc_id": batch["doc_id"], "groups": groups_of(got, a_known.names, b_known.names), "ends": own}
+            return {"doc_id": batch["doc_id"], "groups": groups_of(got, a_known, b_known), "ends": own}
 
         return step
 
@@ -253,11 +257,11 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, out, strict=True)], schema=out)
 
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(2 * batch.nbytes, 1))
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(4 * batch.nbytes, 1))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 got = align(part.column(1).to_pylist(), a_path, b_path)
-                sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups_of(got, a_known.names, b_known.names)]
+                sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups_of(got, a_known, b_known)]
                 numbers = [np.diff(got.a_bounds), np.diff(got.b_bounds), np.diff(np.searchsorted(got.link_a, got.a_bounds))]
                 held.append((part.column(0).to_pylist(), *numbers, sha, got.a[got.link_a] << 32 | got.b[got.link_b]))
                 size += part.nbytes

@@ -74,7 +74,7 @@ def test_parts_are_exact(plain):
     items = ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
     for lane in (1, 7, 512):
         got = alignment.align(items, A, B, lane)
-        shown = alignment.groups_of(got, alignment.byte_vocabulary(A).names, alignment.piece_vocabulary(B).names)
+        shown = alignment.groups_of(got, alignment.byte_vocabulary(A), alignment.piece_vocabulary(B))
         assert shown == [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain(x)) for x in items]
     assert alignment.spaces_cut(B)
 
