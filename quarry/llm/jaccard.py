@@ -2,10 +2,10 @@
 
 Equal sets are one class first, by a 128-bit hash; the class's smallest doc_id stands for it. What follows is for representatives:
 
-- How many sets hold a shingle is counted over all of them, for prefixes of its 64-bit hash that are long enough to hardly meet. Slices of a task's
+- How many documents hold a shingle is counted over all of them, for prefixes of its 64-bit hash that are long enough to hardly meet. Slices of a task's
   documents send their distinct hashes, packed by range of hashes, to where each range is counted, and get back one byte for each.
 - A set's shingles are ordered by that count, the rarest first, then by hash. Any partner of a set of n lacks n - ceil(0.8 n) of them at most, so
-  among one more than that at the head of the order some are shared. Shingles that no other set holds fill the head but index nothing.
+  among one more than that at the head of the order some are shared. Shingles that no other document holds fill the head but index nothing.
 - Those that FREQUENT sets hold or fewer are indexed alone. The others are dealt into classes by hash, and pairs of a class are indexed: k shingles
   of a class have k - 1 that are certain to make a shared pair, so the head is extended until certain ones suffice. The number of classes
   follows the length: partners' lengths lie in one or two neighbouring levels, so each set is indexed for both levels that it may meet in,
@@ -47,9 +47,10 @@ SHINGLE, FREQUENT = 5, 64
 SHARE, WHOLE = 4, 5
 #: How many more leaders combinations get before sets are paired up.
 LEADERS = 1
-#: Hashes counted in one group; the shingles of a class and length.
-RANGE, CLASS = 1 << 22, 8
+#: Hashes counted in one group; bytes of text for each, about; the shingles of a class and length.
+RANGE, SHINGLE_BYTES, CLASS = 1 << 22, 6, 8
 WORDS, WORD_BYTES = 400_000, 48
+SENT = 1 << 20
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -85,27 +86,12 @@ def shingle_set(text: bytes, known: Hasher) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def set_keys(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, key): how many shingles a text has and a hash of the set."""
-
-    def make():
-        known = Hasher()
-
-        def step(batch: dict) -> dict:
-            sets = [shingle_set(x, known) for x in batch["text"]]
-            return {"doc_id": batch["doc_id"], "n": list(map(len, sets)), "key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]}
-
-        return step
-
-    return arrow_map(texts(docs, as_bytes=True), make, "doc_id long, n long, key binary")
-
-
 def fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
 LONG, BINARY, LONGS = T.LongType(), T.BinaryType(), T.ArrayType(T.LongType())
-SLICE = fields(slice=LONG, reps=LONGS, sizes=LONGS, starts=LONGS, keys=BINARY, owners=BINARY)
+SLICE = fields(slice=LONG, doc_ids=LONGS, sizes=LONGS, sets=T.ArrayType(BINARY), starts=LONGS, keys=BINARY, owners=BINARY)
 ASKED = fields(range=LONG, slice=LONG, keys=BINARY, times=BINARY)
 TOLD = fields(range=LONG, slice=LONG, counts=BINARY)
 BITS = [f"b{i}" for i in range(8)]
@@ -118,7 +104,10 @@ def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
 
 
 def slices(docs: DataFrame, bits: int) -> DataFrame:
-    """One row for each slice of a task's documents: their shingles in order of hash, 32 bits of each after the `bits` that name its range, and whose each is."""
+    """One row for each slice of a task's documents: how many shingles each has and a hash of its set, and the shingles of all in order of hash.
+
+    Of a shingle's hash 32 bits stand after the `bits` that name its range, and whose it is.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = Hasher(), TaskContext.get().partitionId() << 32
@@ -134,7 +123,8 @@ def slices(docs: DataFrame, bits: int) -> DataFrame:
                 h = h[order]
                 starts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 keys = (h >> np.uint64(32 - bits)).astype(np.uint32)
-                yield batch_of(SLICE, [[x] for x in (number, part.column(0).to_pylist(), sizes, starts, keys.tobytes(), owner[order].tobytes())])
+                own = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                yield batch_of(SLICE, [[x] for x in (number, part.column(0).to_pylist(), sizes, own, starts, keys.tobytes(), owner[order].tobytes())])
                 number += 1
 
     return texts(docs, as_bytes=True).mapInArrow(run, SLICE)
@@ -149,7 +139,7 @@ def firsts(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def set_counts(held: DataFrame) -> DataFrame:
-    """Rows (slice, told): for the distinct keys of each slice, by range, how many sets hold them, 255 for more."""
+    """Rows (slice, told): for the distinct keys of each slice, by range, how many documents hold them, copies too, 255 for more."""
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +234,8 @@ def bitmaps_of(token: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(bits).reshape(n, -1).view(np.int64)
 
 
-def index(held: DataFrame, told: DataFrame, bits: int) -> DataFrame:
-    """Rows (sig, rep, n, most, b0..): the combinations that each set is indexed by; most: how many of its shingles other sets hold too; their bitmap.
+def index(held: DataFrame, told: DataFrame, chosen: DataFrame, bits: int) -> DataFrame:
+    """Rows (sig, rep, n, most, b0..): the combinations that each set is indexed by, chosen ones (slice, places in it) alone; most: how many of its shingles other sets hold too; their bitmap.
 
     Rows of a set follow each other, so that its bitmap takes little space in columns.
     """
@@ -253,12 +243,16 @@ def index(held: DataFrame, told: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                reps, sizes, starts = (batch.column(i)[k].values.to_numpy() for i in range(3))
+                reps, sizes, starts = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(3))
+                kept = np.zeros(len(sizes), bool)
+                kept[batch.column(6)[k].values.to_numpy()] = True
                 keys, raw = np.frombuffer(batch.column(3)[k].as_py(), np.uint32), batch.column(4)[k].as_py()
                 owner = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(keys) else np.uint32)
                 counts = np.frombuffer(b"".join(x["counts"] for x in batch.column(5)[k].as_py()), np.uint8)
                 count = counts[np.cumsum(firsts(keys, starts)) - 1]
                 token = np.repeat(np.arange(1 << bits, dtype=np.uint64), np.diff(starts)) << np.uint64(32) | keys
+                mine = kept[owner]
+                token, count, owner = token[mine], count[mine], owner[mine]
                 sig, whose = combinations(sizes, token, count, owner)
                 if len(sig):
                     whose, sig = np.unique(np.stack([whose, sig.view(np.int64)]), axis=1)
@@ -266,7 +260,7 @@ def index(held: DataFrame, told: DataFrame, bits: int) -> DataFrame:
                     bitmaps = bitmaps_of(token[count > 1], owner[count > 1], len(sizes))
                     yield batch_of(INDEX, [sig, reps[whose], sizes[whose], most[whose], *bitmaps[whose].T])
 
-    return held.join(told, "slice").select("reps", "sizes", "starts", "keys", "owners", "told").mapInArrow(run, INDEX)
+    return held.join(told, "slice").join(chosen, "slice").select("doc_ids", "sizes", "starts", "keys", "owners", "told", "places").mapInArrow(run, INDEX)
 
 
 def fits(n: Column, m: Column, shared: Column) -> Column:
@@ -275,7 +269,10 @@ def fits(n: Column, m: Column, shared: Column) -> Column:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents, by doc_id, that are similar enough. Only texts of documents in pairs are read into sets."""
+    """The pairs (a, b) of documents, by doc_id, that are similar enough. Only texts of documents in pairs are read into sets.
+
+    Up to SENT ids are sent to where the texts are, so that those aren't shuffled; beyond that the texts go to the ids.
+    """
 
     def make():
         known = Hasher()
@@ -293,7 +290,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
         return step
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids
     sets = checkpoint(arrow_map(texts(docs.join(ids, "doc_id", "left_semi"), as_bytes=True), make, "id long, tokens binary"))
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     return arrow_map(rows.select("a", "b", "x", "y"), similar, "a long, b long").distinct()
@@ -330,39 +328,43 @@ def pairs_between(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives of classes (rep, n): whatever is similar enough is joined by them. docs: the documents, by doc_id."""
+def links(docs: DataFrame, held: DataFrame, chosen: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) between the chosen documents of slices: whatever is similar enough is joined by them. docs: the documents, by doc_id."""
     spark = docs.sparkSession
-    worth = classes.where("n >= 4 and rep is not null")  # sets of fewer equal all their partners
-    bits = max(1, math.ceil(math.log2(max(1, (worth.agg(F.sum("n")).first()[0] or 0) / RANGE))))
-    folder = shared_path(spark, "jaccard")
-    own = docs.join(worth.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    slices(own, bits).write.parquet(f"{folder}/slices")
-    held = spark.read.schema(SLICE).parquet(f"{folder}/slices")
-    index(held, set_counts(held), bits).write.parquet(f"{folder}/index")
-    indexed = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    folder = shared_path(spark, "jaccard-index")
+    index(held, set_counts(held), chosen, bits).write.parquet(folder)
+    indexed = spark.read.schema(INDEX).parquet(folder)
     # a set that has too many shingles of its own has no partner of any length
     rows = indexed.select("sig", "rep", "n", "most").where(fits(F.col("most"), F.col("n"), F.col("most")))
     found = checkpoint(verified(docs, checkpoint(leader_pairs(rows, 1 - F.col("most") / F.col("n"), 1))))
     for turn in range(LEADERS + 1):
         rows = checkpoint(open_rows(rows.drop("c"), components(found)))
-        pairs = checkpoint(leader_pairs(rows, F.xxhash64("rep", F.lit(turn)), 4) if turn < LEADERS else pairs_between(rows, indexed.select("rep", *BITS).distinct()))
         if rows.isEmpty():
             break
-        found = checkpoint(found.union(verified(docs, pairs)))
+        pairs = leader_pairs(rows, F.xxhash64("rep", F.lit(turn)), 4) if turn < LEADERS else pairs_between(rows, indexed.select("rep", *BITS).distinct())
+        found = checkpoint(found.union(verified(docs, checkpoint(pairs))))
     return found
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): the smallest doc_id that links lead to from a document, itself included."""
-    docs = texts(docs)
-    keyed = checkpoint(set_keys(docs))
-    classes = checkpoint(keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    docs, spark = texts(docs), docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, math.ceil(math.log2(max(1, n_bytes / SHINGLE_BYTES / RANGE))))
+    folder = shared_path(spark, "jaccard-sets")
+    slices(docs, bits).write.parquet(folder)
+    held = spark.read.schema(SLICE).parquet(folder)
+    each = held.select("slice", F.posexplode(F.arrays_zip("doc_ids", "sizes", "sets")).alias("place", "x"))
+    keyed = checkpoint(each.select("slice", "place", F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.sets").alias("key")))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "slice", "place"))).alias("x")
+    classes = checkpoint(keyed.where("n > 0").groupBy("key").agg(first, F.max("n").alias("n")).select("key", "n", "x.slice", "x.place", F.col("x.doc_id").alias("rep")))
+    # sets of fewer shingles equal all their partners
+    chosen = classes.where("n >= 4 and rep is not null").groupBy("slice").agg(F.collect_list("place").alias("places"))
     of_rows = keyed.join(classes.select("key", "rep"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     # rows that share a doc_id but not a set
     spread = of_rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all")).where("a <> b")
     same = spread.select("a", F.explode("all").alias("b"))
-    labels = components(links(docs, classes).union(same))
+    labels = components(links(docs, held, chosen, bits).union(same))
     named = of_rows.join(labels, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
