@@ -9,8 +9,8 @@ Texts are encoded by the libraries, part by part: A is cut at single spaces (see
 which is exact where no piece holds a space after another character; that is read off the vocabulary, and texts are encoded whole if one does.
 
 What is linked how often is counted over the corpus: each block, a slice of a task's rows, is one row with its links as codes of its own distinct
-pairs; only those pairs, with how often each stands in the block, are shuffled to be summed, and go back to their blocks as counts. No count
-and no vocabulary of pairs passes through the driver. A hot pair is one row for each block.
+pairs; only those pairs, with how often each stands in the block, are summed. The counts of up to SENT pairs of ids, a checked number that the
+vocabularies bound, are sent to the blocks; more go back to them by a join, in which a hot pair is one row for each block.
 
 Null and empty texts, and texts that either tokenizer doesn't give back byte for byte (one that holds U+2581), have no tokens: counts of zero and
 the empty string for the hash. Repeated rows count as often as they stand; an empty table gives no rows; other columns are not read.
@@ -36,12 +36,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bpe
-from .common import SLICE_BYTES, arrow_map, shared_path, table, texts
+from .common import SLICE_BYTES, arrow_map, checkpoint, shared_path, table, texts
 from .records import library_ids
 from .tokens import BYTE_BPE, Run, cache, ids_of, joined, strings
 
 PIECE_BPE = "piece_bpe_32k.model"
-LANE, BLOCK_BYTES, PARTS = 512, 6 << 20, 40_000
+LANE, BLOCK_BYTES, PARTS = 512, 8 << 20, 200_000
+#: As many pairs of ids travel to tasks, 16 bytes each.
+SENT = 1 << 21
 #: After the ids of a part that sentencepiece doesn't give back byte for byte.
 BAD = (1 << 32) - 1
 SPACE = re.compile("(?<! ) ")
@@ -257,7 +259,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, out, strict=True)], schema=out)
 
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(4 * batch.nbytes, 1))
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(2 * batch.nbytes, 1))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 got = align(part.column(1).to_pylist(), a_path, b_path)
@@ -275,27 +277,40 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
-    """Rows (block, told): for the pairs of each block, in order, twice the links of the corpus that they are, and one more if no pair of their b id is more."""
-    each = held.select("block", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "x"))
-    each = each.select((F.shiftleft("block", PLACES) + F.col("place")).alias("ref"), F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    total = each.groupBy("pair").agg(F.sum("times").alias("n"))
+    """Rows (pair, told): for each pair of ids twice the links of the corpus that it is, and one more if no pair of its b id is more."""
+    each = held.select(F.explode(F.arrays_zip("pairs", "times")).alias("x"))
+    total = each.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("n"))
     # a b id has as many pairs as there are a ids, at most
     most = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))))
-    counted = each.select("ref", "pair").join(total.select("pair", (2 * F.col("n") + (F.col("n") == most).cast("int")).alias("told")), "pair")
+    return total.select("pair", (2 * F.col("n") + (F.col("n") == most).cast("int")).alias("told"))
+
+
+def told_by_block(held: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (block, told): the counts of each block's pairs, in order, by a join."""
+    each = held.select("block", F.posexplode("pairs").alias("place", "pair"))
+    each = each.select((F.shiftleft("block", PLACES) + F.col("place")).alias("ref"), "pair").join(counts, "pair")
     told = F.sort_array(F.collect_list(F.struct("ref", "told")))
-    return counted.groupBy(F.shiftrightunsigned("ref", PLACES).alias("block")).agg(told.alias("x")).select("block", F.col("x.told").alias("told"))
+    return each.groupBy(F.shiftrightunsigned("ref", PLACES).alias("block")).agg(told.alias("x")).select("block", F.col("x.told").alias("told"))
 
 
-def link_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def link_digest(docs: DataFrame, a_path: str, b_path: str, most_sent: int = SENT) -> DataFrame:
     """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256). See the module; tokens aren't empty, so each group ends in one link.
 
-    A link's count is how many links of the corpus have its two ids. n_best: links whose count is the highest of their b id.
+    A link's count is how many links of the corpus have its two ids. n_best: links whose count is the highest of their b id. Up to most_sent
+    pairs of ids are sent to the blocks; more go to them by a join.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "alignment")
     blocks(docs, a_path, b_path).write.parquet(folder)
     held = spark.read.schema(BLOCK).parquet(folder)
-    rows = held.select("block", *DIGEST, "codes").join(pair_counts(held), "block", "left").drop("block")
+    counts = checkpoint(pair_counts(held))
+    if counts.count() <= most_sent:
+        table_ = counts.orderBy("pair").toArrow()
+        sent = spark.sparkContext.broadcast(tuple(table_.column(c).to_numpy() for c in ("pair", "told")))
+        rows = held.select(*DIGEST, "codes", "pairs")
+    else:
+        sent = None
+        rows = held.join(told_by_block(held, counts), "block", "left").select(*DIGEST, "codes", "told")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     schema = T.StructType([*(T.StructField(x, T.LongType()) for x in names), T.StructField("groups_sha256", T.StringType())])
 
@@ -303,13 +318,16 @@ def link_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         out = to_arrow_schema(schema)
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, n_a, n_b, links, sha, codes, told = (batch.column(i)[k] for i in range(7))
+                doc_ids, n_a, n_b, links, sha, codes, last = (batch.column(i)[k] for i in range(7))
                 codes = np.frombuffer(codes.as_py(), "<u4")
                 sums = [np.zeros(len(codes) + 1, np.int64) for _ in range(2)]
                 if len(codes):
-                    found = told.values.to_numpy()[codes]
-                    for total, x in zip(sums, (found & 1, found >> 1), strict=True):
-                        np.cumsum(x, out=total[1:])
+                    told = last.values.to_numpy()
+                    if sent is not None:
+                        pairs, counted = sent.value
+                        told = counted[np.searchsorted(pairs, told)]
+                    np.cumsum((told & 1)[codes], out=sums[0][1:])
+                    np.cumsum((told >> 1)[codes], out=sums[1][1:])
                 cuts = np.append(0, np.cumsum(links.values.to_numpy()))
                 made = [doc_ids.values, n_a.values, n_b.values, links.values, links.values, *(np.diff(x[cuts]) for x in sums), sha.values]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, out, strict=True)], schema=out)

@@ -89,8 +89,9 @@ def test_documents(spark, data, plain):
 def test_odd_rows(spark, plain):
     rows = list(enumerate(ODD)) + [(50, None), (None, "no id here"), (51, "twice the same"), (51, "twice the same"), (52, "word and other words " * 4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash")).withColumn("pairs", F.lit(1))
-    got = alignment.link_digest(df.repartition(5), A, B)
-    assert sorted(map(tuple, got.collect()), key=repr) == digests(rows, plain)
+    for most_sent in (alignment.SENT, 10):
+        got = alignment.link_digest(df.repartition(5), A, B, most_sent)
+        assert sorted(map(tuple, got.collect()), key=repr) == digests(rows, plain)
     assert alignment.link_digest(df.limit(0), A, B).count() == 0
     shown = {r["doc_id"]: r for r in alignment.token_groups(df, A, B).collect()}
     assert shown[3]["groups"] and shown[3]["ends"][-1] == 3 and shown[0]["ends"] == [] and shown[9]["groups"] == ""
