@@ -29,12 +29,12 @@ def cells_text(cells: dict[str, Column]) -> Column:
 def sheet_chunks(rows: DataFrame, sheet: list[str], order: list[str], line: Column, most: int = SHEET_ROWS) -> DataFrame:
     """Rows (sheet, n_rows, content): one record for each row of a sheet of more than `most` rows, else one for the sheet, its rows in order.
 
-    Sheets are counted before rows come together, so what is gathered has `most` rows at most. Rows without any value give nothing.
+    Sheets are counted before rows come together, so what is gathered has `most` rows at most. Rows without any value give nothing and don't count.
     """
-    lines = rows.select(*sheet, *order, line.alias("line"))
+    lines = rows.select(*sheet, *order, line.alias("line")).where("line <> ''")
     counted = lines.groupBy(*sheet).agg(F.count("*").alias("_n"))
     same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in sheet])
-    sized = lines.alias("l").join(counted.alias("c"), same).select("l.*", "_n").where("line <> ''")
+    sized = lines.alias("l").join(counted.alias("c"), same).select("l.*", "_n")
     single = sized.where(F.col("_n") > most).select(*sheet, F.lit(1).cast("long").alias("n_rows"), F.col("line").alias("content"))
     ordered = F.array_sort(F.collect_list(F.struct(*order, "line")))
     whole = sized.where(F.col("_n") <= most).groupBy(*sheet).agg(F.count("*").alias("n_rows"), ordered.alias("ls"))
