@@ -284,3 +284,11 @@ def s07(spark, d):
 
     rules = [("/fr/", "marketing", 2), ("blog.", "testimonial", 1), ("?", "reference", 3)]
     return by_rule(table(spark, d, "pages").select("page_id", "url"), rules, ("policy", 5))
+
+
+@query("s05_main_text")
+def s05_main(spark, d):
+    """The main text of all pages, by the extractor that finds more."""
+    from ..sources.maintext import main_blocks
+
+    return main_blocks(table(spark, d, "pages"))
