@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import build_queries, call_queries, knowledge_queries, more_queries, release_queries, retrieval_queries, rule_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import build_queries, call_queries, knowledge_queries, more_queries, personal_queries, release_queries, retrieval_queries, rule_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401
