@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from .common import arrow_map, table
 
 CALL = "struct<id:string,name:string,arguments:string,after:array<string>>"
+#: Arguments may be nested so deep; a message holds them three levels further down.
+DEEPEST = 500
 KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -40,13 +42,24 @@ def no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+def depth(value) -> int:
+    """How many objects and lists stand within each other, counted without recursion."""
+    deepest, level = 0, [value]
+    while level := [x for x in level if isinstance(x, (dict, list))]:
+        deepest += 1
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v)]
+    return deepest
+
+
 def parsed(text: str | None) -> tuple[object, str | None, str | None]:
     """(value, canonical form, error) of a call's arguments; null and empty text are no arguments.
 
-    What isn't JSON (NaN and Infinity, numbers out of range, unpaired surrogates among it) or is nested too deeply to walk is an error.
+    What isn't JSON (NaN and Infinity, numbers out of range, unpaired surrogates among it) or is nested deeper than DEEPEST is an error.
     """
     try:
         value = json.loads(text or "{}", parse_constant=no_constant)
+        if depth(value) > DEEPEST:
+            return None, None, "$: nested too deeply"
         form = canonical(value)
         form.encode()
     except ValueError:

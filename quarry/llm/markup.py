@@ -9,7 +9,7 @@ built and rendered without recursion, tables within tables too, and each tag cos
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
@@ -34,16 +34,18 @@ BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, **{x: {"tabl
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 SCOPE = frozenset("html body table td th caption object template".split())
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-#: Lists deeper than this are indented no further.
+#: Lists deeper than this are indented no further, and say how deep they are.
 MOST_INDENT = 40
+#: As HTML has it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hidden")
+    __slots__ = ("tag", "attributes", "children", "hidden", "parent")
 
     def __init__(self, tag: str, attributes: dict, hidden: bool):
-        self.tag, self.attributes, self.children, self.hidden = tag, attributes, [], hidden
+        self.tag, self.attributes, self.children, self.hidden, self.parent = tag, attributes, [], hidden, None
 
 
 class TreeBuilder(HTMLParser):
@@ -92,6 +94,8 @@ class TreeBuilder(HTMLParser):
                 self.pop()
         if tag == "form" and self.in_table():
             return
+        if tag == "table" and self.in_table():  # a table between the cells of another ends it
+            self.close_through({"table"}, set())
         if tag in ("td", "th") and self.open[-1].tag in ("table", *GROUPS):
             self.push("tr", {})
         self.push(tag, attributes)
@@ -105,10 +109,15 @@ class TreeBuilder(HTMLParser):
     def put(self, child, tag: str = "") -> None:
         """Adds a node or text; what a table can't hold goes before the table."""
         if tag not in IN_TABLE and self.in_table():
-            holder = self.open[self.last({"table"}) - 1].children
-            holder.insert(len(holder) - 1, child)
+            table_ = self.open[self.last({"table"})]
+            holder = table_.parent
+            at = next(i for i in reversed(range(len(holder.children))) if holder.children[i] is table_)
+            holder.children.insert(at, child)
         else:
-            self.open[-1].children.append(child)
+            holder = self.open[-1]
+            holder.children.append(child)
+        if isinstance(child, Node):
+            child.parent = holder
 
     def push(self, tag: str, attributes: dict) -> None:
         hidden = tag in UNSEEN or "hidden" in attributes or tag == "input" and attributes.get("type", "").lower() == "hidden" or bool(HIDDEN_STYLE.search(attributes.get("style", "")))
@@ -143,8 +152,8 @@ class Page:
     """Lines of text in the making: spaces collapse, blocks break, blank lines don't repeat."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.wait = [], "", 0, False
-        self.count, self.bars = 0, ""  # how often text was put; bars between cells that wait for text
+        self.lines: deque[str] = deque()
+        self.line, self.gap, self.wait = "", 0, False
 
     def text(self, data: str, kept: bool = False) -> None:
         if kept:
@@ -167,10 +176,9 @@ class Page:
     def put(self, data: str) -> None:
         if data:
             if self.gap and self.lines:
-                self.lines += [""] * (self.gap - 1)
-            self.gap, self.count = 0, self.count + 1
-            self.line += self.bars + data
-            self.bars = ""
+                self.lines.extend([""] * (self.gap - 1))
+            self.gap = 0
+            self.line += data
 
     def end(self, blank: bool = False) -> None:
         """Ends a line; blank asks for an empty line before what follows."""
@@ -180,33 +188,96 @@ class Page:
         self.line, self.wait = "", False
         self.gap = max(self.gap, 2 if blank else 1)
 
-    def result(self) -> str:
+    def result(self) -> deque[str]:
+        """The lines, without empty ones at either end; the page is done with."""
         self.end()
-        return "\n".join(self.lines).strip("\n")
+        while self.lines and not self.lines[0]:
+            self.lines.popleft()
+        while self.lines and not self.lines[-1]:
+            self.lines.pop()
+        return self.lines
+
+    def block(self, lines: deque[str]) -> None:
+        """Lines that are laid out already, between empty ones."""
+        self.end(True)
+        if lines:
+            if self.gap and self.lines:
+                self.lines.extend([""] * (self.gap - 1))
+            self.lines, self.gap = joined(self.lines, lines), 1
+        self.end(True)
+
+
+def joined(first: deque[str], then: deque[str]) -> deque[str]:
+    """Both one after the other, made of the longer of them: tables within tables cost what they hold, whatever their depth."""
+    if len(first) < len(then):
+        then.extendleft(reversed(first))
+        return then
+    first.extend(then)
+    return first
+
 
+def spanned(x: Node, name: str, most: int) -> int:
+    """A cell's colspan or rowspan; a rowspan of zero goes on to the end."""
+    text = x.attributes.get(name, "1").strip()
+    n = min(int(text), most) if text.isdecimal() and len(text) < 10 else 1
+    return n or (most if name == "rowspan" else 1)
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Rows as lines, columns padded to their widest cell. A row of one cell has no columns and widens none."""
-    widths: list[int] = []
+
+def grid(rows: list[list[tuple[deque[str], int, int]]]) -> list[list[deque[str]]]:
+    """Rows of cells (lines, columns, rows) as rows of columns of lines: what cells from above or from the left reach into is empty.
+
+    Columns in which no text begins are left out, so a heading over the whole table is no wider than the table.
+    """
+    placed, reach = [], {}
     for row in rows:
-        if len(row) > 1:
-            for i, cell in enumerate(row):
-                if i == len(widths):
-                    widths.append(0)
-                widths[i] = max(widths[i], len(cell))
-    return [" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip() if len(row) > 1 else row[0] for row in rows]
+        taken, at = {}, 0
+        for lines, wide, high in row:
+            while reach.get(at, 0) > 0:
+                at += 1
+            taken[at] = lines
+            if high > 1:
+                reach |= {c: high for c in range(at, at + wide)}
+            at += wide
+        reach = {c: n - 1 for c, n in reach.items() if n > 1}
+        placed.append(taken)
+    used = sorted({c for taken in placed for c, lines in taken.items() if lines})
+    return [[taken.get(c, deque()) for c in used] for taken in placed]
+
+
+def aligned(rows: list[list[deque[str]]]) -> deque[str]:
+    """Rows as lines, columns padded to their widest line; lines of one row stand side by side. A row of one cell, its first, has no columns and widens none."""
+    widths: dict[int, int] = {}
+    single = [not any(row[1:]) for row in rows]
+    for row in (row for row, one in zip(rows, single, strict=True) if not one):
+        for i, lines in enumerate(row):
+            widths[i] = max(widths.get(i, 0), max(map(len, lines), default=0))
+    out: deque[str] = deque()
+    for row, one in zip(rows, single, strict=True):
+        if one:
+            out = joined(out, row[0])
+            continue
+        columns = [list(lines) for lines in row]
+        for k in range(max(map(len, columns))):
+            cells = [lines[k] if k < len(lines) else "" for lines in columns]
+            last = max((i for i, c in enumerate(cells) if c), default=-1)
+            out.append(" | ".join(c.ljust(widths[i]) for i, c in enumerate(cells[: last + 1])).rstrip())
+    return out
 
 
 class Context:
-    """Where text goes: a page of its own for the document and for each cell, with the lists that are open in it."""
+    """Where text goes: a page of its own for the document and for each cell, with the lists and the rows of tables that are open in it."""
 
     def __init__(self):
-        self.page, self.lists, self.kept = Page(), [], 0
+        self.page, self.lists, self.kept, self.tables = Page(), [], 0, []
+
+
+def indent(depth: int) -> str:
+    return "  " * depth if depth <= MOST_INDENT else "  " * MOST_INDENT + f"[{depth}] "
 
 
 def render(root: Node) -> str:
     """The visible text below a node. What is left to do stands on one stack: nodes to open and close, rows and cells to end."""
-    contexts, rows = [Context()], []  # the document, and the cell of an outermost table; that table's rows
+    contexts = [Context()]  # the document, and cells within each other
     todo: list[tuple] = [("open", root)]
     while todo:
         what, x = todo.pop()
@@ -227,17 +298,17 @@ def render(root: Node) -> str:
             if tag == "hr":
                 continue
             if tag == "table":
-                inner = len(contexts) > 1
-                todo.append(("table_end", x) if not inner else ("close", x))
-                todo.extend(("inner_row" if inner else "row", c) for c in reversed(x.children))
+                here.tables.append([])
+                todo.append(("table_end", x))
+                todo.extend(("row", c) for c in reversed(x.children))
                 continue
             if tag == "li":
                 depth = max(0, len(lists) - 1)
                 if lists and lists[-1][0] == "ol":
                     lists[-1][1] += 1
-                    page.put("  " * min(depth, MOST_INDENT) + f"{lists[-1][1]}. ")
+                    page.put(indent(depth) + f"{lists[-1][1]}. ")
                 else:
-                    page.put("  " * min(depth, MOST_INDENT) + "- ")
+                    page.put(indent(depth) + "- ")
             elif tag in ("ul", "ol", "menu"):
                 start = x.attributes.get("start", "1").strip()
                 lists.append([tag, int(start) - 1 if start.isdecimal() and len(start) < 10 else 0])
@@ -263,7 +334,7 @@ def render(root: Node) -> str:
             if x.tag in GROUPS:
                 todo.extend(("row", c) for c in reversed(x.children))
             else:
-                rows.append([])
+                here.tables[-1].append([])
                 todo.extend(("cell", c) for c in (reversed(x.children) if x.tag == "tr" else [x]))
         elif what == "cell":
             if not isinstance(x, str) and not x.hidden:
@@ -271,37 +342,12 @@ def render(root: Node) -> str:
                 todo.append(("cell_end", x))
                 todo.extend(("open", c) for c in reversed(x.children))
         elif what == "cell_end":
-            span = x.attributes.get("colspan", "1").strip()
-            text = SPACES.sub(" ", contexts.pop().page.result()).strip()
-            rows[-1] += [text] + [""] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 10 else 0)
-        elif what == "table_end":
-            for line in aligned([r for r in rows if any(r)]):
-                page.put(line)
-                page.end()
-            rows = []
-            page.end(True)
-        elif what == "inner_row":  # a table within a cell: its cells stand side by side in that cell's line
-            if isinstance(x, str) or x.hidden:
-                continue
-            if x.tag in GROUPS:
-                todo.extend(("inner_row", c) for c in reversed(x.children))
-                continue
-            page.end()
-            todo.append(("inner_row_end", (page.count, page.bars)))
-            cells = [c for c in (x.children if x.tag == "tr" else [x]) if not isinstance(c, str) and not c.hidden]
-            for i in reversed(range(len(cells))):
-                todo.extend(("open", c) for c in reversed(cells[i].children))
-                todo.extend([("bar", None)] * (i > 0))
-        elif what == "bar":
-            page.bars += " | "
+            lines = contexts.pop().page.result()
+            contexts[-1].tables[-1][-1].append((lines, spanned(x, "colspan", MOST_COLUMNS), spanned(x, "rowspan", MOST_ROWS)))
         else:
-            count, bars = x
-            if page.count > count:
-                page.line, page.bars = page.line + page.bars.rstrip(), ""
-            else:
-                page.bars = bars
-            page.end()
-    return contexts[0].page.result()
+            rows = [r for r in grid(here.tables.pop()) if any(r)]
+            page.block(aligned(rows))
+    return "\n".join(contexts[0].page.result())
 
 
 def visible_text(html: str) -> str:
