@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.storage import checkpoint, shared_dir, shared_path  # noqa: F401
+
 SLICE_BYTES = 4 << 20
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not got.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return got.get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over columns as Python lists. make() runs once a task and gives the function that maps a slice of a batch.
 
@@ -69,15 +46,26 @@ def texts(docs: DataFrame, *keep: str, as_bytes: bool = False) -> DataFrame:
     return docs.select("doc_id", *keep, (text.cast("binary") if as_bytes else text).alias("text"))
 
 
+#: Bytes of an entry beside its key's and value's own.
+ENTRY = 100
+
+
+def size_of(x) -> int:
+    """Bytes or characters of a key or value, about."""
+    if isinstance(x, (str, bytes)):
+        return len(x)
+    return sum(map(size_of, x)) if isinstance(x, tuple) else 8
+
+
 class TwoGenerations(dict):
-    """A bounded cache: what was not used since the last change of generations goes.
+    """A cache bounded in entries and in bytes: what was not used since the last change of generations goes.
 
     `make(keys)` gives the values of keys that are not known; None is no value.
     """
 
-    def __init__(self, make: Callable[[list], list], limit: int = 200_000):
+    def __init__(self, make: Callable[[list], list], limit: int = 200_000, most_bytes: int = 64 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.most_bytes, self.held, self.old = make, limit, most_bytes, 0, {}
 
     def values_of(self, keys: list) -> list:
         """The value of each key, in order."""
@@ -87,8 +75,8 @@ class TwoGenerations(dict):
 
     def values_of_distinct(self, keys: list) -> list:
         """The value of each key, in order; no key stands twice."""
-        if len(self) > self.limit:
-            self.old = dict(self)
+        if len(self) > self.limit or self.held > self.most_bytes:
+            self.old, self.held = dict(self) if self.held <= 2 * self.most_bytes else {}, 0
             self.clear()
         got = list(map(self.get, keys))
         missing = []
@@ -102,6 +90,7 @@ class TwoGenerations(dict):
             fresh = [keys[i] for i in missing]
             made = self.make(fresh)
             self.update(zip(fresh, made, strict=True))
+            self.held += ENTRY * len(fresh) + sum(map(size_of, fresh)) + sum(map(size_of, made))
             for i, value in zip(missing, made, strict=True):
                 got[i] = value
         return got

@@ -32,6 +32,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: high bytes, which vary less, follow each other."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys by their differences, which wrap around where a new range begins."""
+    return packed(np.diff(keys, prepend=np.uint32(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint32), dtype=np.uint32)
+
+
 class Hasher(dict):
     """64-bit hashes of words; short ones are remembered, as many as fit a bound."""
 
@@ -124,7 +145,7 @@ def slices(docs: DataFrame, bits: int) -> DataFrame:
                 starts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 keys = (h >> np.uint64(32 - bits)).astype(np.uint32)
                 own = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                yield batch_of(SLICE, [[x] for x in (number, part.column(0).to_pylist(), sizes, own, starts, keys.tobytes(), owner[order].tobytes())])
+                yield batch_of(SLICE, [[x] for x in (number, part.column(0).to_pylist(), sizes, own, starts, packed_keys(keys), packed(owner[order]))])
                 number += 1
 
     return texts(docs, as_bytes=True).mapInArrow(run, SLICE)
@@ -145,25 +166,25 @@ def set_counts(held: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 number, starts, raw = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_numpy(), batch.column(2)[k].as_py()
-                keys = np.frombuffer(raw, np.uint32)
+                keys = unpacked_keys(raw)
                 at = np.flatnonzero(firsts(keys, starts))
                 times = np.minimum(np.diff(np.append(at, len(keys))), 255).astype(np.uint8)
                 cuts = np.searchsorted(at, starts)
                 full = np.flatnonzero(np.diff(cuts))
-                parts = [(keys[at[x:y]].tobytes(), times[x:y].tobytes()) for x, y in zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True)]
+                parts = [(packed_keys(keys[at[x:y]]), packed(times[x:y])) for x, y in zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True)]
                 yield batch_of(ASKED, [full, [number] * len(full), [x for x, _ in parts], [y for _, y in parts]])
 
     def count(rows: pa.Table) -> pa.Table:
-        raw = rows.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(raw), np.uint32)
-        times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
+        parts = [unpacked_keys(x) for x in rows.column("keys").to_pylist()]
+        keys = np.concatenate(parts)
+        times = np.concatenate([unpacked(x, np.uint8) for x in rows.column("times").to_pylist()])
         order = np.argsort(keys)
         first = np.flatnonzero(firsts(keys[order], np.zeros(1, np.int64)))
         total = np.minimum(np.add.reduceat(times[order], first, dtype=np.int64), 255) if len(first) else np.zeros(0, np.int64)
         back = np.empty(len(keys), np.uint8)
         back[order] = np.repeat(total, np.diff(np.append(first, len(keys))))
-        cuts = np.append(0, np.cumsum([len(x) // 4 for x in raw])).tolist()
-        told = [back[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+        cuts = np.append(0, np.cumsum(list(map(len, parts)))).tolist()
+        told = [packed(back[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
         return pa.Table.from_batches([batch_of(TOLD, [rows.column("range").to_pylist(), rows.column("slice").to_pylist(), told])])
 
     asked = held.select("slice", "starts", "keys").mapInArrow(ask, ASKED)
@@ -246,9 +267,8 @@ def index(held: DataFrame, told: DataFrame, chosen: DataFrame, bits: int) -> Dat
                 reps, sizes, starts = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(3))
                 kept = np.zeros(len(sizes), bool)
                 kept[batch.column(6)[k].values.to_numpy()] = True
-                keys, raw = np.frombuffer(batch.column(3)[k].as_py(), np.uint32), batch.column(4)[k].as_py()
-                owner = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(keys) else np.uint32)
-                counts = np.frombuffer(b"".join(x["counts"] for x in batch.column(5)[k].as_py()), np.uint8)
+                keys, owner = unpacked_keys(batch.column(3)[k].as_py()), unpacked(batch.column(4)[k].as_py(), np.uint16 if len(sizes) <= 1 << 16 else np.uint32)
+                counts = np.concatenate([unpacked(x["counts"], np.uint8) for x in batch.column(5)[k].as_py()])
                 count = counts[np.cumsum(firsts(keys, starts)) - 1]
                 token = np.repeat(np.arange(1 << bits, dtype=np.uint64), np.diff(starts)) << np.uint64(32) | keys
                 mine = kept[owner]

@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, keep_rows, table, texts
 
-FIT_DOCS, LEAST_COUNT, SHARE = 5_000, 3, 0.2
+FIT_DOCS, LEAST_RATE, SHARE = 5_000, 3e-7, 0.2
 COUNT_CHARS = 1 << 20
-#: A language whose sample has fewer n-grams keeps those seen once.
-RARE = 20_000
 GRAM, PROBES, BITS_PER_GRAM = 4, 3, 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -131,15 +129,14 @@ class Filters:
 def fit(labelled: DataFrame, most: int = FIT_DOCS) -> Filters:
     """Filters from rows (doc_id, text, lang), `most` of each language. A language holds an n-gram whose rate there is SHARE of the highest rate at least.
 
-    Nothing of what the sample shows is left out but n-grams seen under LEAST_COUNT times; a language of few documents keeps those too.
+    N-grams of a rate below LEAST_RATE are left out, whatever the size of the sample.
     """
     sample = sample_by_language(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), most)
     counts = gram_counts(sample)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
-    least = F.when(F.col("total") < RARE, 1).otherwise(LEAST_COUNT)
-    kept = rated.join(top, "gram").where((F.col("n") >= least) & (F.col("rate") >= SHARE * F.col("top"))).select("lang", "gram").toArrow()
+    kept = rated.join(top, "gram").where((F.col("rate") >= LEAST_RATE) & (F.col("rate") >= SHARE * F.col("top"))).select("lang", "gram").toArrow()
     langs, grams = kept["lang"].to_numpy(), kept["gram"].to_numpy()
     order = np.argsort(langs, kind="stable")
     names, starts = np.unique(langs[order], return_index=True) if len(langs) else ([], [])
