@@ -41,7 +41,7 @@ from .records import library_ids
 from .tokens import BYTE_BPE, Run, cache, ids_of, joined, strings
 
 PIECE_BPE = "piece_bpe_32k.model"
-LANE, BLOCK_BYTES, PARTS = 512, 8 << 20, 200_000
+LANE, BLOCK_BYTES, PARTS = 512, 8 << 20, 80_000
 #: As many pairs of ids travel to tasks, 16 bytes each.
 SENT = 1 << 21
 #: After the ids of a part that sentencepiece doesn't give back byte for byte.
@@ -259,7 +259,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, out, strict=True)], schema=out)
 
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(2 * batch.nbytes, 1))
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(8 * batch.nbytes, 1))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 got = align(part.column(1).to_pylist(), a_path, b_path)
