@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import calls, turns
-from ..streaming import commits, extraction, opportunities, utterances
+from ..streaming import commits, extraction, hub, opportunities, utterances
 from .call_queries import CLOCK_SQL
 from .registry import query, table
 
@@ -133,3 +133,25 @@ def s20(spark, d):
 @query("t20_transcript_by_utterance", f"WITH {RECOGNIZED_SQL} SELECT conv_id, utterance_id, arg_max(text, (final, seq)) AS text, bool_or(final) AS final FROM u GROUP BY ALL")
 def t20(spark, d):
     return utterances.transcript(utterances.numbered(recognized(spark, d))).select(F.col("call").alias("conv_id"), "utterance_id", "text", "final")
+
+
+@query("k05_nudge_state", """
+WITH u AS (SELECT user_id, event_type, ts, event_id, CASE WHEN value > 10 THEN value END AS value, CASE WHEN event_id % 3 = 0 THEN props END AS props FROM events)
+SELECT user_id, event_type, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL) AS value, arg_max(props, (ts, event_id)) FILTER (props IS NOT NULL) AS props FROM u GROUP BY ALL""")
+def k05(spark, d):
+    """Events as updates of a user's nudges, each with some of their fields."""
+    updates = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", F.when(F.col("value") > 10, F.col("value")).alias("value"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("props"))
+    return hub.latest_fields(updates, ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"])
+
+
+@query("k05_history", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events QUALIFY nth <= 1000")
+def k05_history(spark, d):
+    return hub.recent(table(spark, d, "events"), "event_type", ["ts", "event_id"]).select("event_type", "event_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query("k07_snapshot", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events QUALIFY nth <= 300)
+SELECT event_type, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY nth DESC) AS ids FROM r GROUP BY event_type""")
+def k07(spark, d):
+    found = hub.snapshot(table(spark, d, "events").select("event_type", "ts", "event_id"), "event_type", ["ts", "event_id"])
+    return found.select("event_type", "n", F.array_join(F.transform("events", lambda e: F.get_json_object(e, "$.event_id")), ",").alias("ids"))
