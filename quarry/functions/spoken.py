@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Number words.
 ENGLISH = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -24,10 +22,15 @@ HINDI = """शून्य एक दो तीन चार पाँच छह
 ENGLISH_MONTHS = "January February March April May June July August September October November December".split()
 INDONESIAN_MONTHS = "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split()
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-#: Sizes that numbers are counted in, the largest first.
-WESTERN = ((10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred"))
-INDIAN = ((10**7, "crore"), (10**5, "lakh"), (1000, "thousand"), (100, "hundred"))
-INDIAN_HINDI = ((10**7, "करोड़"), (10**5, "लाख"), (1000, "हज़ार"), (100, "सौ"))
+#: The groups of digits that each language counts in: from which power of ten, and its name; a hundred stands within a group.
+GROUPS = {
+    "en": ((9, "billion"), (6, "million"), (3, "thousand"), (2, "hundred")),
+    "en_IN": ((7, "crore"), (5, "lakh"), (3, "thousand"), (2, "hundred")),
+    "hi": ((7, "करोड़"), (5, "लाख"), (3, "हज़ार"), (2, "सौ")),
+    "id": ((9, "miliar"), (6, "juta"), (3, "ribu"), (2, "ratus")),
+}
+#: One of these is said in one word.
+ONE_OF = {"ratus": "seratus", "ribu": "seribu"}
 
 #: What the words of a phrase are to the grammar: u a unit, e ten to nineteen, t a ten, h hundred, s a larger size, a "and", d digits.
 _KINDS = {w: ("u" if i < 10 else "e", float(i)) for i, w in enumerate(ENGLISH)} | {w: ("t", 20.0 + 10 * i) for i, w in enumerate(ENGLISH_TENS)}
@@ -63,44 +66,36 @@ def spoken_number(text: Column) -> Column:
     return F.when(n == F.floor(n), n.cast("long"))
 
 
-def in_sizes(n: int, small, sizes: tuple) -> str:
-    """A number by sizes, each with how many there are of it, then what is under the smallest size. small(n) says that."""
-    out = []
-    for size, name in sizes:
-        many, n = divmod(n, size)
-        if many:
-            out.append(f"{in_sizes(many, small, sizes)} {name}")
-    return " ".join(out + [small(n)] * (n > 0 or not out))
+def below_hundred(language: str) -> list[str]:
+    """The names of 0 to 99."""
+    if language == "hi":
+        return HINDI
+    if language == "id":
+        teens = [*INDONESIAN, *(f"{u} belas" for u in INDONESIAN[2:10])]
+        return [teens[i] if i < 20 else f"{INDONESIAN[i // 10]} puluh" + f" {INDONESIAN[i % 10]}" * (i % 10 > 0) for i in range(100)]
+    return [ENGLISH[i] if i < 20 else ENGLISH_TENS[i // 10 - 2] + f" {ENGLISH[i % 10]}" * (i % 10 > 0) for i in range(100)]
 
 
-def english(n: int, sizes: tuple = WESTERN) -> str:
-    return in_sizes(n, lambda x: ENGLISH[x] if x < 20 else " ".join([ENGLISH_TENS[x // 10 - 2]] + [ENGLISH[x % 10]] * (x % 10 > 0)), sizes)
-
-
-def hindi(n: int) -> str:
-    return in_sizes(n, HINDI.__getitem__, INDIAN_HINDI)
-
-
-def indonesian(n: int) -> str:
-    """Like other sizes, but a single hundred or thousand is one word: seratus, seribu."""
-    small = lambda x: INDONESIAN[x] if x < 12 else f"{INDONESIAN[x - 10]} belas" if x < 20 else " ".join([f"{INDONESIAN[x // 10]} puluh"] + [INDONESIAN[x % 10]] * (x % 10 > 0))
-    said = in_sizes(n, small, ((10**9, "miliar"), (10**6, "juta"), (1000, "ribu"), (100, "ratus")))
-    words = f" {said} ".replace(" satu ratus ", " seratus ")
-    return (words.replace(" satu ribu ", " seribu ", 1) if 1000 <= n % 10**6 < 2000 else words).strip()
-
-
-SAY = {"en": english, "en_IN": lambda n: english(n, INDIAN), "hi": hindi, "id": indonesian}
+def _words(n: Column, language: str, digits: int) -> Column:
+    """Numbers under 10 ** digits in words, null for zero: each group is a column of its own, and empty ones fall away."""
+    if digits <= 2:
+        return F.when(n > 0, F.get(F.array(*map(F.lit, below_hundred(language))), n.cast("int")))
+    parts, above = [], digits
+    for power, name in GROUPS[language]:
+        if power >= above:
+            continue
+        count = F.floor(n / F.lit(10**power)) % 10 ** (above - power)
+        said = F.concat(_words(count, language, above - power), F.lit(f" {name}"))
+        parts.append(F.when(count == 1, ONE_OF[name]).otherwise(said) if name in ONE_OF else said)
+        above = power
+    return F.nullif(F.concat_ws(" ", *parts, _words(n % 100, language, 2)), F.lit(""))
 
 
 def in_words(n: Column, language: str = "en_IN") -> Column:
-    """Whole numbers in words; negative ones with minus. Number words have no rule that columns could hold, so this is a pandas UDF."""
-    say = SAY[language]
-
-    @F.pandas_udf(T.StringType())
-    def said(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if pd.isna(x) else ("minus " if x < 0 else "") + say(abs(int(x))))
-
-    return said(n.cast("long"))
+    """Whole numbers of up to fifteen digits in words; negative ones with minus, longer ones null."""
+    size = F.abs(n.cast("long"))
+    said = F.when(size == 0, below_hundred(language)[0]).when(size < 10**5, _words(size, language, 5)).otherwise(_words(size, language, 15))
+    return F.when(size < 10**15, F.concat(F.when(n < 0, "minus ").otherwise(""), said))
 
 
 def amount_in_words(amount: Column, currency: str) -> Column:
@@ -122,18 +117,31 @@ def date_spoken(day: Column, market: str = "in") -> Column:
     return {"in": F.concat_ws(" ", number, month), "ph": F.concat_ws(" ", month, number), "id": F.concat_ws(" ", F.lit("tanggal"), number, month)}[market]
 
 
+#: Days that need no "on", and parts of a day.
+NEAR_DAYS, PARTS = ("today", "tomorrow", "tonight"), ("morning", "afternoon", "evening")
+CLOCK = r"^\d{1,2}(:\d\d)?"
+
+
 def when_spoken(text: Column) -> Column:
-    """A time as it was typed, made to follow "will call you": sunday 3pm becomes on Sunday at 3 PM."""
-    days = "|".join(WEEKDAYS)
-    t = F.regexp_replace(F.trim(text), r"(?i)(\d{1,2}(?::\d\d)?)\s*([ap])\.?m\b", "$1 $2m")
-    t = F.regexp_replace(F.regexp_replace(t, r"(\d) [aA]m\b", "$1 AM"), r"(\d) [pP]m\b", "$1 PM")
-    for day in WEEKDAYS:
-        t = F.regexp_replace(t, rf"(?i)\b{day}\b", day.capitalize())
-    t = F.regexp_replace(t, rf"^(?i)({days}|today|tomorrow|tonight)[ ,]+(?=\d)", "$1 at ")
-    weekend = F.regexp_replace(F.regexp_replace(t, r"^(?i)(?:this |the )?weekend", ""), r"(?i)[ ,]+(morning|afternoon|evening)$", ", in the $1")
+    """A time as it was typed, made to follow "will call you": sunday 3pm becomes on Sunday at 3 PM.
+
+    Words are read one by one: hours get their half of the day, weekdays a capital, and the words that come first say what stands before them.
+    """
+    apart = F.split(F.regexp_replace(F.trim(text), r"(\d)(?=[aApP]\.?[mM]\b)", "$1 "), " +")
+    bare = F.transform(apart, lambda w: F.regexp_replace(F.lower(w), "[,.]", ""))
+    at = lambda i: F.coalesce(F.get(bare, F.lit(i) if isinstance(i, int) else i), F.lit(""))
+    half = lambda w, i: at(i).isin("am", "pm") & at(i - 1).rlike(CLOCK + "$")
+    shown = F.transform(apart, lambda w, i: F.when(half(w, i), F.upper(F.regexp_replace(w, r"\.", ""))).when(at(i).isin(*WEEKDAYS), F.initcap(w)).otherwise(w))
+    rest = lambda k: F.array_join(F.slice(shown, F.lit(k + 1), F.greatest(F.size(shown) - k, F.lit(0))), " ")
+    first, then_hour = F.regexp_replace(shown[0], ",$", ""), at(1).rlike(CLOCK)
+    day = F.when(then_hour, F.concat(first, F.lit(" at "), rest(1))).otherwise(rest(0))
+    skip = F.when(at(0) == "weekend", 1).when(at(0).isin("this", "the") & (at(1) == "weekend"), 2)
+    later = F.array_join(F.filter(shown, lambda w, i: i >= skip), " ")
+    part = F.when((F.size(shown) == skip + 1) & F.lower(later).isin(*PARTS), F.concat(F.lit(", in the "), later)).when(later != "", F.concat(F.lit(" "), later)).otherwise("")
     return (
-        F.when(t.rlike(rf"^(?i)(?:{days})\b"), F.concat(F.lit("on "), t))
-        .when(t.rlike(r"^(?i)(?:this |the )?weekend\b"), F.concat(F.lit("on the weekend"), weekend))
-        .when(t.rlike(r"^\d"), F.concat(F.lit("at "), t))
-        .otherwise(t)
+        F.when(at(0).isin(*WEEKDAYS), F.concat(F.lit("on "), day))
+        .when(at(0).isin(*NEAR_DAYS), day)
+        .when(skip.isNotNull(), F.concat(F.lit("on the weekend"), part))
+        .when(at(0).rlike(r"^\d"), F.concat(F.lit("at "), rest(0)))
+        .otherwise(rest(0))
     )

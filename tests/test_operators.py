@@ -123,11 +123,13 @@ def test_turn_columns(spark):
 
 
 def test_number_words(spark):
-    assert [spoken.hindi(n) for n in (0, 7500, 1_000_000, 99)] == ["शून्य", "सात हज़ार पाँच सौ", "दस लाख", "निन्यानवे"]
-    assert [spoken.indonesian(n) for n in (1_250_000, 1000, 121_000, 15, 100, 21_001_000)] == ["satu juta dua ratus lima puluh ribu", "seribu", "seratus dua puluh satu ribu", "lima belas", "seratus", "dua puluh satu juta seribu"]
+    said = lambda ns, language: [r[0] for r in spark.createDataFrame(list(enumerate(ns)), "i int, n long").orderBy("i").select(spoken.in_words(F.col("n"), language)).collect()]
+    assert said([0, 7500, 1_000_000, 99, 12_00_00_000_000], "hi") == ["शून्य", "सात हज़ार पाँच सौ", "दस लाख", "निन्यानवे", "बारह हज़ार करोड़"]
+    assert said([1_250_000, 1000, 121_000, 15, 100, 21_001_000], "id") == ["satu juta dua ratus lima puluh ribu", "seribu", "seratus dua puluh satu ribu", "lima belas", "seratus", "dua puluh satu juta seribu"]
+    assert said([310_020, 7, 2_000_000_100, None], "en") == ["three hundred ten thousand twenty", "seven", "two billion one hundred", None]
     assert one(spark, "11320", spoken.amount_in_words(F.col("x").cast("double"), "INR")) == "eleven thousand three hundred rupees"
     assert one(spark, "-5", spoken.in_words(F.col("x").cast("long"))) == "minus five"
-    for typed, read in [("sunday 3pm", "on Sunday at 3 PM"), ("tomorrow, 11:30 am", "tomorrow at 11:30 AM"), ("the weekend evening", "on the weekend, in the evening"), ("6 pm", "at 6 PM"), ("later", "later")]:
+    for typed, read in [("sunday 3pm", "on Sunday at 3 PM"), ("tomorrow, 11:30 am", "tomorrow at 11:30 AM"), ("the weekend evening", "on the weekend, in the evening"), ("6 pm", "at 6 PM"), ("later", "later"), ("Friday, 9:15 P.M.", "on Friday at 9:15 PM"), ("this weekend", "on the weekend"), ("weekend after 4pm", "on the weekend after 4 PM"), ("tonight", "tonight")]:
         assert one(spark, typed, spoken.when_spoken(F.col("x"))) == read
 
 
