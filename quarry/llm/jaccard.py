@@ -11,8 +11,8 @@ Equal sets are one class first, by a 128-bit hash; the class's smallest doc_id s
   follows the length: partners' lengths lie in one or two neighbouring levels, so each set is indexed for both levels that it may meet in,
   and the pairs of a long head stay in proportion to it.
 - Each indexed combination's sets are held first against one of them, its leader, the one with the smallest share of shingles of its own, so a group
-  of thousands of near copies costs its size and not its square. Combinations that still hold several components get another leader, and only
-  those that hold several after that pair up sets of different components. Lengths, how many shingles are a set's own, and bitmaps of the others
+  of thousands of near copies costs its size and not its square. Only combinations that still hold several components pair up sets of different
+  ones. Lengths, how many shingles are a set's own, and bitmaps of the others
   (a bit that one set has and the other doesn't is a shingle that they don't share) bound what two sets can have in common; pairs that can't be
   similar enough are not formed.
 - Candidates are verified on their whole sets. 64-bit hashes stand for shingles throughout.
@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,8 +46,6 @@ from .simhash import LOWER
 SHINGLE, FREQUENT = 5, 64
 #: Similarity of 80 in a hundred.
 SHARE, WHOLE = 4, 5
-#: How many more leaders combinations get before sets are paired up.
-LEADERS = 1
 #: Hashes counted in one group; bytes of text for each, about; the shingles of a class and length.
 RANGE, SHINGLE_BYTES, CLASS = 1 << 22, 6, 8
 WORDS, WORD_BYTES = 400_000, 48
@@ -317,13 +315,13 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return arrow_map(rows.select("a", "b", "x", "y"), similar, "a long, b long").distinct()
 
 
-def leader_pairs(rows: DataFrame, first: Column, many: int) -> DataFrame:
-    """Pairs (a, b): each set with the leaders, `many` at most, that it shares most combinations with; a combination's leader is the first by the column `first`, then by rep."""
-    lead = rows.groupBy("sig").agg(F.min(F.struct(first.alias("at"), "rep", "n", "most")).alias("x"), F.count("*").alias("held")).where("held > 1")
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set with the leader that it shares most combinations with; a combination's leader is the set with the smallest share of shingles of its own."""
+    lead = rows.groupBy("sig").agg(F.min(F.struct((1 - F.col("most") / F.col("n")).alias("at"), "rep", "n", "most")).alias("x"), F.count("*").alias("held")).where("held > 1")
     lead = lead.select("sig", F.col("x.rep").alias("b"), F.col("x.n").alias("m"), F.col("x.most").alias("most_other"))
     met = rows.join(lead, "sig").where(fits(F.col("n"), F.col("m"), F.least("most", "most_other")) & (F.col("rep") != F.col("b")))
-    shared = met.groupBy("rep", "b").count().withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("count"), "b")))
-    return shared.where(F.col("nth") <= many).select(F.col("rep").alias("a"), "b")
+    shared = met.groupBy("rep", "b").count()
+    return shared.groupBy("rep").agg(F.max(F.struct("count", "b")).alias("x")).select(F.col("rep").alias("a"), F.col("x.b").alias("b"))
 
 
 def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -356,14 +354,12 @@ def links(docs: DataFrame, held: DataFrame, chosen: DataFrame, bits: int) -> Dat
     indexed = spark.read.schema(INDEX).parquet(folder)
     # a set that has too many shingles of its own has no partner of any length
     rows = indexed.select("sig", "rep", "n", "most").where(fits(F.col("most"), F.col("n"), F.col("most")))
-    found = checkpoint(verified(docs, checkpoint(leader_pairs(rows, 1 - F.col("most") / F.col("n"), 1))))
-    for turn in range(LEADERS + 1):
-        rows = checkpoint(open_rows(rows.drop("c"), components(found)))
-        if rows.isEmpty():
-            break
-        pairs = leader_pairs(rows, F.xxhash64("rep", F.lit(turn)), 4) if turn < LEADERS else pairs_between(rows, indexed.select("rep", *BITS).distinct())
-        found = checkpoint(found.union(verified(docs, checkpoint(pairs))))
-    return found
+    found = checkpoint(verified(docs, checkpoint(leader_pairs(rows))))
+    left = checkpoint(open_rows(rows, components(found)))
+    if left.isEmpty():
+        return found
+    pairs = checkpoint(pairs_between(left, indexed.select("rep", *BITS).distinct()))
+    return found.union(verified(docs, pairs))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
