@@ -85,14 +85,15 @@ def match_expected(expected: DataFrame, shown: DataFrame, early: float = 1.0) ->
     """Expectations (run, key, seq, lo, hi) matched one to one with nudges (run, key, at, id): each takes the first free one in its window.
 
     The greedy order is sequential where windows overlap. Windows that don't, even through others, can't compete; so time is cut into
-    islands of overlapping windows, and a task holds one island at a time.
+    islands of overlapping windows, and a task holds one island at a time, without nudges that no window reaches.
     """
     want = expected.select("run", "key", F.lit(0).alias("kind"), F.col("seq").alias("id"), (F.col("lo") - early).alias("lo"), "hi")
     got = shown.select("run", "key", F.lit(1).alias("kind"), "id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     w = Window.partitionBy("run", "key").orderBy("lo", "kind", "id")
     reached = F.max(F.when(F.col("kind") == 0, F.col("hi"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when((F.col("kind") == 0) & (reached.isNull() | (F.col("lo") > reached)), 1).otherwise(0)
-    placed = want.union(got).withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(w)).drop("_fresh")
+    placed = want.union(got).withColumn("_fresh", fresh).withColumn("_reached", reached).withColumn("island", F.sum("_fresh").over(w))
+    placed = placed.where((F.col("kind") == 0) | (F.col("lo") <= F.col("_reached"))).drop("_fresh", "_reached")
     return in_order(placed, ["run", "key", "island"], ["kind"], _Island, "run long, key string, seq long, id long, found boolean")
 
 
