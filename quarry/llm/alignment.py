@@ -5,8 +5,8 @@ over all documents of a block, so that one NumPy state vector holds the A and B
 every lane, emits a link, and a cut of groups, where they are equal, and moves on whichever ends first, or both; finished lanes are compacted away.
 A document is one lane, a long one a lane for each LANE bytes, whose pointers begin at the first ends beyond, so that no document makes the rest wait.
 
-Texts are encoded by the libraries, part by part: A is cut at single spaces (see bpe.chunks), B at spaces that follow another character,
-which is exact where no piece holds a space after another character; that is read off the vocabulary, and texts are encoded whole if one does.
+Texts are encoded by libraries: A whole, by tiktoken with the merges of the tokenizers file, B part by part, cut at spaces that follow another
+character, which is exact where no piece holds a space after another character; that is read off the vocabulary, and texts are encoded whole if one does.
 
 What is linked how often is counted over the corpus: each block, a slice of a task's rows, is one row with its links as codes of its own distinct
 pairs; only those pairs, with how often each stands in the block, are summed. The counts of up to SENT pairs of ids, a checked number that the
@@ -44,6 +44,8 @@ PIECE_BPE = "piece_bpe_32k.model"
 LANE, BLOCK_BYTES, PARTS = 512, 8 << 20, 80_000
 #: As many pairs of ids travel to tasks, 16 bytes each.
 SENT = 1 << 21
+#: Characters of a word beyond which tiktoken isn't asked.
+LONGEST = 2000
 #: After the ids of a part that sentencepiece doesn't give back byte for byte.
 BAD = (1 << 32) - 1
 SPACE = re.compile("(?<! ) ")
@@ -116,9 +118,36 @@ def piece_maker(path: str) -> Callable[[list], list]:
     return make
 
 
+@functools.lru_cache(2)
+def byte_encoding(path: str):
+    """The byte-level BPE of a tokenizers file as a tiktoken encoding: its ids ascend with its merges, so they are ranks as well; None where they don't."""
+    import tiktoken
+
+    ranks = bpe.json_ranks(path)
+    made = [made for _, made in sorted(ranks.pairs.values())]
+    if made != sorted(set(made)) or not all_bytes(path):
+        return None
+    known = {*made, *ranks.byte_ids.tolist()}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for t, i in ranks.ids.items() if i in known}, special_tokens={})
+
+
+def is_broken_up(text: str) -> bool:
+    """Whether no word and no white space of a text is longer than LONGEST: tiktoken's time grows with the square of those."""
+    if len(text) <= LONGEST:
+        return True
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) <= LONGEST and len(text) - sum(sizes) - len(sizes) <= LONGEST
+
+
 def byte_ids(path: str, items: list[str]) -> list[np.ndarray]:
-    """Ids of a space and each text by the tokenizers library; special strings are plain text."""
-    return ids_of(cache(("library", path), library_ids(path), PARTS), [" " + x for x in items])
+    """Ids of a space and each text; special strings are plain text. Texts with very long words go to the tokenizers library."""
+    encoding = byte_encoding(path)
+    quick = [encoding is not None and is_broken_up(x) for x in items]
+    out = [encoding.encode_to_numpy(" " + x, disallowed_special=()) if q else np.zeros(0, np.uint32) for x, q in zip(items, quick, strict=True)]
+    slow = [i for i, q in enumerate(quick) if not q]
+    for i, ids in zip(slow, ids_of(cache(("library", path), library_ids(path), PARTS), [" " + items[i] for i in slow]) if slow else [], strict=True):
+        out[i] = ids
+    return out
 
 
 def piece_ids(path: str, items: list[str]) -> list[np.ndarray]:
