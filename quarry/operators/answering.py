@@ -19,29 +19,37 @@ from ..functions.spoken import number_in
 
 @dataclass(frozen=True)
 class Cues:
-    """Words that speakers of a market use: what says yes and no, what leaves open, what adds nothing, what makes an amount a month's."""
+    """Words that speakers of a market use: what says yes and no, what leaves open, what adds nothing, what makes an amount a month's.
+
+    The defaults are few; a market's own lists come from its rule file.
+    """
 
     yes: tuple[str, ...] = ("yes", "yeah", "yep", "yup", "sure", "of course", "correct", "right", "haan", "oo", "iya")
     no: tuple[str, ...] = ("no", "nope", "nah", "not", "none", "never", "dont", "nothing", "nahi", "tidak")
     unsure: tuple[str, ...] = ("maybe", "perhaps", "probably", "not sure", "i think", "i guess")
     courtesy: tuple[str, ...] = ("please", "thanks", "sir", "madam", "ji", "um", "uh")
-    fillers: tuple[str, ...] = ("i", "we", "do", "have", "any", "of", "us", "is", "it", "that", "thats", "this")
-    beside_numbers: tuple[str, ...] = ("i", "im", "am", "hes", "shes", "is", "its", "it", "my", "age", "years", "year", "old", "about", "around", "just", "only", "rupees", "per", "a", "of")
+    fillers: tuple[str, ...] = ("we", "us", "of", "do", "have")
+    beside_numbers: tuple[str, ...] = ("i", "am", "just", "years", "old", "about", "rupees", "per", "a", "year")
     monthly: tuple[str, ...] = ("month", "monthly")
-    leads: tuple[str, ...] = ("my name is", "this is", "i am", "im", "its", "i live in", "i am from", "im from", "im based in", "from", "in", "yeah", "yes")
+    leads: tuple[str, ...] = ("my name is", "its", "im based in", "yeah")
 
 
 ENGLISH = Cues()
 
 
+#: A number, its digits in groups or not, maybe in thousands; or a word, which apostrophes and hyphens may hold together.
+SAID = r"(\d+(?:,\d{2,3})*(?:\.\d+)?(?:\s*k(?![\p{L}\p{M}\p{N}_]))?|[\p{L}\p{M}\p{N}_]+(?:['’-][\p{L}\p{M}\p{N}_]+)*)"
+
+
 def normal(text: Column, cues: Cues = ENGLISH) -> Column:
-    """Lower case, digit groups joined, 15k as 15 thousand, signs and courtesy gone."""
-    t = F.regexp_replace(F.lower(text), "['’]", "")
-    t = F.regexp_replace(t, r"(?<=\d),(?=\d{2,3}(?!\d))", "")
-    t = F.regexp_replace(t, r"(?<=\d)\s*k\b", " thousand")
-    t = F.regexp_replace(t, r"(?<=\w)-(?=\w)", "")
-    t = F.regexp_replace(t, r"(?<!\d)\.|\.(?!\d)|[^\p{L}\p{M}\p{N}_\s.]", " ")
-    return F.array_join(F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~w.isin(*cues.courtesy)), " ")
+    """The words and numbers of a text, lower-cased: 1,200 as 1200, 15k as 15 thousand, words without apostrophes and hyphens, courtesy gone."""
+
+    def plain(token: Column) -> Column:
+        number = F.concat(F.regexp_replace(token, r"[,k\s]", ""), F.when(token.endswith("k"), " thousand").otherwise(""))
+        return F.when(token.rlike(r"^\d[\d,.\s]*k?$"), number).otherwise(F.regexp_replace(token, "['’-]", ""))
+
+    tokens = F.transform(F.regexp_extract_all(F.lower(text), F.lit(SAID), F.lit(1)), plain)
+    return F.array_join(F.filter(tokens, lambda w: ~w.isin(*cues.courtesy)), " ")
 
 
 def _phrase(words: tuple[str, ...]) -> str:
