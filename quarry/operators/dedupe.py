@@ -27,8 +27,11 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """Rows (market, doc_id, class_id): documents of a market with the same set of shingles share the smallest doc_id."""
-    return _classed(_keyed(shingle_sets(docs, n)))
+    """Rows (market, doc_id, class_id): documents of a market with the same set of shingles share the smallest doc_id. No market is one too.
+
+    Keys are kept before they are joined: a filter on them would be moved below the words and would find all words again for each word.
+    """
+    return _classed(checkpoint(_keyed(shingle_sets(docs, n)).drop("sh")))
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
@@ -37,7 +40,8 @@ def _keyed(sets: DataFrame) -> DataFrame:
 
 def _classed(keyed: DataFrame) -> DataFrame:
     first = keyed.groupBy("market", "key").agg(F.min("doc_id").alias("class_id"))
-    return keyed.select("market", "doc_id", "key").join(first, ["market", "key"]).select("market", "doc_id", "class_id")
+    same = F.col("k.market").eqNullSafe(F.col("f.market")) & (F.col("k.key") == F.col("f.key"))
+    return keyed.alias("k").join(first.alias("f"), same).select("k.market", "k.doc_id", "f.class_id")
 
 
 def near_pairs(docs: DataFrame, similarity: float = LEAST_SIMILARITY, n: int = SHINGLE) -> DataFrame:

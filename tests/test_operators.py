@@ -103,6 +103,15 @@ def test_near_pairs_and_greedy_merge(spark):
     assert sorted((r["gone"], r["kept"]) for r in dedupe.greedy_merge(pairs).collect()) == [(2, 1), (4, 3)]
 
 
+def test_classes_without_a_market_and_of_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    docs = [(1, None, long), (2, None, long), (3, "m", long), (4, "m", None), (5, "m", None), (6, "m", "")]
+    df = spark.createDataFrame(docs, "doc_id long, market string, text string")
+    found = dedupe.classes(df)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
 def test_retrieval_coverage(spark):
     docs = spark.createDataFrame([(1, "cosmetic exclusion"), (2, "covered dental"), (3, "covered opd"), (4, "covered room")], "doc_id long, text string")
     asked = retrieval.query_terms(spark.createDataFrame([(0, "cosmetic covered")], "item_id long, text string"))
