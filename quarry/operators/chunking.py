@@ -12,7 +12,7 @@ MOST_TOKENS, LEAST_CHARS = 320, 25
 
 
 def heading(title: Column, synonyms: dict[str, str] | None = None) -> Column:
-    """A heading without numbering and colon: its synonym if it has one, else titled where it is all capitals, the first letter raised."""
+    """A heading without numbering and colon: its synonym if it has one, else titled where it is all capitals, the first letter raised (ß as SS)."""
     bare = F.rtrim(F.trim(F.regexp_replace(title, r"^\s*[0-9]+(\.[0-9]+)*[.)]?\s+", "")), F.lit(":"))
     shouting = (bare == F.upper(bare)) & (bare != F.lower(bare))
     titled = F.when(shouting, F.initcap(F.lower(bare))).otherwise(bare)
