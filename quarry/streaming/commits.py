@@ -1,8 +1,8 @@
 """When a caller's turn is over: each pause is held open for a time that depends on how their words end, and new speech cancels it.
 
 What was last heard counts, for WINDOW_S. A pause without words waits for the recognizer once. A short agreement is discarded while the
-agent speaks, and otherwise is an answer: at once if a yes or no was asked for, later if more may follow. Words of a turn that come again
-as the recognizer's final, within AGAIN_S of its commitment, are not another turn.
+agent speaks, and otherwise is an answer: at once if a yes or no was asked for, later if more may follow. Whole words of a turn that
+come again as the recognizer's final, within AGAIN_S of its commitment, are not another turn.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Turns:
             s["pending"] = None
             return out if s["speaking"] else out + self.decide(at)
         final = x.kind == "final"
-        if final and s["done"] and at - s["done"][0] < AGAIN_S and x.plain in s["done"][1]:
+        if final and s["done"] and at - s["done"][0] < AGAIN_S and f" {x.plain} " in f" {s['done'][1]} ":
             return []
         s["heard"] = [at, x.text, x.ending, x.plain]
         return self.decide(at) if final and x.plain and not s["speaking"] and not s["pending"] else []

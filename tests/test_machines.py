@@ -60,6 +60,8 @@ def test_turn_commits(spark):
     assert decisions(spark, [(0, "start", None), (1, "end", None)]) == []
     # the final of words that were committed from their interim
     assert decisions(spark, [(0, "start", None), (0.9, "interim", "A plan."), (1, "end", None), (2, "final", "a plan"), (5, "final", "A plan.")]) == [(1.0, "committed", "A plan."), (5.0, "committed", "A plan.")]
+    # words that only stand inside longer ones are new
+    assert decisions(spark, [*speech("Blue eyesight."), (1.5, "start", None), (2, "final", "yes"), (2.1, "end", None)]) == [(1.0, "committed", "Blue eyesight."), (2.9, "committed", "yes")]
     # words older than the window are forgotten
     assert decisions(spark, [(0, "final", None), (0.5, "start", None), (1, "interim", "Old words."), (7, "end", None)]) == []
 
