@@ -41,7 +41,7 @@ from .records import library_ids
 from .tokens import BYTE_BPE, Run, cache, ids_of, joined, strings
 
 PIECE_BPE = "piece_bpe_32k.model"
-LANE, BLOCK_BYTES, PARTS = 512, 8 << 20, 80_000
+LANE, BLOCK_BYTES, PARTS = 512, 3 << 20, 24_000
 #: As many pairs of ids travel to tasks, 16 bytes each.
 SENT = 1 << 21
 #: Characters of a word beyond which tiktoken isn't asked.
