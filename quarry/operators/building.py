@@ -17,8 +17,8 @@ def normalized(blocks: DataFrame, terms: dict[str, list[str]], synonyms: dict[st
     """Blocks with headings cleaned, then terms and dates of every text made uniform; `invalid` lists dates that don't exist. Null texts stay null."""
     is_heading = F.col("kind").isin("heading", "title")
     headed = blocks.withColumn("text", F.when(is_heading, chunking.heading(F.col("text"), synonyms)).otherwise(F.col("text")))
-    dated = headed.withColumn("_t", normalizing.terminology(F.col("text"), terms)).withColumn("_d", normalizing.dates(F.col("_t.text")))
-    return dated.withColumn("text", F.col("_d.text")).withColumn("invalid", F.col("_d.invalid")).drop("_t", "_d")
+    dated = headed.withColumn("_d", normalizing.uniform(F.col("text"), terms))
+    return dated.withColumn("text", F.col("_d.text")).withColumn("invalid", F.col("_d.invalid")).drop("_d")
 
 
 def cells_text(cells: dict[str, Column]) -> Column:
