@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 class Fold(Protocol):
@@ -19,11 +20,12 @@ class Fold(Protocol):
         """Rows that come of the group's end."""
 
 
-def in_order(rows: DataFrame, keys: list[str], order: list[str], begin: Callable[[tuple], Fold], schema: str) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], order: list[str], begin: Callable[[tuple], Fold], schema: str, move: bool = True) -> DataFrame:
     """Rows of each group, sorted by Spark, run through a fold of its own.
 
     One group is one task's work, sequential by its nature; what a task holds is an Arrow batch and one group's state. Rows of null
-    keys are a group too.
+    keys are a group too. Without `move` a window brings groups together and leaves rows that stand together by some of the keys in
+    their place; its number `nth` comes with the rows.
     """
 
     def plain(key: tuple) -> tuple:
@@ -46,4 +48,6 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], begin: Callable
     from pyspark.sql.types import _parse_datatype_string
 
     columns = _parse_datatype_string(schema).names
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    dealt = rows.repartition(*keys) if move else rows.withColumn("nth", nth)
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

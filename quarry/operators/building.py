@@ -42,20 +42,21 @@ def sheet_chunks(rows: DataFrame, sheet: list[str], order: list[str], line: Colu
 
 
 def section_chunks(blocks: DataFrame, titles: DataFrame, doc: str = "doc_id", most: int = chunking.MOST_TOKENS) -> DataFrame:
-    """Rows (doc, section_no, chunk_index, title, content, tokens, parent_key) of blocks (doc, pos, kind, text) under titles (doc, title).
+    """Rows (doc, section_no, chunk_index, title, content, tokens, parent_key) of blocks (doc, pos, kind, text) under titles (doc, title, and what else is to come with the chunks).
 
     A heading that asks is its chunks' title, and they don't overlap; others stand behind the document's title. List items keep their dash.
-    Chunks of one section share the parent key. Text before the first heading has the document's title.
+    Chunks of one section share the parent key. Text before the first heading has the document's title. Titles go to the blocks, which
+    stay where they stand by document until they are packed.
     """
-    placed = chunking.sections(blocks, doc)
-    names = placed.groupBy(doc, "section_no").agg(F.max("section").alias("section"))
+    more = [c for c in titles.columns if c not in (doc, "title")]
+    placed = chunking.sections(blocks.join(titles, doc, "left"), doc)
     asks = F.coalesce(F.rtrim("section").endswith("?"), F.lit(False))
     text = F.when(F.col("kind") == "list_item", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
-    body = placed.where(~F.col("kind").isin("heading", "title")).select(doc, "section_no", "pos", text.alias("text"), (~asks).alias("overlap"))
-    packed = chunking.pack(body, most, doc).join(names, [doc, "section_no"]).join(titles, doc, "left")
+    body = placed.where(~F.col("kind").isin("heading", "title")).select(doc, "section_no", "section", "title", *more, "pos", text.alias("text"), (~asks).alias("overlap"))
+    packed = chunking.pack(body, most, doc, ("section", "title", *more))
     title = F.when(asks, F.col("section")).otherwise(F.concat_ws(" › ", "title", "section"))
     parent = F.concat_ws("#", F.col(doc).cast("string"), F.col("section_no").cast("string"))
-    return packed.select(doc, "section_no", "chunk_index", title.alias("title"), F.col("text").alias("content"), "tokens", parent.alias("parent_key"))
+    return packed.select(doc, "section_no", "chunk_index", title.alias("title"), F.col("text").alias("content"), "tokens", parent.alias("parent_key"), *more)
 
 
 def dispatched(kinds: DataFrame, branches: dict[str, DataFrame], default: str, doc: str = "doc_id") -> DataFrame:

@@ -73,14 +73,16 @@ def tokens_of(words: int) -> int:
     return int(words * 1.3)
 
 
-def pack(blocks: DataFrame, most: int = MOST_TOKENS, doc: str = "doc_id") -> DataFrame:
+def pack(blocks: DataFrame, most: int = MOST_TOKENS, doc: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of blocks (doc, section_no, pos, text, overlap): greedy, in order within a section; with overlap the last block of a chunk opens the next.
 
-    Blocks stream through sorted, so a document without headings is no group to hold. Chunks under LEAST_CHARS are left out.
+    Blocks stream through sorted, so a document without headings is no group to hold. Chunks under LEAST_CHARS are left out. Blocks that
+    stand together by document stay there. Columns to keep are the same for all of a section, and come back with its chunks.
     """
-    kind = blocks.schema[doc].dataType.simpleString()
-    rows = blocks.select(doc, "section_no", "pos", "text", F.size(words(F.col("text"))).alias("words"), "overlap")
-    packed = in_order(rows, [doc, "section_no"], ["pos"], lambda key: _Pack(key, most), f"{doc} {kind}, section_no long, chunk_index long, text string, tokens long")
+    keys = [doc, "section_no", *keep]
+    rows = blocks.select(*keys, "pos", "text", F.size(words(F.col("text"))).alias("words"), "overlap")
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    packed = in_order(rows, keys, ["pos"], lambda key: _Pack(key, most), f"{kinds}, chunk_index long, text string, tokens long", move=False)
     return packed.where(F.length("text") >= LEAST_CHARS)
 
 

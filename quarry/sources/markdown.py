@@ -14,11 +14,14 @@ def lines(docs: DataFrame, key: str) -> DataFrame:
 
 
 def blocks(docs: DataFrame, key: str) -> DataFrame:
-    """Rows (key, pos, kind, text): neighbouring plain lines make a paragraph, other lines stand alone without their mark."""
-    rows = lines(docs, key)
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(key, F.col("kind") == "paragraph").orderBy("pos"))
-    plain = rows.withColumn("island", island).where("kind = 'paragraph'").groupBy(key, "kind", "island")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ")
-    paragraphs = plain.agg(F.min("pos").alias("pos"), joined.alias("text")).select(key, "pos", "kind", "text")
-    marked = rows.where("kind not in ('paragraph', 'blank')").select(key, "pos", "kind", F.trim(F.regexp_replace("line", r"^(#+|[-*]) ", "")).alias("text"))
-    return paragraphs.union(marked)
+    """Rows (key, pos, kind, text): neighbouring plain lines make a paragraph, other lines stand alone without their mark.
+
+    Texts are dealt by key once; windows and groups find a key's lines where they stand, and so does what asks for the blocks of a key.
+    """
+    rows = lines(docs.select(key, "text").repartition(key), key)
+    plain = F.col("kind") == "paragraph"
+    nth = F.row_number().over(Window.partitionBy(key, plain).orderBy("pos"))
+    islands = rows.withColumn("island", F.when(plain, F.col("pos") - nth).otherwise(-nth)).where("kind <> 'blank'").groupBy(key, "kind", "island")
+    found = islands.agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    joined = F.array_join(F.transform("ls", lambda x: x["line"]), " ")
+    return found.select(key, "pos", "kind", F.when(plain, joined).otherwise(F.trim(F.regexp_replace(F.col("ls")[0]["line"], r"^(#+|[-*]) ", ""))).alias("text"))
