@@ -49,11 +49,12 @@ def current(spark: SparkSession, root: str) -> Snapshot | None:
 
 
 def numbered(records: DataFrame, before: Snapshot | None, release: int) -> tuple[DataFrame, DataFrame]:
-    """Records (stable_key, prefix, content_hash, ...) with record_id, version, stored_in and change; and the counters after them.
+    """Rows (stable_key, prefix, content_hash, record_id, version, stored_in, change) of records; and the counters after them.
 
     A known key keeps its id, and its version moves on if its content differs. New keys are numbered within their prefix in order of key, from
-    the counter on; no prefix comes together in one task. Ids of removed keys are never given again.
+    the counter on; no prefix comes together in one task. Ids of removed keys are never given again. Only these columns are moved.
     """
+    records = records.select("stable_key", "prefix", "content_hash")
     spark = records.sparkSession
     manifest = before.manifest if before else spark.createDataFrame([], MANIFEST)
     counters = before.counters if before else spark.createDataFrame([], COUNTERS)
@@ -77,6 +78,7 @@ def build(records: DataFrame, root: str) -> Snapshot:
     spark = records.sparkSession
     before = current(spark, root)
     release = before.release + 1 if before else 1
+    records = checkpoint(records)
     placed, counters = numbered(records, before, release)
     placed = checkpoint(placed)
     gone = None
@@ -89,7 +91,8 @@ def build(records: DataFrame, root: str) -> Snapshot:
         return before
     counted = spark.range(1).select(F.lit(before.kb_version if before else FIRST).alias("v"), *[F.lit(n.get(c, 0)).cast("long").alias(c) for c in ("added", "updated", "removed")])
     bumped = versioning.bump_release(F.col("v"), F.col("added"), F.col("updated"), F.col("removed")) if before else F.col("v")
-    placed.where("change <> 'unchanged'").drop("change", "stored_in").write.mode("overwrite").parquet(folder(root, "records", release))
+    changed = placed.where("change <> 'unchanged'").select("stable_key", "record_id", "version")
+    records.join(changed, "stable_key").select(*records.columns, "record_id", "version").write.mode("overwrite").parquet(folder(root, "records", release))
     placed.select(*[x.split()[0] for x in MANIFEST.split(", ")]).write.mode("overwrite").parquet(folder(root, "manifest", release))
     counters.write.mode("overwrite").parquet(folder(root, "counters", release))
     changes.write.mode("overwrite").parquet(folder(root, "changelog", release))
@@ -99,10 +102,11 @@ def build(records: DataFrame, root: str) -> Snapshot:
 
 
 def stored(spark: SparkSession, root: str, snapshot: Snapshot) -> DataFrame:
-    """The records of a release, each from the folder of the release that stored it."""
+    """The records of a release, each from the folder of the release that stored it. What it stored itself is all its own and is not joined."""
     parts = spark.read.option("basePath", f"{root}/records").parquet(f"{root}/records").withColumn("release", F.col("release").cast("long"))
+    now = F.col("release") == snapshot.release
     named = snapshot.manifest.select("stable_key", F.col("stored_in").alias("release"))
-    return parts.join(named, ["stable_key", "release"]).drop("release")
+    return parts.where(now).unionByName(parts.where(~now).join(named, ["stable_key", "release"])).drop("release") if snapshot.release > 1 else parts.where(now).drop("release")
 
 
 def active(records: DataFrame, kb_version: str) -> DataFrame:

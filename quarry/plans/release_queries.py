@@ -104,9 +104,8 @@ def knowledge(spark, d):
     """Documents as records: sections cut to size, personal data taken out, hashed, named by language."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     blocks = building.normalized(markdown.blocks(docs.select("doc_id", "text"), "doc_id"), TERMS)
-    chunks = building.section_chunks(blocks.select("doc_id", "pos", "kind", "text"), docs.select("doc_id", F.col("source").alias("title")))
-    langs = docs.select("doc_id", "lang")
-    clean = chunks.join(langs, "doc_id").withColumn("pii_kinds", pii.kinds(F.col("content"))).withColumn("content", pii.redact(F.col("content")))
+    chunks = building.section_chunks(blocks.select("doc_id", "pos", "kind", "text"), docs.select("doc_id", F.col("source").alias("title"), "lang"))
+    clean = chunks.withColumn("pii_kinds", pii.kinds(F.col("content"))).withColumn("content", pii.redact(F.col("content")))
     key = F.concat_ws("#", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("section_no").cast("string"), 6, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0"))
     hashed = F.sha2(F.concat_ws("\n", "title", "content"), 256)
     return clean.select(key.alias("stable_key"), F.concat_ws("_", F.lit("kb"), F.coalesce("lang", F.lit("und")), F.lit("sec")).alias("prefix"), hashed.alias("content_hash"), F.lit("active").alias("status"), "title", "content", "tokens", "pii_kinds", "parent_key")
