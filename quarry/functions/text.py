@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = r"[\p{L}\p{N}_]+"
+WORD, BETWEEN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 SPACES = r"[\s\u00a0\u200b\u200c\u200d\ufeff]+"
 #: Words too common to search by.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -39,7 +39,7 @@ def dedupe_key(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
 def tokens(text: Column) -> Column:

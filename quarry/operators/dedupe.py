@@ -21,9 +21,9 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column], id_column:
 def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Rows (market, doc_id, sh): each document's distinct shingles of n words as sorted 64-bit hashes; fewer words are one shingle."""
     ws = docs.select("market", "doc_id", text.words(F.col("text")).alias("ws"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1))), lambda i: F.xxhash64(*[F.element_at("ws", i + k) for k in range(n)]))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - n, F.lit(0))), lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(n)]))
     short = F.array(F.xxhash64(F.array_join("ws", " ")))
-    return ws.select("market", "doc_id", F.array_sort(F.array_distinct(F.when(F.size("ws") >= n, runs).otherwise(short))).alias("sh"))
+    return ws.select("market", "doc_id", F.sort_array(F.array_distinct(F.when(F.size("ws") >= n, runs).otherwise(short))).alias("sh"))
 
 
 def classes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -50,28 +50,32 @@ def near_pairs(docs: DataFrame, similarity: float = LEAST_SIMILARITY, n: int = S
     Shingles are hashed once and ordered by how many sets hold them, the rarest first. Sets as similar as that share one of their first
     m - ceil(s m) + 1 shingles (m: a set's size), and what is left behind a shared one must still suffice: most pairs are dropped by place
     and length before any set is compared. A shingle's sets are paired only among those heads, so what many documents share is hardly met.
+    Until then a set is a number, and a shingle its hash with the market's: what moves for each shingle is two numbers.
     """
-    keyed = checkpoint(_keyed(shingle_sets(docs, n)))
-    sets = checkpoint(keyed.groupBy("market", "key").agg(F.min_by("sh", "doc_id").alias("sh"), F.min("doc_id").alias("doc_id")).drop("key"))
-    each = sets.select("market", "doc_id", F.size("sh").alias("m"), F.explode("sh").alias("s"))
-    df = each.groupBy("market", "s").agg(F.count("*").alias("df")).where("df > 1")
+    keyed = checkpoint(_keyed(shingle_sets(docs.where("market is not null"), n)))
+    sets = keyed.groupBy("market", "key").agg(F.min_by("sh", "doc_id").alias("sh"), F.min("doc_id").alias("doc_id")).drop("key")
+    sets = checkpoint(sets.withColumn("id", F.monotonically_increasing_id()))
+    each = sets.select("id", "market", F.explode("sh").alias("s")).select("id", F.xxhash64("market", "s").alias("s")).repartition("s")
+    # Over one set if its least and greatest are not the same: so counting reads the same rows as the join, which are moved once for both.
+    df = each.groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("_least"), F.max("id").alias("_most")).where("_least <> _most").select("s", "df")
     # A set's shingles that no other set holds come first: only how many they are matters.
-    ranked = each.join(df, ["market", "s"]).groupBy("market", "doc_id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    ranked = each.join(df, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared")).join(sets.select("id", F.size("sh").alias("m")), "id")
     alone = F.col("m") - F.size("shared")
     prefix = F.greatest(F.col("m") - F.ceil(F.col("m") * similarity) + 1 - alone, F.lit(0)).cast("int")
-    heads = ranked.where(prefix > 0).select("market", "doc_id", "m", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("p", "x"))
-    heads = heads.select("market", "doc_id", "m", (F.col("alone") + F.col("p")).alias("at"), F.col("x.s").alias("s"))
+    heads = ranked.where(prefix > 0).select("id", "m", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("p", "x"))
+    heads = heads.select("id", "m", (F.col("alone") + F.col("p")).alias("at"), F.col("x.s").alias("s"))
     a, b = heads.alias("a"), heads.alias("b")
     enough = F.ceil(similarity / (1 + similarity) * (F.col("a.m") + F.col("b.m")) - 1e-9)
     left = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at"))
-    fits = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.m") >= similarity * F.col("b.m")) & (F.col("b.m") >= similarity * F.col("a.m"))
-    met = a.join(b, (F.col("a.market") == F.col("b.market")) & (F.col("a.s") == F.col("b.s")) & fits)
+    fits = (F.col("a.id") < F.col("b.id")) & (F.col("a.m") >= similarity * F.col("b.m")) & (F.col("b.m") >= similarity * F.col("a.m"))
+    met = a.join(b, (F.col("a.s") == F.col("b.s")) & fits)
     # the place filter holds at a pair's first shared shingle, where nothing shared stands before
-    first = met.groupBy("a.market", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(F.max(left - enough).alias("slack")).where("slack >= 0")
-    sides = [sets.select("market", F.col("doc_id").alias(x), F.col("sh").alias(f"{x}_sh")) for x in ("a", "b")]
-    both = first.select("market", "a", "b").join(sides[0], ["market", "a"]).join(sides[1], ["market", "b"]).withColumn("common", F.size(F.array_intersect("a_sh", "b_sh")))
-    jaccard = F.col("common") / (F.size("a_sh") + F.size("b_sh") - F.col("common"))
-    return both.select("market", "a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
+    first = met.groupBy(F.col("a.id").alias("_a"), F.col("b.id").alias("_b")).agg(F.max(left - enough).alias("slack")).where("slack >= 0").select("_a", "_b")
+    sides = [sets.select(F.col("id").alias(f"_{x}"), F.col("market").alias(f"{x}_market"), F.col("doc_id").alias(x), F.col("sh").alias(f"{x}_sh")) for x in ("a", "b")]
+    both = first.join(sides[0], "_a").join(sides[1], "_b").withColumn("common", F.size(F.array_intersect("a_sh", "b_sh")))
+    # not a condition of the join, or else the sets would be moved by id alone and by id and market
+    jaccard = F.when((F.col("a_market") == F.col("b_market")) & (F.col("a") != F.col("b")), F.col("common") / (F.size("a_sh") + F.size("b_sh") - F.col("common")))
+    return both.select(F.col("a_market").alias("market"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
 def greedy_merge(pairs: DataFrame) -> DataFrame:
