@@ -8,9 +8,10 @@ A document is one lane, a long one a lane for each LANE bytes, whose pointers be
 Texts are encoded by libraries: A whole, by tiktoken with the merges of the tokenizers file, B part by part, cut at spaces that follow another
 character, which is exact where no piece holds a space after another character; that is read off the vocabulary, and texts are encoded whole if one does.
 
-What is linked how often is counted over the corpus: each block, a slice of a task's rows, is one row with its links as codes of its own distinct
-pairs; only those pairs, with how often each stands in the block, are summed. The counts of up to SENT pairs of ids, a checked number that the
-vocabularies bound, are sent to the blocks; more go back to them by a join, in which a hot pair is one row for each block.
+What is linked how often is counted over the corpus: each block, BLOCK_BYTES of a task's rows, is one row with its links as codes of its own
+distinct pairs; only those pairs, with how often each stands in the block, are summed. The counts of up to SENT pairs of ids, a checked number that
+the vocabularies bound, are sent to the blocks; more go back to them by a join, in which a hot pair is one row for each block. Blocks are small and
+stand in row groups of ROWS, so that neither writing nor reading them holds more than a few in memory, whatever the size of a task's input.
 
 Null and empty texts, and texts that either tokenizer doesn't give back byte for byte (one that holds U+2581), have no tokens: counts of zero and
 the empty string for the hash. Repeated rows count as often as they stand; an empty table gives no rows; other columns are not read.
@@ -36,12 +37,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bpe
-from .common import SLICE_BYTES, arrow_map, checkpoint, shared_path, table, texts
+from .common import arrow_map, checkpoint, shared_path, table, texts
 from .records import library_ids
 from .tokens import BYTE_BPE, Run, cache, ids_of, joined, strings
 
 PIECE_BPE = "piece_bpe_32k.model"
-LANE, BLOCK_BYTES, PARTS = 512, 3 << 20, 24_000
+LANE, BLOCK_BYTES, PARTS = 512, 1 << 19, 24_000
+#: Blocks are written in row groups of so many rows and, looked at after each row, so many bytes as compressed; pairs are summed by so many.
+ROWS, ROW_GROUP, PAIRS = 8, 4 << 20, 1 << 18
+STORED = {
+    "parquet.block.row.count.limit": ROWS,
+    "parquet.block.size": ROW_GROUP,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1,
+    "parquet.enable.dictionary": "false",
+}
 #: As many pairs of ids travel to tasks, 16 bytes each.
 SENT = 1 << 21
 #: Characters of a word beyond which tiktoken isn't asked.
@@ -50,8 +60,8 @@ LONGEST = 2000
 BAD = (1 << 32) - 1
 SPACE = re.compile("(?<! ) ")
 DIGEST = ("doc_ids", "n_a", "n_b", "n_groups", "sha")
-#: A block is 16 bits in a task, a place in its pairs 28.
-BLOCKS, PLACES = 16, 28
+#: A block is 18 bits in a task, a place in its pairs 26.
+BLOCKS, PLACES = 18, 26
 
 
 class Vocabulary(NamedTuple):
@@ -269,46 +279,69 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 LONGS = T.ArrayType(T.LongType())
-FIELDS = [("block", T.LongType()), *((x, LONGS) for x in DIGEST[:-1]), ("sha", T.ArrayType(T.StringType())), ("codes", T.BinaryType()), ("pairs", LONGS), ("times", LONGS)]
+FIELDS = [("block", T.LongType()), *((x, LONGS) for x in DIGEST[:-1]), ("sha", T.ArrayType(T.StringType())), *((x, T.BinaryType()) for x in ("codes", "pairs", "times"))]
 BLOCK = T.StructType([T.StructField(*f) for f in FIELDS])
 
 
+def code_type(n: int) -> str:
+    """The type of codes of n pairs."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of up to `most` bytes of text, or of one row."""
+    ends, at = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)), 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row for each BLOCK_BYTES of a task's texts: numbers and hashes by document, the links of all as codes, the pair of ids of each code and how often it is."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, a_known, b_known = to_arrow_schema(BLOCK), byte_vocabulary(a_path), piece_vocabulary(b_path)
-        block, size, held = TaskContext.get().partitionId() << BLOCKS, 0, []
+        first = TaskContext.get().partitionId() << BLOCKS
+        parts = (part for batch in batches for part in slices(batch, BLOCK_BYTES))
+        for block, part in enumerate(parts, first):
+            got = align(part.column(1).to_pylist(), a_path, b_path)
+            sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups_of(got, a_known, b_known)]
+            numbers = [np.diff(got.a_bounds), np.diff(got.b_bounds), np.diff(np.searchsorted(got.link_a, got.a_bounds))]
+            pairs, codes, times = np.unique(got.a[got.link_a] << 32 | got.b[got.link_b], return_inverse=True, return_counts=True)
+            made = [block, part.column(0), *numbers, sha, codes.astype(code_type(len(pairs))).tobytes(), pairs.astype("<i8").tobytes(), times.astype("<u4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, out, strict=True)], schema=out)
+
+    return texts(docs).mapInArrow(run, BLOCK)
+
+
+def block_sums(held: DataFrame) -> DataFrame:
+    """Rows (pair, times): the pairs of blocks and how often each stands in some of a task's."""
 
-        def row() -> pa.RecordBatch:
-            doc_ids, sha = ([x for part in held for x in part[k]] for k in (0, 4))
-            numbers = [np.concatenate([part[k] for part in held]) for k in (1, 2, 3)]
-            pairs, codes, times = np.unique(np.concatenate([part[5] for part in held]), return_inverse=True, return_counts=True)
-            made = [block, doc_ids, *numbers, sha, codes.astype("<u4").tobytes(), pairs, times]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, out, strict=True)], schema=out)
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pairs, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        times = np.zeros(len(pairs), np.int64)
+        np.add.at(times, place, np.concatenate([n for _, n in parts]).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], names=["pair", "times"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, many = [], 0
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(8 * batch.nbytes, 1))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                got = align(part.column(1).to_pylist(), a_path, b_path)
-                sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups_of(got, a_known, b_known)]
-                numbers = [np.diff(got.a_bounds), np.diff(got.b_bounds), np.diff(np.searchsorted(got.link_a, got.a_bounds))]
-                held.append((part.column(0).to_pylist(), *numbers, sha, got.a[got.link_a] << 32 | got.b[got.link_b]))
-                size += part.nbytes
-                if size >= BLOCK_BYTES:
-                    yield row()
-                    block, size, held[:] = block + 1, 0, []
-        if held:
-            yield row()
+            for k in range(batch.num_rows):
+                parts.append((np.frombuffer(batch.column(0)[k].as_py(), "<i8"), np.frombuffer(batch.column(1)[k].as_py(), "<u4")))
+                many += len(parts[-1][0])
+                if many >= PAIRS:
+                    yield summed(parts)
+                    parts, many = [], 0
+        if many:
+            yield summed(parts)
 
-    return texts(docs).mapInArrow(run, BLOCK)
+    return held.select("pairs", "times").mapInArrow(run, "pair long, times long")
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
     """Rows (pair, told): for each pair of ids twice the links of the corpus that it is, and one more if no pair of its b id is more."""
-    each = held.select(F.explode(F.arrays_zip("pairs", "times")).alias("x"))
-    total = each.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("n"))
+    total = block_sums(held).groupBy("pair").agg(F.sum("times").alias("n"))
     # a b id has as many pairs as there are a ids, at most
     most = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))))
     return total.select("pair", (2 * F.col("n") + (F.col("n") == most).cast("int")).alias("told"))
@@ -316,8 +349,14 @@ def pair_counts(held: DataFrame) -> DataFrame:
 
 def told_by_block(held: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows (block, told): the counts of each block's pairs, in order, by a join."""
-    each = held.select("block", F.posexplode("pairs").alias("place", "pair"))
-    each = each.select((F.shiftleft("block", PLACES) + F.col("place")).alias("ref"), "pair").join(counts, "pair")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                pairs = np.frombuffer(raw.as_py(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array((block << PLACES) + np.arange(len(pairs))), pa.array(pairs)], names=["ref", "pair"])
+
+    each = held.select("block", "pairs").mapInArrow(run, "ref long, pair long").join(counts, "pair")
     told = F.sort_array(F.collect_list(F.struct("ref", "told")))
     return each.groupBy(F.shiftrightunsigned("ref", PLACES).alias("block")).agg(told.alias("x")).select("block", F.col("x.told").alias("told"))
 
@@ -330,7 +369,7 @@ def link_digest(docs: DataFrame, a_path: str, b_path: str, most_sent: int = SENT
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "alignment")
-    blocks(docs, a_path, b_path).write.parquet(folder)
+    blocks(docs, a_path, b_path).write.options(**STORED).parquet(folder)
     held = spark.read.schema(BLOCK).parquet(folder)
     counts = checkpoint(pair_counts(held))
     if counts.count() <= most_sent:
@@ -348,13 +387,16 @@ def link_digest(docs: DataFrame, a_path: str, b_path: str, most_sent: int = SENT
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, n_a, n_b, links, sha, codes, last = (batch.column(i)[k] for i in range(7))
-                codes = np.frombuffer(codes.as_py(), "<u4")
-                sums = [np.zeros(len(codes) + 1, np.int64) for _ in range(2)]
-                if len(codes):
-                    told = last.values.to_numpy()
+                codes = codes.as_py()
+                sums = [np.zeros(1, np.int64)] * 2
+                if codes:
                     if sent is not None:
                         pairs, counted = sent.value
-                        told = counted[np.searchsorted(pairs, told)]
+                        told = counted[np.searchsorted(pairs, np.frombuffer(last.as_py(), "<i8"))]
+                    else:
+                        told = last.values.to_numpy()
+                    codes = np.frombuffer(codes, code_type(len(told)))
+                    sums = [np.zeros(len(codes) + 1, np.int64) for _ in range(2)]
                     np.cumsum((told & 1)[codes], out=sums[0][1:])
                     np.cumsum((told >> 1)[codes], out=sums[1][1:])
                 cuts = np.append(0, np.cumsum(links.values.to_numpy()))

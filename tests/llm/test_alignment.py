@@ -1,16 +1,20 @@
 """Alignment of two tokenizers against the libraries on whole texts and sets of ends."""
 
+import glob
 import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quarry.functions.storage import shared_dir
 from quarry.llm import alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -95,3 +99,41 @@ def test_odd_rows(spark, plain):
     assert alignment.link_digest(df.limit(0), A, B).count() == 0
     shown = {r["doc_id"]: r for r in alignment.token_groups(df, A, B).collect()}
     assert shown[3]["groups"] and shown[3]["ends"][-1] == 3 and shown[0]["ends"] == [] and shown[9]["groups"] == ""
+
+
+def test_blocks_stay_small(spark, plain):
+    """One task over short and long texts: blocks, and what is written and read of them at once, don't grow with what it has."""
+    short, long, huge = "a few words", "word and other words " * 1000, "one text of some words " * 30_000
+    many = {short: 3000, long: 800, huge: 1}
+    rows = list(enumerate(x for x, n in many.items() for _ in range(n)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    there = set(glob.glob(f"{shared_dir(spark)}/alignment-*"))
+    got = alignment.link_digest(df, A, B).collect()
+    (folder,) = set(glob.glob(f"{shared_dir(spark)}/alignment-*")) - there
+    files = [pq.ParquetFile(x) for x in glob.glob(f"{folder}/*.parquet")]
+    assert max(f.metadata.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)) < 6 << 20
+    held = [x for f in files for x in f.read(["doc_ids", "codes"]).to_pylist()]
+    assert all(len(x["codes"]) <= 1 << 20 or len(x["doc_ids"]) == 1 for x in held)
+
+    groups = {x: plain(x) for x in (short, long)}
+    count = Counter()
+    for x, gs in groups.items():
+        count.update({k: n * many[x] for k, n in Counter((a[-1], b[-1]) for a, b in gs).items()})
+    ids = alignment.align([huge], A, B)
+    count.update(zip(ids.a[ids.link_a].tolist(), ids.b[ids.link_b].tolist(), strict=True))
+    assert [r["doc_id"] for r in sorted(got)] == [k for k, _ in rows]
+    for r in got:
+        if rows[r["doc_id"]][1] != huge:
+            gs = groups[rows[r["doc_id"]][1]]
+            assert (r["n_links"], r["count_sum"]) == (len(gs), sum(count[a[-1], b[-1]] for a, b in gs))
+    assert sum(r["count_sum"] for r in got) == sum(n * n for n in count.values())
+
+
+def test_codes_and_slices():
+    for n, kind in ((1, "<u2"), (1 << 16, "<u2"), ((1 << 16) + 1, "<u4")):
+        assert alignment.code_type(n) == kind and int(np.array(n - 1).astype(kind)) == n - 1
+    texts = ["", "abc", "é" * 4, "", "x" * 30, "y", "", "z" * 9, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    cut = [part.column(1).to_pylist() for part in alignment.slices(batch.slice(1), 10)]
+    assert cut == [["abc"], ["é" * 4, ""], ["x" * 30], ["y", "", "z" * 9], ["z"]]
+    assert list(alignment.slices(batch.slice(0, 0), 10)) == []
